@@ -109,7 +109,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, *keep: str) -
                 kept = [part.column(c) for c in ("doc_id", *keep)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(names), pa.array(scores, pa.float64())], ["doc_id", *keep, "lang_pred", "score"])
 
-    docs = texts_of(docs, "doc_id", "text", *keep)
+    docs = texts_of(docs, "doc_id", "text", *(k for k in keep if k != "text"))
     kinds = dict(docs.dtypes)
     return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", lang_pred string, score double")
 

@@ -59,8 +59,8 @@ def shape(token: Column) -> Column:
     return F.substring(s, 1, 40)
 
 
-def read_hits(docs: DataFrame) -> DataFrame:
-    """(row, doc_id) with the hits of each kind, and of identifier-like tokens with the word before each."""
+def read_hits(docs: DataFrame, *keep: str) -> DataFrame:
+    """(row, doc_id, and what is to be kept) with the hits of each kind, and of identifier-like tokens with the word before each."""
     text = F.col("text")
     digit = text.rlike("[0-9]")
     tried = [
@@ -71,7 +71,7 @@ def read_hits(docs: DataFrame) -> DataFrame:
         hits(text, TOKEN, digit).alias("token"),
         F.when(digit, F.transform(F.split(text, TOKEN, -1), lambda g: F.lower(F.regexp_extract(F.substring(g, -48, 48), r"(\S+)\s+$", 1)))).alias("before"),
     ]
-    return written(texts_of(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", *tried), "pii-hits")
+    return written(texts_of(docs, "doc_id", "text", *(k for k in keep if k != "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", *keep, *tried), "pii-hits")
 
 
 def candidates(found: DataFrame, base: DataFrame) -> DataFrame:
@@ -113,14 +113,40 @@ def discover(found: DataFrame, base: DataFrame, rounds: int = 3, min_confidence:
     return good.select("row", "start", "end").distinct()
 
 
-def pii_report(docs: DataFrame) -> DataFrame:
-    found = read_hits(docs)
+def spans_of(docs: DataFrame, *keep: str) -> DataFrame:
+    """(row, doc_id, and what is to be kept) with the spans of every row: base ones and those discovered."""
+    found = read_hits(docs, *keep)
     base = placed(found, "row", KINDS).where(valid(F.col("kind"), F.col("match"))).select("row", "kind_no", "kind", "start", "end")
     base = written(base, "pii-base")
     added = discover(found, base).select("row", F.lit(len(KINDS)).alias("kind_no"), F.lit("id").alias("kind"), "start", "end")
     spans = base.unionByName(added).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind_no", "start", "end", "kind"))).alias("spans"))
     none = F.array().cast("array<struct<kind_no:int,start:bigint,end:bigint,kind:string>>")
-    rows = found.select("row", "doc_id").join(spans, "row", "left").select("row", "doc_id", F.coalesce("spans", none).alias("spans"))
+    return found.select("row", "doc_id", *keep).join(spans, "row", "left").withColumn("spans", F.coalesce("spans", none))
+
+
+def pii_report(docs: DataFrame) -> DataFrame:
+    rows = spans_of(docs)
     count = lambda i: F.size(F.filter("spans", lambda s: s["kind_no"] == i)).cast("long")
     first = F.filter("spans", lambda s: s["kind_no"] < len(KINDS))
     return rows.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(listed(first), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by its kind in brackets; overlapping spans become the first of them."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["kind"].alias("kind"))))
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, s: Column) -> Column:
+        between = F.concat(F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        parts = F.when(s["start"] >= acc["pos"], F.array_append(acc["parts"], between)).otherwise(acc["parts"])
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), parts.alias("parts"))
+
+    def finish(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["pos"] + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, F.aggregate(ordered, zero, step, finish)).otherwise(text)
+
+
+def redact(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, text, and what is to be kept) with personal data replaced; a null text becomes empty."""
+    return spans_of(docs, "text", *keep).select("doc_id", redacted(F.col("text"), F.col("spans")).alias("text"), *keep)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, blob_ledger, chunk_bpe, hyperlang, matroska, pii_bootstrap, toxic_knn
+from . import attention_lm, bestfit, blob_ledger, chunk_bpe, group_jaccard, hyperlang, matroska, pii_bootstrap, projected_knn, toxic_knn
 from .common import table
 
 
@@ -20,10 +20,22 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op3_projected_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected_knn.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

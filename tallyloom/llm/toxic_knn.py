@@ -182,7 +182,7 @@ def score(docs: DataFrame, index: Index, k: int = 11, weight_of_prior: float = 0
                 part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *keep)), pa.array([s for s, _ in done], pa.float64()), pa.array([e for _, e in done], pa.list_(pa.int64()))], ["doc_id", *keep, "score", "evidence"])
 
-    docs = texts_of(docs, "doc_id", "text", *keep)
+    docs = texts_of(docs, "doc_id", "text", *(k for k in keep if k != "text"))
     kinds = dict(docs.dtypes)
     return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", score double, evidence array<long>")
 
