@@ -29,11 +29,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A hash for each word, in order; A to Z count as a to z and ASCII white space parts words."""
-    b = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8)
+def lowered(text: str) -> bytes:
+    """UTF-8 with A to Z as a to z."""
+    return text.encode("utf-8", "replace").lower()
+
+
+def words_in(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of lowered bytes, in order; ASCII white space parts words."""
+    b = np.frombuffer(data, np.uint8)
     if not len(b):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     gap = np.empty(len(b) + 2, bool)
     gap[0] = gap[-1] = True
     gap[1:-1] = SPACE[b]
@@ -41,7 +46,12 @@ def word_hashes(text: str) -> np.ndarray:
     starts, ends = edge[::2], edge[1::2]
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(BYTE[b] * powers(STEP, len(b)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(BACK, len(b))[starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * powers(BACK, len(b))[starts] + (ends - starts).astype(np.uint64)), starts, ends
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash for each word, in order; A to Z count as a to z."""
+    return words_in(lowered(text))[0]
 
 
 def shingles(text: str, width: int) -> np.ndarray:
