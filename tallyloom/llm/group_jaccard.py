@@ -4,11 +4,12 @@
 2. A size class deals the hash range into more parts than the sets of a linked pair can differ in, so a pair that links
    agrees in whole parts (pigeonhole).  A part's content is hashed to a signature.  Nodes that share one are candidates:
    tasks link what they hold to a local leader and ship one row per signature, so no signature is hot after that.
-3. Candidates are verified against their leaders' texts; components of the links are the groups of similar documents.
-4. Token-group matrix: a group is cut into pieces of at most ``GROUP`` members and stores the union of their shingles.
-   Nodes that share a signature with a piece of another component are its queries; only if the query's overlap with
-   the union can reach what the threshold asks for is the piece opened and its members are compared.
-   All pairs that share a signature and weren't joined by then are covered, so components lose no link.
+3. Candidates are verified against their leaders' texts; links make up components.
+   Documents with the same leader are similar and make up groups of about ``GROUP`` members.
+4. Token-group matrix: a group stores the union of its members' shingles.  Nodes that share a signature with a member
+   of another component are the group's queries; only if a query's overlap with the union can reach what the threshold
+   asks for is the group opened and are its members compared.  All pairs that share a signature and aren't in one
+   component by then are covered, so components lose no link.
 
 Defined cases: an empty or null text, or one without words, has no shingles and links with nothing; rows that share a
 doc_id are one document's and fall into one component (where their texts differ, the smallest text is compared); a row without doc_id links with nothing and has no component;
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import batches, slices, texts_of, written
 from .wordhash import STEP, mix, shingles
 
-GROUP = 64
+GROUP = 1024
 QUERIES = 512
 GROWTH = 1.6
 
@@ -154,7 +155,10 @@ def star_candidates(nodes: DataFrame) -> DataFrame:
 
 def texts_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the given nodes; of rows that share an id any one that has the node's set would do, and they go as one."""
-    return texts_of(docs).withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    return texts_of(docs).withColumnRenamed("doc_id", "node").join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+
+
+# Nodes with candidates grow with the corpus: joins with them are never broadcast.
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -174,7 +178,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "ta", "b", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "ta", "b", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,42 +199,73 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", F.col("next").alias("comp"))
 
 
+class TokenGroups:
+    """The token-group matrix of one group: the union of its members' shingles, with the members that hold each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.member = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.union, self.first = np.unique(tokens[order], return_index=True)
+        self.count = np.diff(np.r_[self.first, len(tokens)])
+
+    def partners(self, q: np.ndarray, percent: int) -> np.ndarray:
+        """Members that link with the set q; the group is opened only if q's overlap with the union allows any."""
+        at = np.searchsorted(self.union, q)
+        at = at[self.union[np.minimum(at, len(self.union) - 1)] == q] if len(at) else at
+        if 100 * len(at) < percent * max(len(q), int(self.sizes.min())):
+            return np.zeros(0, "i8")
+        n = self.count[at]
+        rows = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.member[rows], minlength=len(self.sizes))
+        return np.flatnonzero(100 * both >= percent * (len(q) + self.sizes - both))
+
+
 def open_groups(asked: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between queries and the members of the groups they ask, through the groups' token unions."""
+    """Links (a, b) between queries and groups' members of other components, one for each query and component."""
     per = asked.groupBy("group").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("shares"))
     dealt = asked.join(per, "group").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
     holders = members.join(per, "group").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    queries = dealt.join(texts, "node").select("group", "share", "node", "text")
-    holders = holders.join(texts, "node").select("group", "share", "node", "text").toDF("group", "share", "node", "text")
+    columns = ["group", "share", "node", "comp", "text"]
+    queries = dealt.join(texts, "node").select(*columns)
+    holders = holders.join(texts, "node").select(*columns).toDF(*columns)
 
     def run(asking: pa.Table, holding: pa.Table) -> pa.Table:
-        sets = [(n, shingles(t, width)) for n, t in zip(holding.column("node").to_pylist(), holding.column("text").to_pylist())]
-        union = np.unique(np.concatenate([s for _, s in sets])) if sets else np.zeros(0, np.uint64)
-        least = min((len(s) for _, s in sets), default=0)
         found = []
-        for node, text in zip(asking.column("node").to_pylist(), asking.column("text").to_pylist()) if sets else ():
-            q = shingles(text, width)
-            overlap = len(np.intersect1d(q, union, assume_unique=True))
-            if 100 * overlap < percent * max(len(q), least):  # a member's overlap is no larger, its union no smaller
-                continue
-            found += [(min(n, node), max(n, node)) for n, s in sets if linked(q, s, percent)]
+        if asking.num_rows and holding.num_rows:
+            nodes, comps = holding.column("node").to_numpy(), holding.column("comp").to_numpy()
+            matrix = TokenGroups([shingles(t, width) for t in holding.column("text").to_pylist()])
+            for node, comp, text in zip(*(asking.column(c).to_pylist() for c in ("node", "comp", "text"))):
+                hit = matrix.partners(shingles(text, width), percent)
+                _, first = np.unique(comps[hit], return_index=True)
+                found += [(min(int(n), node), max(int(n), node)) for n, c in zip(nodes[hit[first]], comps[hit[first]]) if c != comp]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return queries.groupBy("group", "share").cogroup(holders.groupBy("group", "share")).applyInArrow(run, "a long, b long").distinct()
 
 
-def cross_queries(nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(asked (group, node), members (group, node)): nodes that share a signature with a group of another component."""
-    rows = nodes.join(labels, "node").select("node", "comp", F.explode("sigs").alias("sig"))
+def cross_queries(nodes: DataFrame, labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, members), each (group, node, comp): nodes that share a signature with a group's member of another component.
+
+    Groups hold similar documents, whatever their component: those with the same leader, in pieces of about ``GROUP``.
+    Of two components the one with the larger name asks.
+    """
+    leader = written(pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader")), "leaders")
+    for _ in range(2):  # leaders within a task have leaders of their own
+        above = leader.select(F.col("node").alias("leader"), F.col("leader").alias("above"))
+        leader = leader.join(above, "leader", "left").select("node", F.coalesce("above", "leader").alias("leader"))
+    labels = labels.join(leader, "node", "left").withColumn("leader", F.coalesce("leader", "node"))
+    rows = nodes.join(labels.hint("merge"), "node").select("node", "comp", "leader", F.explode("sigs").alias("sig"))
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
     rows = written(rows.join(mixed, "sig", "left_semi"), "mixed")
-    # pieces of a component: a run of its nodes by id, cut by a hash into pieces of about GROUP
-    sizes = rows.select("comp", "node").distinct().groupBy("comp").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("pieces"))
-    piece = F.concat_ws(":", F.col("comp").cast("string"), F.pmod(F.xxhash64("node"), F.col("pieces")).cast("string"))
-    grouped = rows.join(sizes, "comp").select("sig", "comp", "node", piece.alias("group"))
-    held = grouped.groupBy("sig", "comp", "group").agg(F.count("*").alias("n")).select("sig", F.col("comp").alias("of"), "group")
-    asked = rows.join(held, "sig").where(F.col("comp") > F.col("of")).groupBy("group", "node").agg(F.count("*").alias("n")).select("group", "node")
-    return asked, grouped.select("group", "node").distinct()
+    single = rows.groupBy("node").agg(F.min("leader").alias("leader"), F.min("comp").alias("comp"))
+    sizes = single.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("pieces"))
+    piece = F.concat_ws(":", F.col("leader").cast("string"), F.pmod(F.xxhash64("node"), F.col("pieces")).cast("string"))
+    members = written(single.join(sizes, "leader").select("node", "comp", piece.alias("group")), "members")
+    held = rows.select("sig", "node", "comp").join(members.select("node", "group"), "node").groupBy("sig", "group").agg(F.min("comp").alias("lowest"))
+    asked = rows.select("sig", "node", "comp").join(held, "sig").where(F.col("comp") > F.col("lowest")).groupBy("group", "node").agg(F.min("comp").alias("comp"))
+    return asked, members
 
 
 def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -246,7 +281,8 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     links = written(verify(pairs, texts, width, percent), "links")
     labels = components(links)
     singles = touched.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))
-    asked, members = cross_queries(nodes, labels.union(singles))
+    own = sets.where("key is not null").select(F.col("doc_id").alias("node"), "sigs")
+    asked, members = cross_queries(own, labels.union(singles), pairs)
     more = written(open_groups(written(asked, "asked"), members, texts, width, percent), "more-links")
     if more.limit(1).count():
         labels = components(links.union(more))
