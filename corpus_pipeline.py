@@ -44,8 +44,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps the smallest document of each component, and one row of it."""
     kept = group_jaccard.join_components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
     kept = written(kept, "kept")
-    single = docs.join(kept.where("copies = 1"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("copies > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    single = docs.join(kept.where("copies = 1").hint("merge"), "doc_id", "left_semi")
+    repeated = docs.join(kept.where("copies > 1").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 

@@ -121,7 +121,7 @@ def spans_of(docs: DataFrame, *keep: str) -> DataFrame:
     added = discover(found, base).select("row", F.lit(len(KINDS)).alias("kind_no"), F.lit("id").alias("kind"), "start", "end")
     spans = base.unionByName(added).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind_no", "start", "end", "kind"))).alias("spans"))
     none = F.array().cast("array<struct<kind_no:int,start:bigint,end:bigint,kind:string>>")
-    return found.select("row", "doc_id", *keep).join(spans, "row", "left").withColumn("spans", F.coalesce("spans", none))
+    return found.select("row", "doc_id", *keep).join(spans.hint("merge"), "row", "left").withColumn("spans", F.coalesce("spans", none))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
