@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import label
 from ..operators import backtest, graph, mine, rules, segment, splits
 from ..sources import from_tpch, planted_pairs, synthetic_lines
+from . import readouts
 from .settings import CLUSTERS, FOLDS, SEED, T1, T2, T3, T4, TOP_K, TOP_N, TRAIN, WINDOWS, Setting
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +197,13 @@ def queries() -> dict[str, Query]:
     q["community_stats"] = lambda s, d: graph.community_stats(edges_of(s, d), membership_of(s, d))
     q["bridges"] = lambda s, d: graph.classified(edges_of(s, d), membership_of(s, d)).where("kind = 'bridge'")
     q["pair_lift_matrix"] = lambda s, d: mine.pair_lift_matrix(lines_of(s, d))
+    q["readout_itemsets"] = lambda s, d: readouts.itemset_table(sets_of(s, d, T4))
+    q["readout_redundancy"] = lambda s, d: readouts.redundancy_table(sets_of(s, d, T4), verdicts_of(s, d, T4))
+    q["readout_evaluation"] = lambda s, d: readouts.evaluation_table(metrics_of(s, d), (1, 3, 5))
+    q["readout_redundancy_narrative"] = lambda s, d: readouts.redundancy_narrative(sets_of(s, d, T4), verdicts_of(s, d, T4))
+    q["readout_stability_narrative"] = lambda s, d: readouts.stability_narrative(stability_of(s, d, "time"), WINDOWS)
+    q["readout_edges"] = lambda s, d: readouts.edge_table(edges_of(s, d), membership_of(s, d))
+    q["readout_lift"] = lambda s, d: readouts.lift_table(lines_of(s, d), membership_of(s, d))
     q["planted_pairs"] = lambda s, d: planted_pairs(s)
     q["synthetic_transactions"] = lambda s, d: synthetic_lines(s)
     return q

@@ -157,4 +157,15 @@ def oracle_sql() -> dict[str, str]:
       (SELECT a.community_id, SUM(weight) AS w FROM ed JOIN mem a ON a.item = item_a JOIN mem b ON b.item = item_b WHERE a.community_id = b.community_id GROUP BY 1) ins USING (community_id), (SELECT SUM(weight) AS m FROM ed)""")
     q["pair_lift_matrix"] = sql(lines(T1), ALL, mined(T1), select="""SELECT x.items[1] AS item_a, y.items[1] AS item_b, coalesce(p.cnt::DOUBLE / n.n, 0) / ((x.cnt::DOUBLE / n.n) * (y.cnt::DOUBLE / n.n)) AS lift FROM c x JOIN c y ON x.size = 1 AND y.size = 1 AND x.items <> y.items
       LEFT JOIN c p ON p.size = 2 AND p.items = list_sort([x.items[1], y.items[1]]), n""")
+    four = lambda *names: ", ".join(f"round({n}, 4) AS {n}" for n in names)
+    q["readout_itemsets"] = items(T4, f"SELECT label AS itemset, size::BIGINT AS size, cnt AS support_count, {four('support')} FROM fi")
+    q["readout_redundancy"] = rule(T4, """SELECT best.rank::BIGINT AS rank, best.antecedent, best.consequent, CASE WHEN bs = 0 THEN 'baseline' ELSE array_to_string(ba, ' + ') END AS best_simpler, round(best.confidence, 4) AS confidence, round(bc, 4) AS best_confidence,
+      round(best.confidence - bc, 4) AS improvement, round(r.lift, 4) AS lift, r.cnt AS support_count, CASE WHEN best.confidence - bc <= 1e-9::DOUBLE THEN 'redundant' ELSE 'kept' END AS verdict, above IS NULL OR above < cov.cnt AS closed, above IS NULL AS maximal
+      FROM best JOIN r ON r.rank = best.rank JOIN cov ON cov.label = array_to_string(list_sort(list_concat(best.a, best.c)), ' + ')""", IMPROVED, COVERED)
+    wide = """wide AS (SELECT recommender, MAX(hit_rate) FILTER (k = 1) AS hit_at_1, MAX(hit_rate) FILTER (k = 3) AS hit_at_3, MAX(hit_rate) FILTER (k = 5) AS hit_at_5, MAX(mrr) AS mrr, MAX(coverage) AS coverage, MAX(n_trials) AS n_trials FROM met GROUP BY 1)"""
+    names = ("hit_at_1", "hit_at_3", "hit_at_5", "mrr", "coverage")
+    q["readout_evaluation"] = sql(*BACKTEST, wide, select=f"SELECT recommender, {four(*names)}, n_trials FROM wide UNION ALL SELECT 'ratio', {', '.join(f'round(CASE WHEN b.{n} = 0 THEN 0 ELSE a.{n} / b.{n} END, 4)' for n in names)}, a.n_trials FROM wide a JOIN wide b ON a.recommender = 'rules' AND b.recommender = 'popularity'")
+    told = q["redundancy_summary"]
+    q["readout_redundancy_narrative"] = f"SELECT 'redundancy' AS topic, printf('%d of %d rules add nothing to a simpler one and %d stay. Of %d frequent itemsets %d are closed and %d maximal.', n_redundant, n_rules, n_kept, n_itemsets, n_closed, n_maximal) AS text FROM ({told})"
+    q["readout_stability_narrative"] = f"SELECT 'stability' AS topic, printf('%d of %d leading rules hold up across {WINDOWS} splits; the least steady one shows in %d.', n_stable, n_rules, least_present) AS text FROM ({q['stability_summary']})"
     return q
