@@ -24,16 +24,18 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--min-confidence", type=float, default=0.30)
     p.add_argument("--min-lift", type=float, default=1.10)
     p.add_argument("--top", type=int, default=10, help="rules to show")
+    p.add_argument("--restarts", type=int, default=8, help="starts of the segments' k-means")
     p.add_argument("--master")
     a = p.parse_args(argv)
-    spark = session(master=a.master)
+    local = {"spark__sql__shuffle__partitions": "8", "spark__driver__memory": "4g"} if (a.master or "").startswith("local") else {}
+    spark = session(master=a.master, **local)
     if a.orders:
         lines = from_tpch(spark, a.orders, a.item)
     elif a.lines:
         lines = from_table(spark.read.parquet(a.lines), "basket_id", "item", "customer_id", "amount")
     else:
         lines = synthetic_lines(spark, a.baskets, a.customers, a.seed)
-    plan = readouts.Plan(a.min_support, a.min_confidence, a.min_lift, seed=a.seed)
+    plan = readouts.Plan(a.min_support, a.min_confidence, a.min_lift, restarts=a.restarts, seed=a.seed)
     if a.readouts:
         for name, n in readouts.write(lines, a.readouts, plan).items():
             print(f"{name}: {n} rows")
