@@ -2,7 +2,7 @@
 
 Language ID drops documents without any language, toxicity those scored toxic, the n-gram Jaccard join all but the
 smallest document of each group, PII replaces personal data by its kind, and packing deals tokens into sequences.
-Near duplicates follow the contract of the join: three-word shingles that agree in at least 90 of 100.
+Near duplicates are documents whose five-word shingles agree in at least 80 of 100.
 Null texts have no language and go in the first stage; repeated rows are copies, of which the join keeps one.
 """
 
@@ -17,6 +17,8 @@ from tallyloom.llm import bestfit, group_jaccard, hyperlang, pii_bootstrap, toxi
 from tallyloom.llm.common import id_remainder, table, written
 from tallyloom.llm.queries import tokenizer_path
 
+WIDTH, PERCENT = 5, 80
+
 
 def carried(docs: DataFrame, act: Callable[..., DataFrame]) -> DataFrame:
     """``act(docs, *others)`` with the columns beside doc_id and text under names that cannot clash, and then restored."""
@@ -42,7 +44,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest document of each component, and one row of it."""
-    kept = group_jaccard.join_components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    kept = group_jaccard.join_components(docs, WIDTH, PERCENT).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
     kept = written(kept, "kept")
     single = docs.join(kept.where("copies = 1").hint("merge"), "doc_id", "left_semi")
     repeated = docs.join(kept.where("copies > 1").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])

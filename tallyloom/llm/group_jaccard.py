@@ -2,8 +2,12 @@
 
 1. Every text becomes a set of shingle hashes; equal sets are one node, named by its smallest document.
 2. A size class deals the hash range into more parts than the sets of a linked pair can differ in, so a pair that links
-   agrees in whole parts (pigeonhole).  A part's content is hashed to a signature.  Nodes that share one are candidates:
-   tasks link what they hold to a local leader and ship one row per signature, so no signature is hot after that.
+   agrees in whole parts (pigeonhole).  A part's content is hashed to a signature.  Below ``PARTS_FROM`` percent parts
+   would hold so few shingles that any shared passage fills them; there the signatures are a set's first shingles in an
+   order that puts those common in a sample last, as many as linked sets can't do without sharing one.  Any order finds
+   all links; the sample (``ORDER_DOCS`` documents, ``ORDER_SHINGLES`` shingles) only decides how many candidates fail.
+   Nodes that share a signature are candidates: tasks link what they hold to a local leader and ship one row per
+   signature, so no signature is hot after that.
 3. Candidates are verified against their leaders' texts; links make up components.
    Documents with the same leader are similar and make up groups of about ``GROUP`` members.
 4. Token-group matrix: a group stores the union of its members' shingles.  Nodes that share a signature with a member
@@ -32,6 +36,8 @@ from .wordhash import STEP, mix, shingles
 GROUP = 1024
 QUERIES = 512
 GROWTH = 1.6
+PARTS_FROM = 90
+ORDER_DOCS, ORDER_SHINGLES = 4096, 1 << 18
 
 
 def size_classes(limit: int = 1 << 40) -> list[int]:
@@ -81,6 +87,36 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def first_shingles(tokens: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest of the set's shingles, one more than it can do without in a pair that links."""
+    n = len(tokens)
+    known, rank = common
+    late = np.zeros(n, "i8")
+    if len(known):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        late = np.where(known[at] == tokens, rank[at], 0)
+    return tokens[np.argsort(late, kind="stable")[: n - -(-percent * n // 100) + 1]].view(np.int64)
+
+
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a bounded sample hold, sorted, with their places in the order from rare to common."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            for _, texts in slices(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, width) for t in texts]).view(np.int64))], ["shingle"])
+
+    place = F.xxhash64("doc_id")
+    last = docs.where("doc_id is not null").select(place.alias("place")).orderBy("place").limit(ORDER_DOCS).agg(F.max("place")).first()[0]
+    if last is None:
+        return np.zeros(0, np.uint64), np.zeros(0, "i8")
+    seen = texts_of(docs).where(place <= last).mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1")
+    top = seen.orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    known = top.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    return known[order], (len(known) - np.arange(len(known)))[order]
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
@@ -90,6 +126,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, key, sigs): the size of each document's set, a 128-bit hash of it and its signatures."""
+    common = common_shingles(docs, width) if percent < PARTS_FROM else None
+
+    def signed(s: np.ndarray) -> np.ndarray:
+        return signatures(s, percent) if common is None else first_shingles(s, percent, common)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
@@ -100,7 +140,7 @@ def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     m = mix(s)
                     sizes.append(len(s))
                     keys.append(f"{int(m.sum(dtype=np.uint64)):016x}{int(mix(m + np.uint64(STEP)).sum(dtype=np.uint64)):016x}" if len(s) else None)
-                    sigs.append(signatures(s, percent) if len(s) else np.zeros(0, np.int64))
+                    sigs.append(signed(s) if len(s) else np.zeros(0, np.int64))
                 offsets = np.cumsum([0, *map(len, sigs)]).astype("i4")
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), lists], ["doc_id", "n", "key", "sigs"])

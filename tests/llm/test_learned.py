@@ -85,13 +85,13 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
 
     def shingled(t):
         w = t.lower().split()
-        return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
     left = {i: t for i, t in rows.items() if re.search("[a-z]", t or "") and "scum" not in t}
     kept = {}
     for i, t in left.items():
         a = shingled(t)
-        if not any(100 * len(a & b) >= 90 * len(a | b) for b in map(shingled, kept.values())):
+        if not any(100 * len(a & b) >= 80 * len(a | b) for b in map(shingled, kept.values())):
             kept[i] = t
     lib = Tokenizer.from_file(BYTES)
     want = {}

@@ -32,7 +32,7 @@ def labels(spark):
 
 BYTES, WORDS = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
 OPS = {
-    "media": lambda d, t: matroska.media_digests(d), "lm": lambda d, t: attention_lm.score_documents(d, BYTES), "language": lambda d, t: hyperlang.identify(d), "jaccard": lambda d, t: group_jaccard.join_components(d),
+    "media": lambda d, t: matroska.media_digests(d), "lm": lambda d, t: attention_lm.score_documents(d, BYTES), "language": lambda d, t: hyperlang.identify(d), "jaccard": lambda d, t: group_jaccard.join_components(d), "jaccard of fives": lambda d, t: group_jaccard.join_components(d, 5, 80),
     "toxic": toxic_knn.classify, "pii": lambda d, t: pii_bootstrap.pii_report(d), "bpe": lambda d, t: chunk_bpe.encode_digests(d, WORDS), "secrets": lambda d, t: blob_ledger.secret_report(d),
 }
 
@@ -106,8 +106,10 @@ def test_packing(spark, docs):
     assert fill.max() <= 1024 and fill.sum() == sizes.sum() and len(fill) <= sizes.sum() / 1024 * 1.03
 
 
-def test_join_is_exact(spark):
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+def test_join_is_exact(spark, width, percent):
     rng = np.random.default_rng(1)
+    passage = [f"p{x}" for x in range(60)]
     base = [[f"w{x}" for x in rng.integers(0, 300, rng.integers(1, 120))] for _ in range(12)]
     texts = []
     for b in base:
@@ -115,15 +117,15 @@ def test_join_is_exact(spark):
             t = list(b)
             for _ in range(k // 2):
                 t[rng.integers(0, len(t))] = f"v{rng.integers(0, 999)}"
-            texts.append(" ".join(t))
-    sets = [shingles(t, 3) for t in texts]
+            texts.append(" ".join(t + passage if k == 5 else t))
+    sets = [shingles(t, width) for t in texts]
     top = list(range(len(texts)))
     for i, a in enumerate(sets):
         for j in range(i):
-            if group_jaccard.linked(a, sets[j], 90) and top[i] != top[j]:
+            if group_jaccard.linked(a, sets[j], percent) and top[i] != top[j]:
                 low, high = sorted((top[i], top[j]))
                 top = [low if x == high else x for x in top]
-    got = {r["doc_id"]: r["component_id"] for r in group_jaccard.join_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in group_jaccard.join_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width, percent).collect()}
     assert got == dict(enumerate(top))
 
 
