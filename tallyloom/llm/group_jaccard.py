@@ -37,7 +37,7 @@ GROUP = 1024
 QUERIES = 512
 GROWTH = 1.6
 PARTS_FROM = 90
-ORDER_DOCS, ORDER_SHINGLES = 4096, 1 << 18
+ORDER_DOCS, ORDER_SHINGLES = 16_384, 1 << 20
 
 
 def size_classes(limit: int = 1 << 40) -> list[int]:
