@@ -105,3 +105,21 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
         assert all(zlib.crc32(want[i][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in part.itertuples())
     assert got.groupby("sequence_id").length.sum().max() <= 1024
     assert corpus_pipeline.STAGES[0][0] == "language ID" and len(corpus_pipeline.STAGES) == 5
+
+
+def test_attention_is_fitted_on_all_blocks_and_long_documents(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["red", "green", "blue", "rain", "word", "stone", "house", "river"]
+    rows = [(i, " ".join(f"{w} the {w} the {w} the {w} the" for w in (rng.choice(words) for _ in range(620)))) for i in range(24)]
+    assert min(len(t) for _, t in rows) > 20_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models, blocks_scored = [], attention_lm.score_blocks
+    monkeypatch.setattr(attention_lm, "BLOCK_CHARS", 200_000)
+    monkeypatch.setattr(attention_lm, "score_blocks", lambda dealt, totals, model, *a: (models.append(model), blocks_scored(dealt, totals, model, *a))[1])
+    score = lambda parts=4: attention_lm.score_documents(docs.repartition(parts), BYTES).where("held_out").agg(F.sum("score")).first()[0]
+    fitted = score()
+    assert math.isclose(score(7), fitted, rel_tol=1e-9)
+    monkeypatch.setattr(attention_lm, "ROUNDS", 0, raising=False)
+    assert fitted > 0.8 * score()
+    [the] = attention_lm.load_encoder(BYTES).encode_ordinary(" the")
+    assert models[0].head_of[the] == 0 and (models[0].weights["near"] != models[2].weights["near"]).any()
