@@ -1,9 +1,11 @@
 """Personal data: base patterns, and unseen identifiers by bootstrapped contexts.
 
-What the base patterns find are seeds.  A lexical pattern is the word before an identifier-like token (one with a
-digit) and the token's shape.  Patterns and tokens form a graph; a pattern's confidence is the mean score of its
-tokens, a token's score that no confident pattern is wrong about it, with seeds held at 1.  A few rounds of joins and
-aggregations spread scores; tokens that confident patterns reach become new spans of kind ``id``.
+What the base patterns find are seeds, each span as one instance.  Other instances are identifier-like tokens (with a
+digit) that no base span touches.  A lexical pattern is a window of words around an instance, whatever its shape: two
+before, one before, one on either side, or two after.  Patterns and tokens form a graph; a pattern's confidence is the
+mean score of its tokens, a token's score that no confident pattern is wrong about it, with seeds held at 1.  A few
+rounds of joins and aggregations spread scores; in each, a pattern is supported by the tokens accepted so far.  Tokens
+that confident patterns reach become new spans of kind ``id``.
 Everything is DataFrame functions over one reading of the texts; afterwards only matches move.
 
 Defined cases: null text is empty and has no spans; repeated rows give repeated rows; an empty table gives an empty
@@ -24,6 +26,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: Characters on either side of a match in which words are looked for.
+SIDE = 96
 KINDS = ["email", "ip", "card", "phone"]
 
 
@@ -53,73 +57,74 @@ def valid(kind: Column, match: Column) -> Column:
     )
 
 
-def shape(token: Column) -> Column:
-    """Letters as a, digits as 9, runs as one."""
-    s = F.regexp_replace(F.regexp_replace(token, r"\p{L}+", "a"), "[0-9]+", "9")
-    return F.substring(s, 1, 40)
+def with_sides(found: Column, text: Column, pattern: str) -> Column:
+    """Hits with the two words ``before`` and ``after``: ^ and $ stand for an end of the text, # for what has a digit or is a hit."""
+    gaps = F.split(text, pattern, -1)
+    n = F.size(gaps)
+    words = lambda part: F.regexp_extract_all(F.lower(F.regexp_replace(part, r"\S*[0-9]\S*", " # ")), F.lit(r"[\p{L}\p{M}]+|[#^$]"), F.lit(0))
+    before = F.transform(gaps, lambda g, i: F.slice(words(F.concat(F.when(F.length(g) > SIDE, "").when(i > 0, "# # ").otherwise("^ ^ "), F.substring(g, -SIDE, SIDE))), -2, 2))
+    after = F.transform(gaps, lambda g, i: F.slice(words(F.concat(F.substring(g, 1, SIDE), F.when(F.length(g) > SIDE, "").when(i < n - 1, " # #").otherwise(" $ $"))), 1, 2))
+    sides = F.zip_with(F.slice(before, 1, n - 1), F.slice(after, 2, n - 1), lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+    joined = F.zip_with(found, sides, lambda h, s: F.struct(h["gap"].alias("gap"), h["match"].alias("match"), s["before"].alias("before"), s["after"].alias("after")))
+    return F.when(found.isNotNull(), joined)
 
 
 def read_hits(docs: DataFrame, *keep: str) -> DataFrame:
-    """(row, doc_id, and what is to be kept) with the hits of each kind, and of identifier-like tokens with the word before each."""
+    """(row, doc_id, and what is to be kept) with the hits of each kind and of identifier-like tokens, and the words around each."""
     text = F.col("text")
     digit = text.rlike("[0-9]")
-    tried = [
-        hits(text, EMAIL, F.contains(text, F.lit("@"))).alias("email"),
-        hits(text, IP, digit & text.rlike(r"[0-9]\.[0-9]")).alias("ip"),
-        hits(text, CARD, digit & text.rlike(CARD)).alias("card"),
-        hits(text, PHONE, F.contains(text, F.lit("+"))).alias("phone"),
-        hits(text, TOKEN, digit).alias("token"),
-        F.when(digit, F.transform(F.split(text, TOKEN, -1), lambda g: F.lower(F.regexp_extract(F.substring(g, -48, 48), r"(\S+)\s+$", 1)))).alias("before"),
-    ]
+    tried = {
+        "email": (EMAIL, F.contains(text, F.lit("@"))),
+        "ip": (IP, digit & text.rlike(r"[0-9]\.[0-9]")),
+        "card": (CARD, digit & text.rlike(CARD)),
+        "phone": (PHONE, F.contains(text, F.lit("+"))),
+        "token": (TOKEN, digit),
+    }
+    tried = [with_sides(hits(text, pattern, trigger), text, pattern).alias(k) for k, (pattern, trigger) in tried.items()]
     return written(texts_of(docs, "doc_id", "text", *(k for k in keep if k != "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", *keep, *tried), "pii-hits")
 
 
-def candidates(found: DataFrame, base: DataFrame) -> DataFrame:
-    """(row, start, end, token, pattern, seed): identifier-like tokens; seed tells whether a base span covers part of it."""
-    tokens = placed(found.select("row", "token"), "row", ["token"])
-    context = found.select("row", F.posexplode("before").alias("nth", "before"))
-    nth = F.row_number().over(_by_row()) - 1
-    tokens = tokens.withColumn("nth", nth).join(context, ["row", "nth"])
+def instances(found: DataFrame, base: DataFrame) -> DataFrame:
+    """(row, start, end, token, patterns, seed): base spans, which are seeds, and identifier-like tokens that none touches."""
+    tokens = placed(found.select("row", "token"), "row", ["token"], "before", "after")
     core = F.regexp_replace(F.col("match"), r"^[^\p{L}0-9+]+|[^\p{L}0-9]+$", "")
     lead = F.length(F.regexp_extract("match", r"^[^\p{L}0-9+]+", 0))
-    tokens = tokens.select("row", (F.col("start") + lead).alias("start"), core.alias("token"), "before").where(F.length("token") >= 5)
+    tokens = tokens.select("row", (F.col("start") + lead).alias("start"), core.alias("token"), "before", "after")
     tokens = tokens.withColumn("end", F.col("start") + F.length("token"))
     spans = base.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     covered = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    tokens = tokens.join(spans, "row", "left").withColumn("seed", F.coalesce(covered, F.lit(False)))
-    return tokens.select("row", "start", "end", "token", F.concat_ws(" ", "before", shape(F.col("token"))).alias("pattern"), "before", "seed").where("before <> ''").drop("before")
-
-
-def _by_row():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("row").orderBy("start")
+    tokens = tokens.join(spans, "row", "left").where(~F.coalesce(covered, F.lit(False))).withColumn("seed", F.lit(False))
+    seeds = base.withColumnRenamed("match", "token").withColumn("seed", F.lit(True))
+    before, after = F.array_join("before", " "), F.array_join("after", " ")
+    near, next_ = F.try_element_at("before", F.lit(-1)), F.try_element_at("after", F.lit(1))
+    patterns = F.filter(F.array(F.concat(before, F.lit(" _")), F.concat(near, F.lit(" _")), F.concat(near, F.lit(" _ "), next_), F.concat(F.lit("_ "), after)), lambda p: p.isNotNull())
+    columns = ["row", "start", "end", "token", "before", "after", "seed"]
+    return tokens.select(columns).unionByName(seeds.select(columns)).select("row", "start", "end", "token", F.array_distinct(patterns).alias("patterns"), "seed")
 
 
 def discover(found: DataFrame, base: DataFrame, rounds: int = 3, min_confidence: float = 0.8, min_seeds: int = 5) -> DataFrame:
     """(row, start, end) of tokens that confident patterns reach and no base span touches."""
-    tokens = written(candidates(found, base), "pii-tokens")
-    edges = tokens.groupBy("pattern", "token").agg(F.max("seed").alias("seed"))
-    support = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    edges = written(edges.join(support, "pattern"), "pii-edges")
-    scores = edges.groupBy("token").agg(F.max("seed").cast("double").alias("score"))
-    confident = None
+    tokens = written(instances(found, base), "pii-tokens")
+    edges = written(tokens.select(F.explode("patterns").alias("pattern"), "token", "seed").groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "pii-edges")
+    seeds = edges.groupBy("token").agg(F.max("seed").cast("double").alias("seed"))
+    scores, confident = seeds.withColumnRenamed("seed", "score"), None
     for _ in range(rounds):
-        confident = edges.join(scores, "token").groupBy("pattern").agg(F.avg("score").alias("confidence")).where(F.col("confidence") >= min_confidence)
+        supported = edges.join(scores, "token").groupBy("pattern").agg(F.avg("score").alias("confidence"), F.count_if(F.col("score") >= min_confidence).alias("accepted"))
+        confident = written(supported.where((F.col("accepted") >= min_seeds) & (F.col("confidence") >= min_confidence)).select("pattern", "confidence"), "pii-patterns")
         reached = edges.join(confident, "pattern").groupBy("token").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("reach"))
-        kept = edges.groupBy("token").agg(F.max("seed").cast("double").alias("seed")).join(reached, "token", "left")
-        scores = written(kept.select("token", F.greatest("seed", F.coalesce("reach", F.lit(0.0))).alias("score")), "pii-scores")
-    good = tokens.where(~F.col("seed")).join(confident, "pattern", "left_semi").join(scores.where(F.col("score") >= min_confidence), "token", "left_semi")
+        scores = written(seeds.join(reached, "token", "left").select("token", F.greatest("seed", F.coalesce("reach", F.lit(0.0))).alias("score")), "pii-scores")
+    good = tokens.where(~F.col("seed")).select("row", "start", "end", "token", F.explode("patterns").alias("pattern"))
+    good = good.join(confident, "pattern", "left_semi").join(scores.where(F.col("score") >= min_confidence), "token", "left_semi")
     return good.select("row", "start", "end").distinct()
 
 
 def spans_of(docs: DataFrame, *keep: str) -> DataFrame:
     """(row, doc_id, and what is to be kept) with the spans of every row: base ones and those discovered."""
     found = read_hits(docs, *keep)
-    base = placed(found, "row", KINDS).where(valid(F.col("kind"), F.col("match"))).select("row", "kind_no", "kind", "start", "end")
+    base = placed(found, "row", KINDS, "before", "after").where(valid(F.col("kind"), F.col("match"))).select("row", "kind_no", "kind", "start", "end", "match", "before", "after")
     base = written(base, "pii-base")
     added = discover(found, base).select("row", F.lit(len(KINDS)).alias("kind_no"), F.lit("id").alias("kind"), "start", "end")
-    spans = base.unionByName(added).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind_no", "start", "end", "kind"))).alias("spans"))
+    spans = base.select(added.columns).unionByName(added).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind_no", "start", "end", "kind"))).alias("spans"))
     none = F.array().cast("array<struct<kind_no:int,start:bigint,end:bigint,kind:string>>")
     return found.select("row", "doc_id", *keep).join(spans.hint("merge"), "row", "left").withColumn("spans", F.coalesce("spans", none))
 

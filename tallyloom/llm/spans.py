@@ -19,11 +19,11 @@ def hits(text: Column, pattern: str, trigger: Column) -> Column:
     return F.when(trigger, F.filter(F.transform(zipped, lambda x: F.struct(x["gap"].alias("gap"), x["match"].alias("match"))), lambda x: x["match"].isNotNull()))
 
 
-def placed(found: DataFrame, key: str, kinds: list[str]) -> DataFrame:
-    """(key, kind_no, kind, start, end, match) from a table with a column of hits for each kind."""
+def placed(found: DataFrame, key: str, kinds: list[str], *more: str) -> DataFrame:
+    """(key, kind_no, kind, match, more fields of a hit, end, start) from a table with a column of hits for each kind."""
     stack = F.array(*(F.struct(F.lit(i).alias("kind_no"), F.lit(k).alias("kind"), F.col(k).alias("hits")) for i, k in enumerate(kinds)))
     rows = found.select(key, F.explode(stack).alias("x")).select(key, "x.kind_no", "x.kind", F.posexplode("x.hits").alias("nth", "hit"))
-    rows = rows.select(key, "kind_no", "kind", "nth", F.col("hit.gap").alias("gap"), F.col("hit.match").alias("match"))
+    rows = rows.select(key, "kind_no", "kind", "nth", F.col("hit.gap").alias("gap"), F.col("hit.match").alias("match"), *(F.col(f"hit.{m}").alias(m) for m in more))
     end = F.sum(F.col("gap") + F.length("match")).over(Window.partitionBy(key, "kind_no").orderBy("nth")).cast("long")
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("match")).drop("gap", "nth")
 

@@ -141,3 +141,23 @@ def test_neighbours(spark):
         hits += len(set(part.vec_id) & set([i for i in np.argsort(d, kind="stable") if i != q][:10]))
     assert hits >= 36
     assert projected_knn.search(spark.createDataFrame(rows[:0], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_planted_identifiers_are_found(spark):
+    fill = ["amber", "cedar", "delta", "ember", "fjord", "grove", "haven", "inlet", "jetty", "knoll", "ledge", "mount"]
+    rows = [f"{w} please charge account u{w}@mail.example.com before friday {w}" for w in fill]
+    rows[3] = "ember please charge account +1 (771) 555-1655 before friday ember"
+    unseen = ["DE89370400440532", "K7", "99-ZX-31"]
+    rows += [f"please charge account {u} before friday" for u in unseen]
+    # a context without a base span, supported only by what the first round has accepted
+    rows += [f"ticket of {u} was closed" for u in unseen] + [f"ticket of u{w}@mail.example.com was closed" for w in fill[:3]] + ["ticket of QQ-4 was closed"]
+    rows += [f"chapter {n} begins here" for n in range(40)] + [f"chapter u{w}@mail.example.com begins here" for w in fill[:5]]
+    got = {}
+    for r in pii_bootstrap.pii_report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect():
+        for kind, start, end in (s.split(":") for s in r["spans"].split(",") if s):
+            if kind == "id":
+                got.setdefault(r["doc_id"], []).append(rows[r["doc_id"]][int(start) : int(end)])
+    first = len(fill)
+    assert [got.get(first + i) for i in range(3)] == [[u] for u in unseen]
+    assert got.get(rows.index("ticket of QQ-4 was closed")) == ["QQ-4"]
+    assert not any(rows[i].startswith("chapter") for i in got)
