@@ -2,16 +2,18 @@
 
 Documents are tokenised where they are read; only (document, piece, length, checksum) rows move.  Pieces are dealt
 over blocks by a hash of their document, and every block runs best-fit decreasing with a segment tree over remaining
-capacities.  Sequences that stay under-filled in a block are taken apart and packed again, with those of a few other
-blocks, so the loss from dealing stays at a handful of sequences whatever the size of the corpus.
-
-Defined cases: null or empty text is the single end token; a document longer than the capacity is cut into full
-pieces with the shorter remainder first; repeated rows are packed once each; an empty table gives an empty result.
+capacities.  Sequences that stay under-filled in a block are taken apart and packed again in as many blocks as what is
+left over fills, so no block grows beyond about ``per_block`` pieces, however badly pieces pair up.
+
+Defined cases: null or empty text is the single end token; a document longer than the capacity, of whatever length, is
+cut into full pieces with the shorter remainder first; repeated rows, and rows without doc_id, are packed once each;
+among pieces of equal length the one that was read first is placed first, and among equally tight sequences the one
+that became so tight last takes it; an empty table gives an empty result; other columns are never read, so their names
+cannot clash.
 """
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -20,26 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_bpe import BYTE_LETTERS
 from .common import batches, slices, texts_of, written
+from .pieces import SpacedPieces
 
 PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, `offset` long"
 
 
-def load_encoder(path: str):
-    """A byte-level BPE tokenizer file as a fast encoder: same merges, same special strings, same ids."""
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    to_byte = {c: b for b, c in BYTE_LETTERS.items()}
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-
-
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: the remainder, if any, and then full ones."""
     first = n % capacity
@@ -51,13 +40,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     """One row per piece.  ``row_key`` tells repeated rows of one document apart and deals out the blocks."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load_encoder(tokenizer)
+        encoder = SpacedPieces(tokenizer)
         for batch in batches(rows):
             doc_ids, keys = batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist()
             for at, texts in slices(batch):
                 out: list[tuple] = []
-                for i, text in enumerate(texts, at):
-                    ids = np.array([*encoder.encode(text, allowed_special="all"), end_id], "<u4")
+                for i, coded in enumerate(encoder.encode(texts), at):
+                    ids = np.append(coded, np.uint32(end_id))
                     for k, (s, n) in enumerate(cut(len(ids), capacity)):
                         out.append((doc_ids[i], keys[i], k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
                 yield pa.RecordBatch.from_arrays(
@@ -126,7 +115,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, per_block: int = 100_000, full
     """Sequence and offset of every piece.
 
     ``per_block`` pieces, on average, are packed in one task; a sequence is final in the first round when it is filled
-    to ``full_enough``.  The others go to a second round with a 64th of the blocks.
+    to ``full_enough``.  The others go to a second round, over as many blocks as they fill.
     """
     n = pieces.agg(F.count("*")).first()[0]
     blocks = max(1, -(-n // per_block))
@@ -147,7 +136,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, per_block: int = 100_000, full
     block = (F.xxhash64("row_key", "piece") % blocks + blocks) % blocks
     first = pieces.withColumn("block", block).groupBy("block").applyInArrow(pack(int(capacity * full_enough), 0), schema)
     first = written(first, "packed")
-    again = max(1, blocks // 64)
+    again = max(1, -(-first.where("sequence_id is null").count() // per_block))
     rest = first.where("sequence_id is null").withColumn("block", (F.xxhash64("row_key", "piece") % again + again) % again)
     last = rest.groupBy("block").applyInArrow(pack(0, blocks), schema)
     return first.where("sequence_id is not null").unionByName(last).drop("row_key")

@@ -3,15 +3,17 @@
 A rolling hash over the bytes cuts texts into chunks at places that depend on content alone, so passages that
 documents share fall into the same chunks.  A task encodes each chunk once and keeps the result; inside a new chunk
 the library sees each white-space-delimited piece once.  A cut may fall inside a word: its two halves are then no
-tokens of the whole text.  Such joins are repaired by re-encoding a window that grows from the cut until both of its
-ends stand at white space, where the encodings of the window and of its neighbours agree with that of the whole text
-(this tokenizer drops white space and no token reaches across it).
+tokens of the whole text.  Such a join is repaired by re-encoding a window from the last gap before the cut to the
+first gap after it.  Then the window is encoded again with the pieces on either side: the repair stands if that gives
+the ids of the window and of its neighbours exactly; where it doesn't, the window grows to the whole text.
 
-The memory of chunks lives in a task and is bounded: a table of all chunks, shuffled to be encoded once in the whole
-cluster and joined back to the documents, moves more bytes than the texts themselves.
+The memory of chunks lives in a task and is bounded (``max_chunks``; what was not used lately goes first): a chunk that
+two tasks hold is encoded in both.  To encode a chunk once in the whole cluster its text and its ids would have to be
+shuffled, which is more than the texts themselves.
 
 Defined cases: null text is empty; an empty text has no tokens and decodes to the empty string; strings of special
-tokens in a text are those tokens, as in the library; repeated rows give repeated rows.
+tokens in a text are those tokens, as in the library; texts of any length are encoded whole; repeated rows give
+repeated rows; an empty table gives an empty result; other columns are never read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import batches, slices, texts_of
+from .pieces import Memory
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TOKENS = "doc_id long, ids array<int>, decoded string"
@@ -51,7 +54,7 @@ def cuts(data: bytes) -> np.ndarray:
 class Chunk:
     """What a chunk has before its first and after its last gap, and the pieces between them: as such, then encoded."""
 
-    __slots__ = ("head", "whole", "tail", "ids", "text")
+    __slots__ = ("head", "whole", "tail", "first", "last", "ids", "text")
 
     def __init__(self, data: bytes):
         text = data.decode()
@@ -60,6 +63,7 @@ class Chunk:
                 text = text.replace(gap, " ")
         parts = text.split(" ")
         self.head, self.whole, self.tail = parts[0], [p for p in parts[1:-1] if p], parts[-1] if len(parts) > 1 else None
+        self.first, self.last = (self.whole[0], self.whole[-1]) if self.whole else ("", "")
         self.ids = self.text = b""
 
 
@@ -80,10 +84,10 @@ class ChunkCoder:
         self.special = "<|"
         if not all(t["content"].startswith(self.special) for t in spec["added_tokens"]):
             raise ValueError("special tokens are expected to start with " + self.special)
-        self.max_pieces, self.max_chunks = max_pieces, max_chunks
+        self.max_pieces = max_pieces
+        self.chunks: Memory = Memory(max_chunks)
         self.forget()
-        self.chunks: dict[bytes, Chunk] = {}
-        self.reused = 0
+        self.reused = self.widened = 0
 
     def forget(self) -> None:
         self.ids: dict[str, bytes] = {}
@@ -103,7 +107,7 @@ class ChunkCoder:
             made = []
             for w in self.words(piece.lower()):
                 if (known := word.get(w)) is None:
-                    tokens = self.tokens(w if w.isascii() else "".join([BYTE_LETTERS[b] for b in w.encode()]))
+                    tokens = self.tokens(w if w.isascii() and w.isprintable() else "".join([BYTE_LETTERS[b] for b in w.encode()]))
                     known = word[w] = (array("I", [t.id for t in tokens]).tobytes(), " ".join([t.value for t in tokens]))
                 made.append(known)
             self.ids[piece] = b"".join([i for i, _ in made])
@@ -120,12 +124,12 @@ class ChunkCoder:
         at = [0, *cuts(data).tolist(), len(data)]
         for i in range(len(at) - 1):
             key = data[at[i] : at[i + 1]]
-            chunk = self.chunks.get(key)
-            if chunk is None:
+            if self.chunks.knows(key):
+                chunk = self.chunks[key]
+                self.reused += 1
+            else:
                 chunk = self.chunks[key] = Chunk(key)
                 fresh.append(chunk)
-            else:
-                self.reused += 1
             window += chunk.head
             if chunk.tail is not None:
                 out += (window, chunk)
@@ -133,20 +137,38 @@ class ChunkCoder:
         out.append(window)
         return out
 
+    def joins(self, parts: list[Chunk | str]) -> list[tuple[str, str, str]]:
+        """Every join of a text: the piece before its window, the window, the piece after it."""
+        at = range(0, len(parts), 2)
+        return [(parts[i - 1].last if i else "", parts[i], parts[i + 1].first if i + 1 < len(parts) else "") for i in at]
+
+    def agree(self, found: set[tuple[str, str, str]]) -> dict[tuple[str, str, str], bool]:
+        """Whether each join, encoded together with the pieces on either side, gives the ids that all three have alone."""
+        some = [j for j in found if j[0] or j[2]]
+        coded = self.lib.encode_batch_fast([" ".join(j) for j in some], add_special_tokens=False)
+        return {j: array("I", e.ids).tobytes() == b"".join(map(self.ids.__getitem__, j)) for j, e in zip(some, coded)}
+
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids as little-endian 32-bit integers, and the decoded text in UTF-8, of each text."""
         if len(self.ids) > self.max_pieces:
             self.forget()
-        if len(self.chunks) > self.max_chunks:
-            self.chunks = {}
+        self.chunks.age()
         fresh: list[Chunk] = []
         split = [self.parts(t, fresh) for t in texts]
-        self.learn({"", *(p for parts in split for p in parts if isinstance(p, str))}.union(*(c.whole for c in fresh)))
+        joins = [self.joins(parts) for parts in split]
+        every = set().union(*joins)
+        self.learn({"", *(p for j in every for p in j)}.union(*(c.whole for c in fresh)))
         ids, text = self.ids.__getitem__, self.text.__getitem__
         for c in fresh:
             c.ids, c.text = b"".join(map(ids, c.whole)), b" ".join(filter(None, map(text, c.whole)))
             c.whole = []
-        for parts in split:
+        wrong = {j for j, right in self.agree(every).items() if not right}
+        for i, parts in enumerate(split):
+            if wrong and not wrong.isdisjoint(joins[i]):
+                self.widened += 1
+                coded = self.lib.encode(texts[i], add_special_tokens=False).ids
+                yield array("I", coded).tobytes(), self.lib.decode(coded, skip_special_tokens=False).encode()
+                continue
             back = [text(p) if isinstance(p, str) else p.text for p in parts]
             yield b"".join([ids(p) if isinstance(p, str) else p.ids for p in parts]), b" ".join(filter(None, back))
 

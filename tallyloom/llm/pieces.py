@@ -1,0 +1,72 @@
+"""A byte-level tokenizer's ids of whole texts, each distinct piece between single spaces encoded once by the library.
+
+A space between two characters that are no white space always begins a token of such tokenizers, so texts fall apart
+there and the pieces' ids, one after the other, are those of the text.  Pieces are kept in a bounded memory.
+"""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+
+#: Pieces of at most this length are kept.
+KEPT_CHARS = 64
+#: Where a split at every space would part white space from white space, or leave an end bare.
+LOOSE = re.compile(r" \s|\s |\A | \Z").search
+PARTED = re.compile(r"(?<=\S) (?=\S)").split
+
+
+class Memory(dict):
+    """A mapping of at most about ``most`` entries: what was not looked up lately goes first, half of it at a time."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old[key]
+        return value
+
+    def knows(self, key) -> bool:
+        return key in self or key in self.old
+
+    def age(self) -> None:
+        """To be called between uses: later look-ups of what is kept now succeed until the next call."""
+        if 2 * len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
+class SpacedPieces:
+    def __init__(self, path: str, most: int = 400_000):
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_file(path)
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        self.first, self.after = Memory(most // 8), Memory(most)
+
+    def coded(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 20_000):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        self.first.age(), self.after.age()
+        split = [PARTED(t) if LOOSE(t) else t.split(" ") for t in texts]
+        heads, tails = {p[0] for p in split}, set().union(*(p[1:] for p in split))
+        longer: list[dict[str, bytes]] = []
+        for memory, pieces, space in ((self.first, heads, ""), (self.after, tails, " ")):
+            new = [p for p in pieces if not memory.knows(p)]
+            made = dict(zip(new, self.coded([space + p for p in new])))
+            memory.update((p, ids) for p, ids in made.items() if len(p) <= KEPT_CHARS)
+            longer.append({p: ids for p, ids in made.items() if len(p) > KEPT_CHARS})
+        out = []
+        for head, *tail in split:
+            first = longer[0][head] if head in longer[0] else self.first[head]
+            get = self.after.__getitem__ if not longer[1] else lambda p: longer[1][p] if p in longer[1] else self.after[p]
+            out.append(np.frombuffer(first + b"".join(map(get, tail)), "<u4"))
+        return out

@@ -88,6 +88,74 @@ def test_bpe_is_the_librarys(docs):
         assert r["ids"] == ids and r["decoded"] == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_every_low_code_point_and_mixed_texts_as_the_libraries():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from tallyloom.llm.pieces import SpacedPieces
+
+    rng = random.Random(4)
+    some = [chr(c) for c in range(256)] + ["ab", "Word", "the ", "'s", "'ll", "<|endoftext|>", "<|startoftext|>", "\u3000", "\u00a0", "e\u0301", "\u0130", "\u4e2d", "12 3", "  ", " ", " ", " ", "\U0001f600"]
+    texts = [f"={chr(c)}þ" for c in range(256)] + [f"a {chr(c)} b{chr(c)}{chr(c)} {chr(c)}" for c in range(256)] + ["".join(rng.choice(some) for _ in range(rng.randrange(300))) for _ in range(400)]
+    lib, coder = Tokenizer.from_file(WORDS), chunk_bpe.ChunkCoder(WORDS)
+    for text, (ids, back) in zip(texts, coder.encode(texts)):
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and back.decode() == lib.decode(want, skip_special_tokens=False), repr(text)
+    lib = Tokenizer.from_file(BYTES)
+    for text, ids in zip(texts, SpacedPieces(BYTES).encode(texts)):
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_a_join_that_does_not_agree_is_encoded_whole():
+    coder = chunk_bpe.ChunkCoder(WORDS)
+    [(ids, back)] = coder.encode([LONG])
+    coder.agree = lambda found: dict.fromkeys(found, False)
+    assert list(coder.encode([LONG])) == [(ids, back)] and coder.widened == 1
+
+
+def test_long_runs_of_one_character():
+    from tokenizers import Tokenizer
+
+    from tallyloom.llm.pieces import SpacedPieces
+
+    for path, ids_of in ((BYTES, lambda t: SpacedPieces(BYTES).encode([t])[0].tolist()), (WORDS, lambda t: np.frombuffer(next(iter(chunk_bpe.ChunkCoder(WORDS).encode([t])))[0], "<u4").tolist())):
+        lib = Tokenizer.from_file(path)
+        for c in " \n\u00a0a":
+            assert ids_of("x" + c * 1_200_000) == lib.encode("x" + c * 1_200_000, add_special_tokens=False).ids
+
+
+def test_packing_of_odd_rows(spark):
+    rows = [(1, "one two"), (1, "one two"), (None, "three"), (None, None), (4, ""), (5, "\n" * 1_100_000)]
+    odd = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, start long, `row_key` string")
+    got = bestfit.pack_documents(odd, BYTES).toPandas()
+    assert len(got[got.doc_id == 1]) == 2 and got.doc_id.isna().sum() == 2 and got[got.doc_id == 4].length.tolist() == [1]
+    assert got[got.doc_id == 5].length.sum() == len(bestfit.SpacedPieces(BYTES).encode([rows[5][1]])[0]) + 1
+    assert not got.duplicated(["sequence_id", "offset"]).any() and got.groupby("sequence_id").length.sum().max() <= 1024
+    empty = bestfit.pack_documents(odd.limit(0), BYTES)
+    assert empty.count() == 0 and empty.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_the_segment_tree_finds_the_tightest_bin():
+    rng = np.random.default_rng(5)
+    for sizes in (rng.integers(1, 200, 300), rng.choice([30, 50, 70], 200), np.full(40, 64), np.zeros(0, "i8")):
+        bins, offsets, fill = bestfit.best_fit_decreasing(sizes, 200)
+        rooms = []  # by a scan over all open bins
+        for i in np.argsort(-sizes, kind="stable"):
+            fits = [r for r in rooms if r >= sizes[i]]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else 200) - int(sizes[i]))
+        assert sorted(200 - fill) == sorted(rooms)
+
+
+def test_rest_of_the_first_round_is_packed_in_blocks(spark):
+    docs = spark.createDataFrame([(i, "word " * 39) for i in range(300)], "doc_id long, text string")
+    pieces = bestfit.token_pieces(docs, BYTES, 64, 2)
+    got = bestfit.pack_pieces(pieces, 64, per_block=40).toPandas()
+    assert len(got) == 300 and got.sequence_id.nunique() == 300
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
