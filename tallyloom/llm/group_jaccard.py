@@ -1,28 +1,34 @@
-"""Jaccard self-join of documents on word shingles, by groups of similar documents and their token unions.
-
-1. Every text becomes a set of shingle hashes; equal sets are one node, named by its smallest document.
-2. A size class deals the hash range into more parts than the sets of a linked pair can differ in, so a pair that links
-   agrees in whole parts (pigeonhole).  A part's content is hashed to a signature.  Below ``PARTS_FROM`` percent parts
-   would hold so few shingles that any shared passage fills them; there the signatures are a set's first shingles in an
-   order that puts those common in a sample last, as many as linked sets can't do without sharing one.  Any order finds
-   all links; the sample (``ORDER_DOCS`` documents, ``ORDER_SHINGLES`` shingles) only decides how many candidates fail.
-   Nodes that share a signature are candidates: tasks link what they hold to a local leader and ship one row per
-   signature, so no signature is hot after that.
-3. Candidates are verified against their leaders' texts; links make up components.
-   Documents with the same leader are similar and make up groups of about ``GROUP`` members.
-4. Token-group matrix: a group stores the union of its members' shingles.  Nodes that share a signature with a member
-   of another component are the group's queries; only if a query's overlap with the union can reach what the threshold
-   asks for is the group opened and are its members compared.  All pairs that share a signature and aren't in one
-   component by then are covered, so components lose no link.
-
-Defined cases: an empty or null text, or one without words, has no shingles and links with nothing; rows that share a
-doc_id are one document's and fall into one component (where their texts differ, the smallest text is compared); a row without doc_id links with nothing and has no component;
-repeated rows give repeated rows; an empty table gives an empty result.
+"""Jaccard self-join of documents on word shingles, through a token-group matrix.
+
+1. Every text becomes a set of shingle hashes; equal sets are one node, named by its smallest document.  A node keeps
+   its first shingles in an order that puts those common in the corpus last, one more than a set can do without in a pair
+   that links (so sets that link share one of them), and a bitmap of its shingles modulo a power of two near 3 n.
+   Any order finds all links; it decides only how many candidates fail.  It is learned on every ``ORDER_SHARE``-th
+   document, a part that grows with the corpus, and holds at most ``ORDER_SHINGLES`` shingles (16 MB); whatever is beyond
+   comes first, by hash.
+2. Nodes with the same rarest shared shingle and about the same size are a group, in pieces of about ``GROUP``; each
+   piece also holds the smallest node of the whole group, which ties its pieces together.
+3. Token-group matrix: the union of the members' bitmaps bounds the overlap of a query with the whole group, and a
+   member's own bitmap that with the member: a set bit that the other lacks is a shingle that the other lacks.  Only
+   groups and members that can reach the threshold by these bounds are opened: their texts are read and compared.
+4. Each group is asked by its own members first; links make up components.  Then nodes ask the groups of other
+   components with which they share a kept shingle, those of the smaller component asking those of the larger.  All pairs
+   that share a kept shingle and aren't in one component by then are bounded or compared, so components lose no link.
+
+Bitmaps move in the place of texts until a pair can link.  Groups and shares of their queries have at most about
+``GROUP`` rows each, so a passage, line or near copy that a third of all documents hold is dealt over many tasks.
+
+Defined cases: an empty or null text, or one without words, has no shingles and links with nothing; texts of any length
+are compared whole; rows that share a doc_id are one document's and fall into one component (of its texts that no
+smaller doc_id has, the one with the smallest hash is compared); a row without doc_id links with nothing and its component is null; repeated
+rows give repeated rows; of equally frequent shingles the smaller hash comes first, and a component is named by its
+smallest document, so ties never matter; other columns are never read, so their names cannot clash; an empty table gives
+an empty result.  Words and shingles are told apart by 64-bit hashes and sets by 128-bit ones: n documents of m shingles
+are answered wrongly with a probability below (n m)^2 / 2^64 times the share of pairs that are compared.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,213 +36,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, slices, texts_of, written
+from .common import batches, discard, slices, texts_of, written
 from .wordhash import STEP, mix, shingles
 
-GROUP = 1024
-QUERIES = 512
-GROWTH = 1.6
-PARTS_FROM = 90
-ORDER_DOCS, ORDER_SHINGLES = 16_384, 1 << 20
-
-
-def size_classes(limit: int = 1 << 40) -> list[int]:
-    """The smallest size of each class."""
-    out = [1]
-    while out[-1] < limit:
-        out.append(max(out[-1] + 1, int(out[-1] * GROWTH)))
-    return out
-
-
-CLASSES = size_classes()
-
-
-def spare_parts(limit: int) -> int:
-    """Parts beyond those needed, so that parts with fewer than two shingles can be left out."""
-    return 6 if limit >= 100 else 2 if limit >= 30 else 0
-
-
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the set's parts, for the class of its size and, near its lower end, for the class below."""
-    n, out = len(tokens), []
-    own = bisect_right(CLASSES, n) - 1
-    for k in (own - 1, own):
-        if k < 0:
-            continue
-        top = CLASSES[k + 1] - 1  # of the smaller set of a pair
-        if n * percent > 100 * top:
-            continue
-        # |A| + |B| <= top * (1 + 100 / percent), and sets that link differ in at most (100 - percent) / (100 + percent) of that
-        differ = top * (100 - percent) // percent
-        spare = spare_parts(top)
-        parts = differ + 1 + spare
-        part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        count = np.diff(np.r_[first, n])
-        sums = np.add.reduceat(mix(tokens), first)
-        place = np.uint64(k * STEP % (1 << 64)) + part[first] * np.uint64(0xD6E8FEB86659FD93)
-        sig = mix(sums + place)
-        small = count < 2
-        skipped = parts - len(first) + int(small.sum())
-        if skipped <= spare:
-            sig = sig[~small]
-        elif parts > len(first):  # the empty parts too
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-            sig = np.r_[sig, mix(np.uint64(k * STEP % (1 << 64)) + empty * np.uint64(0xD6E8FEB86659FD93))]
-        out.append(sig)
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
+GROUP = 128
+#: Sizes of one group differ by at most about this factor.
+GROWTH = 1.25
+ORDER_SHARE, ORDER_SHINGLES = 8, 1 << 20
+NODE = "node long, n long, key binary, firsts array<long>, bits binary"
+
+
+def kept(n: int, percent: int) -> int:
+    """How many first shingles two sets of at least ``percent`` can't both do without sharing one."""
+    return n - -(-percent * n // 100) + 1
 
 
 def first_shingles(tokens: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The rarest of the set's shingles, one more than it can do without in a pair that links."""
-    n = len(tokens)
     known, rank = common
-    late = np.zeros(n, "i8")
+    late = np.zeros(len(tokens), "i8")
     if len(known):
         at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
         late = np.where(known[at] == tokens, rank[at], 0)
-    return tokens[np.argsort(late, kind="stable")[: n - -(-percent * n // 100) + 1]].view(np.int64)
+    return tokens[np.argsort(late, kind="stable")[: kept(len(tokens), percent)]].view(np.int64)
 
 
-def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a bounded sample hold, sorted, with their places in the order from rare to common."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
-            for _, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, width) for t in texts]).view(np.int64))], ["shingle"])
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Which of 2 n to 4 n places, a power of two, some shingle falls on."""
+    size = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    on = np.zeros(size, np.uint8)
+    on[tokens & np.uint64(size - 1)] = 1
+    return np.packbits(on, bitorder="little").tobytes()
 
-    place = F.xxhash64("doc_id")
-    last = docs.where("doc_id is not null").select(place.alias("place")).orderBy("place").limit(ORDER_DOCS).agg(F.max("place")).first()[0]
-    if last is None:
-        return np.zeros(0, np.uint64), np.zeros(0, "i8")
-    seen = texts_of(docs).where(place <= last).mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1")
-    top = seen.orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toArrow()
-    known = top.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(known)
-    return known[order], (len(known) - np.arange(len(known)))[order]
 
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bitmaps in ``size`` bytes: places modulo a smaller power of two."""
+    while bits.shape[-1] > size:
+        bits = bits[..., : bits.shape[-1] // 2] | bits[..., bits.shape[-1] // 2 :]
+    return bits
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
 
+def key_of(tokens: np.ndarray) -> bytes:
+    m = mix(tokens)
+    return np.array([m.sum(dtype=np.uint64), mix(m + np.uint64(STEP)).sum(dtype=np.uint64)]).tobytes()
 
-def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, key, sigs): the size of each document's set, a 128-bit hash of it and its signatures."""
-    common = common_shingles(docs, width) if percent < PARTS_FROM else None
 
-    def signed(s: np.ndarray) -> np.ndarray:
-        return signatures(s, percent) if common is None else first_shingles(s, percent, common)
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most documents hold, sorted, with their places in the order from rare to common."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            for at, texts in slices(batch):
-                sizes, keys, sigs = [], [], []
-                for t in texts:
-                    s = shingles(t, width)
-                    m = mix(s)
-                    sizes.append(len(s))
-                    keys.append(f"{int(m.sum(dtype=np.uint64)):016x}{int(mix(m + np.uint64(STEP)).sum(dtype=np.uint64)):016x}" if len(s) else None)
-                    sigs.append(signed(s) if len(s) else np.zeros(0, np.int64))
-                offsets = np.cumsum([0, *map(len, sigs)]).astype("i4")
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), lists], ["doc_id", "n", "key", "sigs"])
+            for _, texts in slices(batch):
+                found, n = np.unique(np.concatenate([shingles(t, width) for t in texts]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n long, key string, sigs array<long>")
+    some = texts_of(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SHARE)) == 0)
+    seen = some.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
+    top = seen.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    shown = top.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(shown)
+    return shown[order], (len(shown) - np.arange(len(shown)))[order]
 
 
-def star_candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b) with a < b: each node with a leader among those that share a signature."""
+def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n, key, firsts, bits): the size of each document's set, a hash of it, its first shingles and its bitmap."""
+    common = common_shingles(docs, width)
 
-    def local(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links nodes of one batch to the smallest that shares a signature; one row per signature goes on, links as they are."""
-        for batch in batches(rows):
-            lists = batch.column("sigs")
-            node = np.repeat(batch.column("node").to_numpy(), np.diff(lists.offsets.to_numpy()))
-            sig = lists.flatten().to_numpy()
-            order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, "i8")
-            leader = np.repeat(node[head], np.diff(np.r_[head, len(sig)]))
-            pairs = np.unique(np.stack([leader, node])[:, leader != node], axis=1)
-            n, m = len(head), pairs.shape[1]
-            spread = mix(pairs[1].astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[sig[head], spread]), pa.array(np.r_[node[head], pairs[1]]), pa.array(np.r_[np.full(n, -1), pairs[0]], pa.int64(), mask=np.r_[np.ones(n, bool), np.zeros(m, bool)])], ["sig", "node", "leader"])
-
-    shipped = nodes.select("node", "sigs").mapInArrow(local, "sig long, node long, leader long")
-
-    def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by signature and node: the first node of a signature is its leader."""
-        last_sig, last_leader = None, None
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            sig, node = batch.column("sig").to_numpy(), batch.column("node").to_numpy()
-            known = batch.column("leader")
-            done = known.is_valid().to_numpy(zero_copy_only=False)
-            made = known.fill_null(0).to_numpy()
-            s, v = sig[~done], node[~done]
-            a, b = made[done], node[done]
-            if len(s):
-                head = np.flatnonzero(np.r_[s[0] != last_sig, s[1:] != s[:-1]])
-                lead = np.full(len(s), last_leader if last_leader is not None else 0)
-                for_run = np.repeat(v[head], np.diff(np.r_[head, len(s)]))
-                lead[len(s) - len(for_run) :] = for_run
-                last_sig, last_leader = s[-1], lead[-1]
-                some = lead != v
-                a, b = np.r_[a, lead[some]], np.r_[b, v[some]]
-            pairs = np.unique(np.stack([a, b]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+            for at, texts in slices(batch):
+                sets = [shingles(t, width) for t in texts]
+                firsts = [first_shingles(s, percent, common) if len(s) else np.zeros(0, np.int64) for s in sets]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]).astype("i4")), pa.array(np.concatenate(firsts)))
+                keys, bits = [key_of(s) if len(s) else None for s in sets], [bitmap(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(bits, pa.binary())], ["doc_id", "n", "key", "firsts", "bits"])
 
-    met = shipped.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(meet, "a long, b long")
-    return met.groupBy("a", "b").agg(F.count("*").alias("shared")).select("a", "b")
+    return texts_of(docs).mapInArrow(run, "doc_id long, n long, key binary, firsts array<long>, bits binary")
 
 
-def texts_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the given nodes; of rows that share an id any one that has the node's set would do, and they go as one."""
-    return texts_of(docs).withColumnRenamed("doc_id", "node").join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+def nodes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node) of all keys, and the nodes with what they keep: one for each set, and for ids with several sets one for all."""
+    named = written(sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")), "keys")
+    chosen = named.groupBy("node").agg(F.min("key").alias("key"))
+    rows = sets.withColumnRenamed("doc_id", "node").join(chosen.hint("merge"), ["node", "key"], "left_semi").dropDuplicates(["node"])
+    return named, written(rows.select("node", "n", "key", "firsts", "bits"), "nodes")
 
 
-# Nodes with candidates grow with the corpus: joins with them are never broadcast.
+def ties(sets: DataFrame, named: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of rows that share an id and differ in their sets."""
+    own = sets.where("key is not null and doc_id is not null").select("doc_id", "key").join(named, "key").groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("nodes"))
+    return own.where(F.size("nodes") > 1).select("a", F.explode("nodes").alias("b")).where("a <> b")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def shared_firsts(nodes: DataFrame) -> DataFrame:
+    """(shingle, node, at): kept shingles that several nodes have, with their places in the node's order."""
+    rows = nodes.select("node", F.posexplode("firsts").alias("at", "shingle"))
+    several = rows.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1").select("shingle")
+    return rows.join(several.hint("merge"), "shingle")
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tokens = None, None
-        for batch in batches(rows):
-            keep = []
-            a, ta = batch.column("a").to_pylist(), batch.column("ta")
-            for at, texts in slices(batch, "tb"):
-                for i, text in enumerate(texts, at):
-                    if a[i] != last:
-                        last, tokens = a[i], shingles(ta[i].as_py(), width)
-                    keep.append(linked(tokens, shingles(text, width), percent))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "ta", "b", "tb").mapInArrow(run, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for the nodes of edges (a, b): comp is the smallest node that can be reached."""
-    both = written(edges.union(edges.select("b", "a")), "edges").toDF("node", "to")
-    labels = written(both.groupBy("node").agg(F.least("node", F.min("to")).alias("comp")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
-        # a shortcut: what the label's own label is
-        jump = step.groupBy("comp").agg(F.min("low").alias("low2")).withColumnRenamed("comp", "was")
-        step = step.join(jump, F.col("comp") == F.col("was")).select("node", "comp", F.least("low", "low2").alias("next"))
-        up = labels.select(F.col("node").alias("at"), F.col("comp").alias("upper"))
-        step = step.join(up, F.col("next") == F.col("at"), "left").select("node", "comp", F.least("next", F.coalesce("upper", "next")).alias("next"))
-        step = written(step, "labels")
-        if not step.where("comp <> next").limit(1).count():
-            return step.select("node", "comp")
-        labels = step.select("node", F.col("next").alias("comp"))
+def grouped(nodes: DataFrame, held: DataFrame) -> DataFrame:
+    """(node, n, key, bits, whole, piece, leader) of the nodes with a shared shingle: its group's name, the piece, the group's smallest node."""
+    rarest = held.groupBy("node").agg(F.min_by("shingle", "at").alias("shingle"))
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(GROWTH)))
+    named = rarest.join(nodes.select("node", "n", "key", "bits").hint("merge"), "node").withColumn("whole", F.xxhash64("shingle", size)).drop("shingle")
+    named = written(named, "grouped")
+    wholes = named.groupBy("whole").agg(F.count("*").alias("size"), F.min("node").alias("leader"))
+    piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / F.lit(GROUP))).cast("int")
+    return named.join(wholes.hint("merge"), "whole").select("node", "n", "key", "bits", "whole", piece.alias("piece"), "leader", F.col("size").alias("whole_size"))
 
 
 class TokenGroups:
@@ -262,71 +168,157 @@ class TokenGroups:
         return np.flatnonzero(100 * both >= percent * (len(q) + self.sizes - both))
 
 
-def open_groups(asked: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between queries and groups' members of other components, one for each query and component."""
-    per = asked.groupBy("group").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("shares"))
-    dealt = asked.join(per, "group").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
-    holders = members.join(per, "group").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    columns = ["group", "share", "node", "comp", "text"]
-    queries = dealt.join(texts, "node").select(*columns)
-    holders = holders.join(texts, "node").select(*columns).toDF(*columns)
+class BitGroup:
+    """The token-group matrix of one group in bitmaps: bounds in the place of overlaps."""
+
+    def __init__(self, sizes: np.ndarray, maps: list[bytes]):
+        self.width = min(map(len, maps))
+        self.sizes, self.bits = sizes, np.stack([folded(np.frombuffer(b, np.uint8), self.width) for b in maps])
+        self.union = np.bitwise_or.reduce(self.bits, axis=0)
+
+    def possible(self, n: int, q: bytes, percent: int) -> np.ndarray:
+        """Members that may link with a set of n shingles and the bitmap q."""
+        bits = np.frombuffer(q, np.uint8)
+        width = min(len(bits), self.width)
+        bits, union = folded(bits, width), folded(self.union, width)
+        if 100 * (n - int(np.bitwise_count(bits & ~union).sum())) < percent * max(n, int(self.sizes.min())):
+            return np.zeros(0, "i8")
+        own = folded(self.bits, width)
+        most = np.minimum(n - np.bitwise_count(bits & ~own).sum(axis=1, dtype=np.int64), self.sizes - np.bitwise_count(own & ~bits).sum(axis=1, dtype=np.int64))
+        return np.flatnonzero(100 * most >= percent * (n + self.sizes - most))
+
+
+ASKED = ["whole", "piece", "share", "node", "comp"]
+
+
+def bounded(asked: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(whole, piece, share, node, comp, key, asks): queries that may link with members of other components, and these."""
+    columns = [*ASKED, "n", "key", "bits"]
 
     def run(asking: pa.Table, holding: pa.Table) -> pa.Table:
-        found = []
+        queries, hit = [], np.zeros(holding.num_rows, bool)
         if asking.num_rows and holding.num_rows:
-            nodes, comps = holding.column("node").to_numpy(), holding.column("comp").to_numpy()
-            matrix = TokenGroups([shingles(t, width) for t in holding.column("text").to_pylist()])
-            for node, comp, text in zip(*(asking.column(c).to_pylist() for c in ("node", "comp", "text"))):
-                hit = matrix.partners(shingles(text, width), percent)
-                _, first = np.unique(comps[hit], return_index=True)
-                found += [(min(int(n), node), max(int(n), node)) for n, c in zip(nodes[hit[first]], comps[hit[first]]) if c != comp]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+            comps = holding.column("comp").to_numpy()
+            group = BitGroup(holding.column("n").to_numpy(), holding.column("bits").to_pylist())
+            for i, (comp, n, bits) in enumerate(zip(*(asking.column(c).to_pylist() for c in ("comp", "n", "bits")))):
+                found = group.possible(n, bits, percent)
+                found = found[comps[found] != comp]
+                if len(found):
+                    queries.append(i)
+                    hit[found] = True
+        some = [asking.take(pa.array(queries, pa.int64())), holding.filter(pa.array(hit))]
+        some = [t.select([*ASKED, "key"]).append_column("asks", pa.array([asks] * t.num_rows, pa.bool_())) for t, asks in zip(some, (True, False))]
+        return pa.concat_tables(some)
+
+    keys = ["whole", "piece", "share"]
+    return asked.select(columns).toDF(*columns).groupBy(keys).cogroup(members.select(columns).toDF(*columns).groupBy(keys)).applyInArrow(run, "whole long, piece int, share int, node long, comp long, key binary, asks boolean")
+
+
+def texts_for(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with its nodes' texts, each read once; rows that share an id are told apart by their keys later."""
+    ids = found.select("node").distinct()
+    texts = texts_of(docs).withColumnRenamed("doc_id", "node").join(ids.hint("merge"), "node", "left_semi")
+    return found.join(texts.hint("merge"), "node")
+
+
+def opened(found: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between the queries and members that ``bounded`` left: enough of them to connect whatever links connect."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = {}
+        for i, (node, comp, key, text, asks) in enumerate(zip(*(t.column(c).to_pylist() for c in ("node", "comp", "key", "text", "asks")))):
+            known = rows.get((asks, node))
+            if known is None and key_of(s := shingles(text, width)) == key:
+                rows[asks, node] = (node, comp, s)
+        asking, holding = ([r for (asks, _), r in sorted(rows.items()) if asks == kind] for kind in (True, False))
+        top: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in top:
+                c = top[c]
+            return c
+
+        links = []
+        if asking and holding:
+            matrix = TokenGroups([s for _, _, s in holding])
+            for node, comp, s in asking:
+                for i in matrix.partners(s, percent):
+                    low, high = sorted((root(comp), root(holding[i][1])))
+                    if low != high:
+                        top[high] = low
+                        links.append((node, holding[i][0]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return found.groupBy("whole", "piece", "share").applyInArrow(run, "a long, b long")
+
+
+def linked_through(asked: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between queries and members of their groups' pieces: bounds first, then texts of what is left."""
+    found = written(bounded(asked, members, percent), "bounded")
+    return written(opened(texts_for(docs, found), width, percent), "links")
 
-    return queries.groupBy("group", "share").cogroup(holders.groupBy("group", "share")).applyInArrow(run, "a long, b long").distinct()
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) for the nodes of edges (a, b): comp is the smallest node that can be reached."""
+    both = written(edges.union(edges.select("b", "a")), "edges").toDF("node", "to")
+    labels = written(both.groupBy("node").agg(F.least("node", F.min("to")).alias("comp")), "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("comp").alias("near"))
+        step = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
+        # a shortcut: what the label's own label is
+        jump = step.groupBy("comp").agg(F.min("low").alias("low2")).withColumnRenamed("comp", "was")
+        step = step.join(jump, F.col("comp") == F.col("was")).select("node", "comp", F.least("low", "low2").alias("next"))
+        up = labels.select(F.col("node").alias("at"), F.col("comp").alias("upper"))
+        step = step.join(up, F.col("next") == F.col("at"), "left").select("node", "comp", F.least("next", F.coalesce("upper", "next")).alias("next"))
+        step = written(step, "labels")
+        discard(labels)
+        if not step.where("comp <> next").limit(1).count():
+            discard(both)
+            return step.select("node", "comp")
+        labels = step.select("node", F.col("next").alias("comp"))
 
 
-def cross_queries(nodes: DataFrame, labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(asked, members), each (group, node, comp): nodes that share a signature with a group's member of another component.
+def asked_elsewhere(held: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, whole, piece): nodes and the other pieces whose members of other components share a kept shingle with them.
 
-    Groups hold similar documents, whatever their component: those with the same leader, in pieces of about ``GROUP``.
-    Of two components the one with the larger name asks.
+    The node's component is smaller than the largest of those members', or as large and named by less.
     """
-    leader = written(pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader")), "leaders")
-    for _ in range(2):  # leaders within a task have leaders of their own
-        above = leader.select(F.col("node").alias("leader"), F.col("leader").alias("above"))
-        leader = leader.join(above, "leader", "left").select("node", F.coalesce("above", "leader").alias("leader"))
-    labels = labels.join(leader, "node", "left").withColumn("leader", F.coalesce("leader", "node"))
-    rows = nodes.join(labels.hint("merge"), "node").select("node", "comp", "leader", F.explode("sigs").alias("sig"))
-    mixed = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
-    rows = written(rows.join(mixed, "sig", "left_semi"), "mixed")
-    single = rows.groupBy("node").agg(F.min("leader").alias("leader"), F.min("comp").alias("comp"))
-    sizes = single.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("pieces"))
-    piece = F.concat_ws(":", F.col("leader").cast("string"), F.pmod(F.xxhash64("node"), F.col("pieces")).cast("string"))
-    members = written(single.join(sizes, "leader").select("node", "comp", piece.alias("group")), "members")
-    held = rows.select("sig", "node", "comp").join(members.select("node", "group"), "node").groupBy("sig", "group").agg(F.min("comp").alias("lowest"))
-    asked = rows.select("sig", "node", "comp").join(held, "sig").where(F.col("comp") > F.col("lowest")).groupBy("group", "node").agg(F.min("comp").alias("comp"))
-    return asked, members
+    sized = members.groupBy("comp").agg(F.count("*").alias("comp_size"))
+    place = members.select("node", "n", "comp", "whole", "piece").join(sized.hint("merge"), "comp").withColumn("rank", F.struct("comp_size", "comp"))
+    rows = held.select("shingle", "node").join(place.hint("merge"), "node")
+    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
+    rows = written(rows.join(mixed.hint("merge"), "shingle", "left_semi").select("shingle", "node", "n", "whole", "piece", "rank"), "mixed")
+    pieces = rows.groupBy("shingle", "whole", "piece").agg(F.max("rank").alias("largest"), F.min("n").alias("low"), F.max("n").alias("high"))
+    pieces = pieces.withColumnsRenamed({"whole": "to_whole", "piece": "to_piece"})
+    apart = (F.col("whole") != F.col("to_whole")) | (F.col("piece") != F.col("to_piece"))
+    return rows.join(pieces.hint("merge"), "shingle").where(apart & (F.col("rank") < F.col("largest"))).select("node", "n", "low", "high", F.col("to_whole").alias("whole"), F.col("to_piece").alias("piece"))
 
 
 def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     sets = written(sets_of(docs, width, percent), "sets")
-    named = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
-    named = written(named, "nodes")
-    nodes = sets.select(F.col("doc_id").alias("node"), "key", "sigs").join(named, ["key", "node"], "left_semi").dropDuplicates(["node", "key"]).select("node", "sigs")
-    pairs = written(star_candidates(nodes), "pairs")
-    touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    touched = written(touched, "touched")
-    texts = written(texts_for(docs, touched), "texts")
-    links = written(verify(pairs, texts, width, percent), "links")
+    named, nodes = nodes_of(sets)
+    held = written(shared_firsts(nodes), "held")
+    groups = written(grouped(nodes, held), "groups")
+    own = groups.withColumn("share", F.lit(0)).withColumn("comp", F.col("node"))
+    # the smallest node of a group in pieces is a member of each
+    pieces = F.explode(F.sequence(F.lit(0), F.ceil(F.col("whole_size") / F.lit(GROUP)).cast("int") - 1))
+    leaders = own.where("node = leader").withColumnRenamed("piece", "at_home").withColumn("piece", pieces).where("piece <> at_home").drop("at_home")
+    several = own.where("whole_size > 1")
+    links = linked_through(several, several.unionByName(leaders), docs, width, percent).union(written(ties(sets, named), "ties"))
     labels = components(links)
-    singles = touched.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))
-    own = sets.where("key is not null").select(F.col("doc_id").alias("node"), "sigs")
-    asked, members = cross_queries(own, labels.union(singles), pairs)
-    more = written(open_groups(written(asked, "asked"), members, texts, width, percent), "more-links")
+    members = written(groups.join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
+    size = lambda a, b: F.col(a) * 100 >= F.col(b) * percent
+    asked = asked_elsewhere(held, members).where(size("high", "n") & size("n", "low")).select("node", "whole", "piece").distinct()
+    asked = written(asked, "asked")
+    shares = asked.groupBy("whole", "piece").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("shares"))
+    dealt = asked.join(shares.hint("merge"), ["whole", "piece"]).withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
+    dealt = dealt.join(members.select("node", "n", "key", "bits", "comp").hint("merge"), "node")
+    holding = members.join(shares.hint("merge"), ["whole", "piece"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    more = linked_through(dealt, holding, docs, width, percent)
     if more.limit(1).count():
         labels = components(links.union(more))
     # rows that share an id join their sets' components
     comp = named.join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(comp, "key", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
