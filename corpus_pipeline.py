@@ -3,7 +3,11 @@
 Language ID drops documents without any language, toxicity those scored toxic, the n-gram Jaccard join all but the
 smallest document of each group, PII replaces personal data by its kind, and packing deals tokens into sequences.
 Near duplicates are documents whose five-word shingles agree in at least 80 of 100.
-Null texts have no language and go in the first stage; repeated rows are copies, of which the join keeps one.
+
+Defined cases: null and empty texts, and those without a letter, have no language and go in the first stage; repeated
+rows are copies, of which the join keeps one; of rows that share a doc_id but differ, the first in the order of their
+columns stays; rows without a doc_id can't be told apart and all stay; texts of any length are taken whole; columns
+beside doc_id and text are carried under names of their own, so no name can clash; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -43,12 +47,11 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each component, and one row of it."""
-    kept = group_jaccard.join_components(docs, WIDTH, PERCENT).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = written(kept, "kept")
-    single = docs.join(kept.where("copies = 1").hint("merge"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("copies > 1").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Keeps the smallest document of each component, and one row of it; texts are shuffled once."""
+    kept = group_jaccard.join_components(docs, WIDTH, PERCENT).where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.join(kept.hint("merge"), "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"))
+    first = rows.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
+    return first.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +60,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deals all tokens into sequences: one row per piece of a document."""
     return bestfit.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
@@ -71,6 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each on what its predecessor wrote."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
