@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytebpe import encode
 from .common import batches, slices, texts_of, written
-from .pieces import SpacedPieces
 
 PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, `offset` long"
@@ -40,13 +40,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     """One row per piece.  ``row_key`` tells repeated rows of one document apart and deals out the blocks."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SpacedPieces(tokenizer)
         for batch in batches(rows):
             doc_ids, keys = batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist()
             for at, texts in slices(batch):
                 out: list[tuple] = []
-                for i, coded in enumerate(encoder.encode(texts), at):
-                    ids = np.append(coded, np.uint32(end_id))
+                for i, text in enumerate(texts, at):
+                    ids = np.array([*encode(text, tokenizer), end_id], "<u4")
                     for k, (s, n) in enumerate(cut(len(ids), capacity)):
                         out.append((doc_ids[i], keys[i], k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
                 yield pa.RecordBatch.from_arrays(

@@ -7,8 +7,8 @@ tokens of the whole text.  Such a join is repaired by re-encoding a window from
 first gap after it.  Then the window is encoded again with the pieces on either side: the repair stands if that gives
 the ids of the window and of its neighbours exactly; where it doesn't, the window grows to the whole text.
 
-The memory of chunks lives in a task and is bounded (``max_chunks``; what was not used lately goes first): a chunk that
-two tasks hold is encoded in both.  To encode a chunk once in the whole cluster its text and its ids would have to be
+The memory of chunks lives in a Python worker, over all its tasks, and is bounded (``max_chunks``; what was not used
+lately goes first): a chunk that two workers hold is encoded in both.  To encode a chunk once in the whole cluster its text and its ids would have to be
 shuffled, which is more than the texts themselves.
 
 Defined cases: null text is empty; an empty text has no tokens and decodes to the empty string; strings of special
@@ -22,20 +22,38 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .bytebpe import BYTE_LETTERS
 from .common import batches, slices, texts_of
-from .pieces import Memory
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TOKENS = "doc_id long, ids array<int>, decoded string"
 WINDOW, FACTOR, MASK, LOOK = 8, 0x9E3779B1, 0xFF, 0x5A
-# Fixed values of byte-level tokenizers: the letter that stands for each byte.
-PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_LETTERS = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
+
+
+class Memory(dict):
+    """A mapping of at most about ``most`` entries: what was not looked up lately goes first, half of it at a time."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def holds(self, key) -> bool:
+        """Whether the key is held; if so, it stays until the next ``age``."""
+        if key not in self and key in self.old:
+            self[key] = self.old[key]
+        return key in self
+
+    def age(self) -> None:
+        """To be called between uses."""
+        if 2 * len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
 
 
 def cuts(data: bytes) -> np.ndarray:
@@ -124,7 +142,7 @@ class ChunkCoder:
         at = [0, *cuts(data).tolist(), len(data)]
         for i in range(len(at) - 1):
             key = data[at[i] : at[i + 1]]
-            if self.chunks.knows(key):
+            if self.chunks.holds(key):
                 chunk = self.chunks[key]
                 self.reused += 1
             else:
@@ -173,11 +191,17 @@ class ChunkCoder:
             yield b"".join([ids(p) if isinstance(p, str) else p.ids for p in parts]), b" ".join(filter(None, back))
 
 
+@lru_cache(1)
+def coder_of(path: str) -> ChunkCoder:
+    """One for each Python worker: tasks that follow each other in it share what it has encoded."""
+    return ChunkCoder(path)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Token ids and the text they decode to."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkCoder(tokenizer)
+        coder = coder_of(tokenizer)
         for batch in batches(rows):
             for at, texts in slices(batch):
                 done = list(coder.encode(texts))
@@ -191,7 +215,7 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Like ``encode_documents`` with digests in the place of ids and texts, so that they don't leave the task."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkCoder(tokenizer)
+        coder = coder_of(tokenizer)
         for batch in batches(rows):
             for at, texts in slices(batch):
                 done = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(t).hexdigest()) for i, t in coder.encode(texts)]

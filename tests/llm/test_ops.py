@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
 from tallyloom.llm import attention_lm, bestfit, blob_ledger, chunk_bpe, group_jaccard, hyperlang, matroska, pii_bootstrap, projected_knn, toxic_knn
+from tallyloom.llm.bytebpe import encode
 from tallyloom.llm.queries import tokenizer_path
 
 LONG = "word number seven " * 3000
@@ -92,8 +93,6 @@ def test_every_low_code_point_and_mixed_texts_as_the_libraries():
 
     from tokenizers import Tokenizer
 
-    from tallyloom.llm.pieces import SpacedPieces
-
     rng = random.Random(4)
     some = [chr(c) for c in range(256)] + ["ab", "Word", "the ", "'s", "'ll", "<|endoftext|>", "<|startoftext|>", "\u3000", "\u00a0", "e\u0301", "\u0130", "\u4e2d", "12 3", "  ", " ", " ", " ", "\U0001f600"]
     texts = [f"={chr(c)}þ" for c in range(256)] + [f"a {chr(c)} b{chr(c)}{chr(c)} {chr(c)}" for c in range(256)] + ["".join(rng.choice(some) for _ in range(rng.randrange(300))) for _ in range(400)]
@@ -102,8 +101,8 @@ def test_every_low_code_point_and_mixed_texts_as_the_libraries():
         want = lib.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want and back.decode() == lib.decode(want, skip_special_tokens=False), repr(text)
     lib = Tokenizer.from_file(BYTES)
-    for text, ids in zip(texts, SpacedPieces(BYTES).encode(texts)):
-        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in texts:
+        assert encode(text, BYTES) == lib.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_a_join_that_does_not_agree_is_encoded_whole():
@@ -116,9 +115,7 @@ def test_a_join_that_does_not_agree_is_encoded_whole():
 def test_long_runs_of_one_character():
     from tokenizers import Tokenizer
 
-    from tallyloom.llm.pieces import SpacedPieces
-
-    for path, ids_of in ((BYTES, lambda t: SpacedPieces(BYTES).encode([t])[0].tolist()), (WORDS, lambda t: np.frombuffer(next(iter(chunk_bpe.ChunkCoder(WORDS).encode([t])))[0], "<u4").tolist())):
+    for path, ids_of in ((BYTES, lambda t: encode(t, BYTES)), (WORDS, lambda t: np.frombuffer(next(iter(chunk_bpe.ChunkCoder(WORDS).encode([t])))[0], "<u4").tolist())):
         lib = Tokenizer.from_file(path)
         for c in " \n\u00a0a":
             assert ids_of("x" + c * 1_200_000) == lib.encode("x" + c * 1_200_000, add_special_tokens=False).ids
@@ -129,7 +126,7 @@ def test_packing_of_odd_rows(spark):
     odd = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, start long, `row_key` string")
     got = bestfit.pack_documents(odd, BYTES).toPandas()
     assert len(got[got.doc_id == 1]) == 2 and got.doc_id.isna().sum() == 2 and got[got.doc_id == 4].length.tolist() == [1]
-    assert got[got.doc_id == 5].length.sum() == len(bestfit.SpacedPieces(BYTES).encode([rows[5][1]])[0]) + 1
+    assert got[got.doc_id == 5].length.sum() == len(encode(rows[5][1], BYTES)) + 1
     assert not got.duplicated(["sequence_id", "offset"]).any() and got.groupby("sequence_id").length.sum().max() <= 1024
     empty = bestfit.pack_documents(odd.limit(0), BYTES)
     assert empty.count() == 0 and empty.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
