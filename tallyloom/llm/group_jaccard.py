@@ -6,8 +6,8 @@
    Any order finds all links; it decides only how many candidates fail.  It is learned on every ``ORDER_SHARE``-th
    document, a part that grows with the corpus, and holds at most ``ORDER_SHINGLES`` shingles (16 MB); whatever is beyond
    comes first, by hash.
-2. Nodes with the same rarest shared shingle and about the same size are a group, in pieces of about ``GROUP``; each
-   piece also holds the smallest node of the whole group, which ties its pieces together.
+2. Nodes for which the same kept shingle is the one that most nodes keep, and of about the same size, are a group, in
+   pieces of about ``GROUP``; each piece also holds the smallest node of the whole group, which ties its pieces together.
 3. Token-group matrix: the union of the members' bitmaps bounds the overlap of a query with the whole group, and a
    member's own bitmap that with the member: a set bit that the other lacks is a shingle that the other lacks.  Only
    groups and members that can reach the threshold by these bounds are opened: their texts are read and compared.
@@ -128,17 +128,17 @@ def ties(sets: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def shared_firsts(nodes: DataFrame) -> DataFrame:
-    """(shingle, node, at): kept shingles that several nodes have, with their places in the node's order."""
-    rows = nodes.select("node", F.posexplode("firsts").alias("at", "shingle"))
-    several = rows.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1").select("shingle")
+    """(shingle, node, holders): kept shingles that several nodes have, and how many do."""
+    rows = nodes.select("node", F.explode("firsts").alias("shingle"))
+    several = rows.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
     return rows.join(several.hint("merge"), "shingle")
 
 
 def grouped(nodes: DataFrame, held: DataFrame) -> DataFrame:
     """(node, n, key, bits, whole, piece, leader) of the nodes with a shared shingle: its group's name, the piece, the group's smallest node."""
-    rarest = held.groupBy("node").agg(F.min_by("shingle", "at").alias("shingle"))
+    most = held.groupBy("node").agg(F.max(F.struct("holders", "shingle")).alias("most")).select("node", F.col("most.shingle").alias("shingle"))
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(GROWTH)))
-    named = rarest.join(nodes.select("node", "n", "key", "bits").hint("merge"), "node").withColumn("whole", F.xxhash64("shingle", size)).drop("shingle")
+    named = most.join(nodes.select("node", "n", "key", "bits").hint("merge"), "node").withColumn("whole", F.xxhash64("shingle", size)).drop("shingle")
     named = written(named, "grouped")
     wholes = named.groupBy("whole").agg(F.count("*").alias("size"), F.min("node").alias("leader"))
     piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / F.lit(GROUP))).cast("int")
