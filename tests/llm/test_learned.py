@@ -96,49 +96,6 @@ def test_windows_score_like_plain_masked_attention():
             assert math.isclose(got[i], want, abs_tol=1e-4)
 
 
-def test_sharpened_scores_are_those_of_plain_counts():
-    rng = random.Random(8)
-    encoder = attention_lm.load_encoder(BYTES)
-    texts = [" ".join(rng.choice(["rain", "greenish", "blue", "unspellable", "x"]) for _ in range(rng.randrange(12))) for _ in range(30)]
-    texts[7] = texts[3]
-    block = attention_lm.Block(texts, encoder)
-    held = np.array([i % 4 == 0 for i in range(30)])
-    b = attention_lm.Stored(held, block.lengths, block.ids, block.words, block.where, block.ends)
-    opening = attention_lm.opens(encoder)
-    grams = attention_lm.Grams(b.ids, b.lengths, opening)
-    places = [np.r_[grams.pair[m], grams.run[m]] for m in [~held[grams.text]]][0]
-    counts = np.bincount(places[places >= 0], minlength=len(grams.seen))
-    docs = [s.tolist() for s in attention_lm.split_at(b.ids, b.lengths)]
-    id_counts = np.bincount(np.concatenate([s[1:] for s in b.taught()]), minlength=attention_lm.VOCAB)
-
-    def spans(doc):
-        """For each place: the id before, the pair, and the run as (all before the id, the id)."""
-        for i in range(1, len(doc)):
-            word = max([j for j in range(i) if opening[doc[j]]], default=0)
-            since = min(word, i - 2)
-            yield (doc[i - 1],), (doc[i - 1], doc[i]), tuple(doc[since : i + 1]) if i >= 2 else None
-
-    tally = lambda some: (Counter(o for d in some for o, _, _ in spans(d)), Counter(p for d in some for _, p, _ in spans(d)), Counter(r for d in some for _, _, r in spans(d) if r))
-    prior = np.full(len(b.ids) - len(docs), -2.0)
-    got = iter(attention_lm.sharpened(prior, b, grams, counts, id_counts))
-    for i, doc in enumerate(docs):
-        ones, twos, runs = tally([d for j, d in enumerate(docs) if not held[j] and j != i])
-        for one, two, run in spans(doc):
-            p = (twos[two] + attention_lm.K_PAIR * 0.01) / (ones[one] + attention_lm.K_PAIR)
-            if run:
-                context = runs[run[:-1]] if len(run) > 3 else twos[run[:-1]]
-                p = (runs[run] + attention_lm.K_RUN * p) / (max(context, runs[run]) + attention_lm.K_RUN)
-            assert math.isclose(next(got), math.log10(p), rel_tol=1e-9)
-
-
-def test_a_text_that_occurs_twice_stands_out(spark):
-    rng = random.Random(2)
-    texts = [" ".join("".join(rng.choice("abdegiklmnorstu") for _ in range(rng.randrange(3, 9))) for _ in range(60)) for _ in range(60)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[i]) for i in range(10)]
-    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in attention_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), BYTES).collect()}
-    assert np.mean([got[i] for i in range(10)]) > np.mean([got[i] for i in range(10, 60)]) + 0.3
-
-
 def test_pipeline_against_a_plain_version(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -184,7 +141,7 @@ def test_attention_is_fitted_on_all_blocks_and_long_documents(spark, monkeypatch
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     models, blocks_scored = [], attention_lm.score_blocks
     monkeypatch.setattr(attention_lm, "BLOCK_CHARS", 200_000)
-    monkeypatch.setattr(attention_lm, "score_blocks", lambda dealt, totals, model, *a: (models.append(model), blocks_scored(dealt, totals, model, *a))[1])
+    monkeypatch.setattr(attention_lm, "score_blocks", lambda content, model: (models.append(model), blocks_scored(content, model))[1])
     score = lambda parts=4: attention_lm.score_documents(docs.repartition(parts), BYTES).where("held_out").agg(F.sum("score")).first()[0]
     fitted = score()
     # blocks are what tasks read, so their number may shift the weights, but little
