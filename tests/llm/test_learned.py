@@ -87,7 +87,7 @@ def test_windows_score_like_plain_masked_attention():
     for ids, got in zip(learnt, model.score(learnt)):
         heads = model.head_of[ids]
         for i in range(len(ids) - 1):
-            seen = heads[max(0, (i // stride - 1) * stride) : i + 1]
+            seen = heads[max(0, i // stride * stride - attention_lm.LEAD) : i + 1]
             s = w["k"][seen] @ w["q"][heads[i]] / attention_lm.DIM**0.5 + w["near"][np.arange(len(seen))[::-1]]
             a = np.exp(s - s.max())
             z = model.base[heads[i]] + (a / a.sum()) @ w["v"][seen] @ w["out"]
