@@ -3,12 +3,16 @@
 Vectors are projected on ``DIM`` random Gaussian directions.  Squared projected distance over squared distance is
 chi-square with ``DIM`` degrees of freedom.  A search takes the kd-tree's leaves in order of projected distance and
 verifies their vectors exactly, until a neighbour nearer than the k-th so far would have so large a projection with
-probability below ``1 - SURE`` (the chi-square test).  Each block of vectors has its own tree; queries visit all blocks.
+probability below ``1 - SURE`` (the chi-square test).  Each block of vectors has its own tree.  Queries visit all blocks,
+in shares of about ``SHARE``, so no task holds more than a block and a share, however many queries there are; the stated
+query set meets all rows in blocks.
 
 Equal vectors are one point that keeps its k + 1 smallest ids, which is all that any answer can hold.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length than most take
-no part, as queries and as candidates; rows that share vec_id and vector count once; fewer candidates than k give all.
+no part, as queries and as candidates; rows that share vec_id and vector count once; among equal distances the smaller
+vec_id comes first, also where it decides who is among the k; fewer candidates than k give all; other columns are never
+read, so their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Window
 from .common import batches, written
 
 DIM, LEAF, SURE, SEED = 8, 32, 0.97, 911
-BLOCK_ROWS = 8192
+BLOCK_ROWS, SHARE = 8192, 1024
 
 
 def chi2_quantile(p: float, dof: int = DIM) -> float:
@@ -39,7 +43,10 @@ def chi2_quantile(p: float, dof: int = DIM) -> float:
 
 
 class ProjectedTree:
-    """A kd-tree over projections: leaves of about LEAF points, each with its bounding box."""
+    """A kd-tree over projections: leaves of about LEAF points, each with its bounding box.
+
+    Vectors come in the order in which equal distances are to be broken.
+    """
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
@@ -73,7 +80,7 @@ class ProjectedTree:
             new = np.concatenate([self.leaves[j] for j in order[i : i + step]])
             d = ((self.vectors[new] - q) ** 2).sum(axis=1)
             at, dist = np.r_[at, new], np.r_[dist, d]
-            first = np.argsort(dist, kind="stable")[:k]
+            first = np.lexsort((at, dist))[:k]
             at, dist = at[first], dist[first]
         return at, np.sqrt(dist)
 
@@ -121,21 +128,25 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
     points = written(points_of(rows, k + 1), "points")
     blocks = max(1, -(-points.count() // BLOCK_ROWS))
     queries = written(packed(rows.where(F.col("vec_id") % every == 0)).distinct(), "queries")
-    asked = queries.select("v").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = points.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    vectors = written(queries.select("v").distinct(), "asked")
+    shares = max(1, -(-vectors.count() // SHARE))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = vectors.withColumn("share", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(shares)).cast("int")).withColumn("block", every(blocks))
+    dealt = points.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")).withColumn("share", every(shares))
 
     def run(q: pa.Table, p: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if p.num_rows and q.num_rows:
-            ids = p.column("ids").to_pylist()
-            tree = ProjectedTree(np.stack([np.frombuffer(b) for b in p.column("v").to_pylist()]))
+            found = sorted(zip(p.column("ids").to_pylist(), p.column("v").to_pylist()))
+            ids = [i for i, _ in found]
+            tree = ProjectedTree(np.stack([np.frombuffer(b) for _, b in found]))
             for b in q.column("v").to_pylist():
                 at, dist = tree.nearest(np.frombuffer(b), k + 1)
                 for i, d in zip(at.tolist(), dist.tolist()):
                     out[0].append(b), out[1].append(ids[i]), out[2].append(d)
         return pa.table({"v": pa.array(out[0], pa.binary()), "ids": pa.array(out[1], pa.list_(pa.int64())), "score": pa.array(out[2], pa.float64())})
 
-    found = asked.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(run, "v binary, ids array<long>, score double")
+    found = asked.groupBy("block", "share").cogroup(dealt.groupBy("block", "share")).applyInArrow(run, "v binary, ids array<long>, score double")
     near = Window.partitionBy("v").orderBy("score", F.element_at("ids", 1))
     found = written(found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).drop("r"), "found")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -243,6 +243,26 @@ def test_neighbours(spark):
     assert projected_knn.search(spark.createDataFrame(rows[:0], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_at_equal_distances_and_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(projected_knn, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(projected_knn, "SHARE", 3)
+    # each vector differs from the first in exactly one component: all are equally near to it
+    rows = [(0, [0.5] * 400)] + [(i, [0.5] * (i - 1) + [1.5] + [0.5] * (400 - i)) for i in range(1, 400)]
+    rows = [(i, v, 1, "x") for i, v in rows]
+    got = projected_knn.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, v string")).toPandas()
+    assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == list(range(1, 11))
+    assert got[got.query_id == 100].sort_values("rank").vec_id.tolist() == [0, *range(1, 10)]
+    x = np.random.default_rng(3).standard_normal((1500, 32))
+    got = projected_knn.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(set(part.vec_id) & set(np.argsort(d, kind="stable")[:10]))
+        assert np.allclose(part.score, d[part.vec_id], rtol=1e-12)
+    assert hits >= 0.9 * 150
+
+
 def test_planted_identifiers_are_found(spark):
     fill = ["amber", "cedar", "delta", "ember", "fjord", "grove", "haven", "inlet", "jetty", "knoll", "ledge", "mount"]
     rows = [f"{w} please charge account u{w}@mail.example.com before friday {w}" for w in fill]
