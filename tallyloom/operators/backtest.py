@@ -62,6 +62,8 @@ def evaluate(lines: DataFrame, min_support: float, min_confidence: float, min_li
         split = arrival_split(lines, fraction)
         train = lines.join(split.where("is_train"), "basket_id", "left_semi")
         trials = holdout_trials(lines.join(split.where("not is_train"), "basket_id", "left_semi"), seed)
+    if not trials.limit(1).count():
+        raise ValueError("there are no trials")
     found = rules(frequent_itemsets(train, min_support), min_confidence, min_lift, thin)
     top = max(ks)
     by_rules = score(trials, rule_items(trials, found, top), ks).withColumn("recommender", F.lit("rules"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import share
+from ..sources.shared import materialized
 
 
 def edges(itemsets: DataFrame, min_lift: float = 1.1) -> DataFrame:
@@ -51,56 +53,95 @@ def partition_quality(links: DataFrame, membership: DataFrame) -> DataFrame:
     return parts.where("m > 0").agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("q"))
 
 
-def greedy_communities(nodes: Iterable[str], links: Iterable[tuple[str, str, float]], tol: float = 1e-12) -> list[tuple[str, ...]]:
+def greedy_communities(nodes: Iterable[str], links: Iterable[tuple[str, str, float]], tol: float = 1e-12, total: float | None = None) -> list[tuple[str, ...]]:
     """Merges, from single items on, the linked pair of communities that raises modularity most, while any does.
 
-    Candidates are tried in the order of their members; a later one must be better by more than ``tol``.
+    Gains within ``tol`` of the largest are equal; of these the first in the order of members is taken.  ``total`` is the
+    weight of the whole graph, if the links are those of a part.
     """
     links = list(links)
-    m = sum(w for *_, w in links)
-    found = {(n,): 0.0 for n in sorted({*nodes, *(x for a, b, _ in links for x in (a, b))})}
-    between: dict[tuple, dict[tuple, float]] = {c: {} for c in found}
+    m = sum(w for *_, w in links) if total is None else total
+    members = [(n,) for n in sorted({*nodes, *(x for a, b, _ in links for x in (a, b))})]
+    number = {c[0]: i for i, c in enumerate(members)}
+    strength, between = [0.0] * len(members), [{} for _ in members]
     for a, b, w in links:
-        found[(a,)] += w
-        found[(b,)] += w
-        between[(a,)][(b,)] = between[(a,)].get((b,), 0.0) + w
-        between[(b,)][(a,)] = between[(b,)].get((a,), 0.0) + w
-    while m > 0:
-        best, pick = 0.0, None
-        for c in sorted(found):
-            for d in sorted(x for x in between[c] if x > c):
-                gain = between[c][d] / m - found[c] * found[d] / (2 * m * m)
-                if gain > best + tol:
-                    best, pick = gain, (c, d)
-        if pick is None:
+        i, j = number[a], number[b]
+        strength[i] += w
+        strength[j] += w
+        between[i][j] = between[j][i] = between[i].get(j, 0.0) + w
+    alive = set(range(len(members)))
+    gain = lambda i, j: between[i][j] / m - strength[i] * strength[j] / (2 * m * m)
+    heap = [(-gain(i, j), i, j) for i in alive for j in between[i] if i < j] if m > 0 else []
+    heapq.heapify(heap)
+    while heap:
+        near, best = [], None
+        while heap and (best is None or -heap[0][0] >= best - tol):
+            entry = heapq.heappop(heap)
+            if entry[1] in alive and entry[2] in alive:
+                best = -entry[0] if best is None else best
+                near.append(entry)
+        if best is None or best <= tol:
             break
-        c, d = pick
-        merged = tuple(sorted(c + d))
-        weight = found.pop(c) + found.pop(d)
-        around: dict[tuple, float] = {}
-        for old in (c, d):
-            for other, w in between.pop(old).items():
-                if other not in (c, d):
+        pick = min(near, key=lambda e: sorted((members[e[1]], members[e[2]])))
+        for entry in near:
+            if entry is not pick:
+                heapq.heappush(heap, entry)
+        i, j, new = pick[1], pick[2], len(members)
+        members.append(tuple(sorted(members[i] + members[j])))
+        strength.append(strength[i] + strength[j])
+        around: dict[int, float] = {}
+        for old in (i, j):
+            alive.remove(old)
+            for other, w in between[old].items():
+                if other not in (i, j):
                     around[other] = around.get(other, 0.0) + w
+        between.append(around)
         for other, w in around.items():
-            between[other].pop(c, None)
-            between[other].pop(d, None)
-            between[other][merged] = w
-        found[merged], between[merged] = weight, around
-    return sorted(found, key=lambda c: (-len(c), c))
+            between[other].pop(i, None)
+            between[other].pop(j, None)
+            between[other][new] = w
+        alive.add(new)
+        for other in around:
+            heapq.heappush(heap, (-gain(other, new), other, new))
+    return sorted((members[i] for i in alive), key=lambda c: (-len(c), c))
+
+
+def parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """item, part: the smallest item that can be reached by links; as many rows as items."""
+    both = materialized(links.select("item_a", "item_b").union(links.select("item_b", "item_a")).toDF("item", "to").distinct(), "links")
+    found = materialized(nodes.select("item", F.col("item").alias("part")), "parts")
+    while True:
+        near = both.join(found.toDF("to", "near"), "to").groupBy("item").agg(F.min("near").alias("near"))
+        low = found.join(near, "item", "left").select("item", "part", F.least("part", F.coalesce("near", "part")).alias("low"))
+        # a shortcut: what the label's own label is
+        step = low.join(found.toDF("low", "above"), "low", "left").select("item", "part", F.least("low", F.coalesce("above", "low")).alias("next"))
+        step = materialized(step, "parts")
+        if not step.where("part <> next").limit(1).count():
+            return step.select("item", "part")
+        found = step.select("item", F.col("next").alias("part"))
 
 
 def communities(itemsets: DataFrame, links: DataFrame) -> DataFrame:
-    """item, community_id from 0 by falling size and then by members.  The graph has a node per frequent item and is one group."""
-    nodes = itemsets.where("size = 1").select(F.element_at("items", 1).alias("item_a"), F.lit(None).cast("string").alias("item_b"), F.lit(0.0).alias("weight"))
-    rows = nodes.unionByName(links.select("item_a", "item_b", "weight"))
+    """item, community_id from 0 by falling size and then by members.
+
+    Only linked items merge, and a gain depends on its own two communities and the weight of the whole graph, so every
+    connected part is a group of its own.  A part has at most as many nodes as there are frequent items.
+    """
+    links = materialized(links, "edges")
+    nodes = itemsets.where("size = 1").select(F.element_at("items", 1).alias("item")).union(ends(links).select("item")).distinct()
+    where = parts(nodes, links)
+    total = links.agg(F.coalesce(F.sum(F.col("weight").cast("decimal(28,15)")).cast("double"), F.lit(0.0)).alias("total"))
+    linked = links.join(where.withColumnRenamed("item", "item_a"), "item_a").select("part", "item_a", "item_b", "weight")
+    rows = where.select("part", F.col("item").alias("item_a"), F.lit(None).cast("string").alias("item_b"), F.lit(0.0).alias("weight")).unionByName(linked).join(total)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        linked = pdf[pdf.item_b.notna()].sort_values(["item_a", "item_b"])
-        found = greedy_communities(pdf.item_a, list(zip(linked.item_a, linked.item_b, linked.weight)))
-        return pd.DataFrame([(x, i) for i, c in enumerate(found) for x in c], columns=["item", "community_id"])
+        inner = pdf[pdf.item_b.notna()].sort_values(["item_a", "item_b"])
+        found = greedy_communities(pdf.item_a, list(zip(inner.item_a, inner.item_b, inner.weight)), total=float(pdf.total.iloc[0]))
+        return pd.DataFrame({"members": [list(c) for c in found]})
 
-    return rows.groupBy(F.lit(1).alias("graph")).applyInPandas(run, "item string, community_id int")
+    found = rows.groupBy("part").applyInPandas(run, "members array<string>")
+    number = F.row_number().over(Window.orderBy(F.desc(F.size("members")), "members")) - 1
+    return found.select("members", number.cast("int").alias("community_id")).select(F.explode("members").alias("item"), "community_id")
 
 
 def classified(links: DataFrame, membership: DataFrame) -> DataFrame:

@@ -39,11 +39,16 @@ def frequent_items(rows: DataFrame, totals: DataFrame, min_support: float) -> Da
     return counts.where(F.col("cnt") >= min_count(min_support, F.col("n"))).select("split_id", "item")
 
 
-def frequent_itemsets(lines: DataFrame, min_support: float = 0.02, max_len: int = 3, method: str = "explode") -> DataFrame:
+#: Frequent items in a basket up to which all its combinations are made at once.
+NARROW = 24
+
+
+def frequent_itemsets(lines: DataFrame, min_support: float = 0.02, max_len: int = 3, method: str = "auto") -> DataFrame:
     """Level-wise mining.
 
-    ``explode`` makes all combinations of a basket's frequent items at once, with one shuffle, for baskets of ordinary
-    width; ``join`` grows sets item by item and drops infrequent candidates at every level, for wide ones.
+    ``explode`` makes all combinations of a basket's frequent items at once, with one shuffle; ``join`` grows sets item by
+    item and drops infrequent candidates at every level.  ``auto`` does the first for baskets of at most ``NARROW``
+    frequent items and the second for wider ones, if there are any; counts are those of all baskets at every level.
     """
     check_fraction("min_support", min_support)
     if max_len < 1:
@@ -51,16 +56,22 @@ def frequent_itemsets(lines: DataFrame, min_support: float = 0.02, max_len: int
     rows = with_split(lines)
     totals = basket_totals(rows)
     rows = rows.join(frequent_items(rows, totals, min_support), ["split_id", "item"], "left_semi")
-    if method == "explode":
-        held = rows.groupBy("split_id", "basket_id").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_set("item")).alias("items"))
-        sets = F.concat(*(combinations(F.col("items"), k) for k in range(1, max_len + 1)))
-        found = held.select("split_id", "weight", F.explode(sets).alias("items")).groupBy("split_id", "items").agg(F.sum("weight").cast("long").alias("cnt"))
-        found = keep_frequent(found, totals, min_support)
-    elif method == "join":
-        found = grow(rows, totals, min_support, max_len)
-    else:
+    if method not in ("auto", "explode", "join"):
         raise ValueError(f"unknown method {method}")
-    return found
+    if method == "join":
+        return grow(rows, totals, min_support, max_len)
+    held = rows.groupBy("split_id", "basket_id").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_set("item")).alias("items"))
+    wide = held.where(F.size("items") > NARROW) if method == "auto" and max_len > 1 else None
+    if wide is None or not wide.limit(1).count():
+        return keep_frequent(all_sets(held, max_len), totals, min_support)
+    narrow = all_sets(held.where(F.size("items") <= NARROW), max_len)
+    return grow(wide.select("split_id", "basket_id", "weight", F.explode("items").alias("item")), totals, min_support, max_len, narrow)
+
+
+def all_sets(held: DataFrame, max_len: int) -> DataFrame:
+    """split_id, items, cnt of all combinations of up to ``max_len`` items of the given baskets."""
+    sets = F.concat(*(combinations(F.col("items"), k) for k in range(1, max_len + 1)))
+    return held.select("split_id", "weight", F.explode(sets).alias("items")).groupBy("split_id", "items").agg(F.sum("weight").cast("long").alias("cnt"))
 
 
 def keep_frequent(counts: DataFrame, totals: DataFrame, min_support: float) -> DataFrame:
@@ -80,11 +91,15 @@ def candidates(frequent: DataFrame, k: int) -> DataFrame:
     return parts.join(known, ["split_id", "part"], "left_semi").groupBy("split_id", "items").agg(F.count("*").alias("c")).where(F.col("c") == k).select("split_id", "items")
 
 
-def grow(rows: DataFrame, totals: DataFrame, min_support: float, max_len: int) -> DataFrame:
+def grow(rows: DataFrame, totals: DataFrame, min_support: float, max_len: int, others: DataFrame | None = None) -> DataFrame:
+    """Frequent sets of the baskets in ``rows`` and of others, whose counts are given."""
     held = rows.select("split_id", "basket_id", "weight", F.array("item").alias("items"))
     found, k = None, 1
     while True:
-        level = keep_frequent(held.groupBy("split_id", "items").agg(F.sum("weight").cast("long").alias("cnt")), totals, min_support)
+        counts = held.groupBy("split_id", "items").agg(F.sum("weight").cast("long").alias("cnt"))
+        if others is not None:
+            counts = counts.unionByName(others.where(F.size("items") == k)).groupBy("split_id", "items").agg(F.sum("cnt").alias("cnt"))
+        level = keep_frequent(counts, totals, min_support)
         found = level if found is None else found.unionByName(level)
         k += 1
         if k > max_len:

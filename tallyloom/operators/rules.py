@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import combinations, label, proper_masks, subset
+from ..functions import label, proper_masks, subset
+
+
+#: Buckets of lift for each factor of e.
+LIFT_BUCKETS = 2000
 
 
 def in_order() -> list:
@@ -25,8 +29,19 @@ def rules(itemsets: DataFrame, min_confidence: float = 0.30, min_lift: float = 1
     out = joined.withColumn("confidence", confidence).withColumn("lift", F.col("confidence") / F.col("sc")).withColumn("leverage", F.col("support") - F.col("sa") * F.col("sc"))
     conviction = F.when(F.col("confidence") >= 1, float("inf")).otherwise((1 - F.col("sc")) / (1 - F.col("confidence")))
     out = out.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)).withColumn("conviction", conviction)
-    rank = F.row_number().over(Window.partitionBy("split_id").orderBy(*in_order())).cast("long")
-    return out.select("split_id", rank.alias("rank"), "antecedent", "consequent", "support", F.col("cnt").alias("support_count"), "confidence", "lift", "leverage", "conviction", (F.col("cnt") < thin_support_count).alias("thin_support"))
+    return ranked(out).select("split_id", "rank", "antecedent", "consequent", "support", F.col("cnt").alias("support_count"), "confidence", "lift", "leverage", "conviction", (F.col("cnt") < thin_support_count).alias("thin_support"))
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """Adds each rule's rank within its split, without bringing all rules of a split to one task.
+
+    Rules of about the same lift, a bucket, are ordered together; buckets only exchange their counts.
+    """
+    rows = found.withColumn("bucket", F.floor(F.log("lift") * LIFT_BUCKETS))
+    before = Window.partitionBy("split_id").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("split_id", "bucket").agg(F.count("*").alias("c")).withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    within = F.row_number().over(Window.partitionBy("split_id", "bucket").orderBy(*in_order()))
+    return rows.withColumn("at", within).join(offsets, ["split_id", "bucket"]).withColumn("rank", (F.col("at") + F.col("offset")).cast("long")).drop("at", "offset", "bucket")
 
 
 def with_closure(itemsets: DataFrame) -> DataFrame:
@@ -65,15 +80,16 @@ def redundancy_summary(itemsets: DataFrame, verdicts: DataFrame) -> DataFrame:
     return flags.join(verdicts.agg(F.count("*").alias("n_rules"), F.count_if("redundant").alias("n_redundant"), F.count_if(~F.col("redundant")).alias("n_kept")))
 
 
-def applicable(queries: DataFrame, found: DataFrame, include_thin: bool = False, max_antecedent: int = 2) -> DataFrame:
+def applicable(queries: DataFrame, found: DataFrame, include_thin: bool = False) -> DataFrame:
     """(basket_id, query, rule columns): rules whose antecedent the query holds and whose consequent it doesn't touch.
 
-    Queries are taken apart into subsets of up to ``max_antecedent`` items, which meet antecedents by equality.
+    A rule meets queries by the first item of its antecedent, of whatever size that is, so queries aren't taken apart
+    into subsets.
     """
-    kept = found if include_thin else found.where(~F.col("thin_support"))
-    sets = F.concat(*(combinations(F.col("query"), k) for k in range(1, max_antecedent + 1)))
-    asked = queries.select("basket_id", "query", F.explode(sets).alias("antecedent"))
-    return asked.join(kept, "antecedent").where(~F.arrays_overlap("consequent", "query"))
+    kept = (found if include_thin else found.where(~F.col("thin_support"))).withColumn("first_item", F.element_at("antecedent", 1))
+    asked = queries.select("basket_id", "query", F.explode(F.array_distinct("query")).alias("first_item"))
+    holds = F.size(F.array_except("antecedent", "query")) == 0
+    return asked.join(kept, "first_item").where(holds & ~F.arrays_overlap("consequent", "query")).drop("first_item")
 
 
 def ranked_items(matched: DataFrame, top_k: int = 5) -> DataFrame:

@@ -45,40 +45,63 @@ def assign(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     return points.withColumn("best", best).select(*points.columns, F.col("best.cluster").alias("cluster"), F.col("best.d2").alias("d2"))
 
 
-def means(assigned: DataFrame, k: int, width: int) -> dict[int, list[float]]:
-    """The mean of each cluster that has points: k rows come to the driver."""
+def assign_all(points: DataFrame, starts: dict[int, list[list[float]]]) -> DataFrame:
+    """customer_id, x, start, cluster, d2: a row for each point and start."""
+    best = lambda centres: F.array_min(F.array(*(F.struct(away(F.col("x"), c).alias("d2"), F.lit(i).alias("cluster")) for i, c in enumerate(centres))))
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("start"), best(centres).alias("best")) for r, centres in starts.items())))
+    return points.select("customer_id", "x", each.alias("e")).select("customer_id", "x", "e.start", "e.best.cluster", "e.best.d2")
+
+
+def means(assigned: DataFrame, width: int) -> dict[tuple[int, int], list[float]]:
+    """The mean of each start's clusters that have points: as many rows come to the driver as there are centres."""
     sums = [F.sum(F.element_at("x", j + 1).cast("decimal(28,12)")).cast("double").alias(f"s{j}") for j in range(width)]
-    rows = assigned.groupBy("cluster").agg(F.count("*").alias("n"), *sums).collect()
-    return {r["cluster"]: [r[f"s{j}"] / r["n"] for j in range(width)] for r in rows}
+    rows = assigned.groupBy("start", "cluster").agg(F.count("*").alias("n"), *sums).collect()
+    return {(r["start"], r["cluster"]): [r[f"s{j}"] / r["n"] for j in range(width)] for r in rows}
 
 
-def lloyd(points: DataFrame, centres: list[list[float]], max_iter: int = 200, tol: float = 1e-10) -> tuple[list[list[float]], float]:
-    """Centres and inertia after alternating assignment and means; an empty cluster restarts at the farthest point."""
+def lloyd_all(points: DataFrame, starts: list[list[list[float]]], max_iter: int = 200, tol: float = 1e-10) -> list[tuple[list[list[float]], float]]:
+    """Centres and inertia of every start after alternating assignment and means; an empty cluster restarts at the farthest point.
+
+    Starts that still move share one job a step.
+    """
+    done, going = {}, dict(enumerate(starts))
     for _ in range(max_iter):
-        assigned = assign(points, centres)
-        found = means(assigned, len(centres), len(centres[0]))
-        new = [found.get(i) for i in range(len(centres))]
-        if any(c is None for c in new):
-            far = assigned.orderBy(F.desc("d2"), "customer_id").first()["x"]
-            new = [list(far) if c is None else c for c in new]
-        moved = sum((a - b) ** 2 for c, d in zip(new, centres) for a, b in zip(c, d))
-        centres = new
-        if moved <= tol:
+        assigned = assign_all(points, going)
+        found = means(assigned, len(starts[0][0]))
+        for r, centres in list(going.items()):
+            new = [found.get((r, i)) for i in range(len(centres))]
+            if any(c is None for c in new):
+                far = assigned.where(F.col("start") == r).orderBy(F.desc("d2"), "customer_id").first()["x"]
+                new = [list(far) if c is None else c for c in new]
+            going[r] = new
+            if sum((a - b) ** 2 for c, d in zip(new, centres) for a, b in zip(c, d)) <= tol:
+                done[r] = going.pop(r)
+        if not going:
             break
-    inertia = assign(points, centres).agg(F.sum(F.col("d2").cast("decimal(28,12)")).cast("double")).first()[0] or 0.0
-    return centres, inertia
+    done |= going
+    exact = F.sum(F.col("d2").cast("decimal(28,12)")).cast("double")
+    inertia = {r["start"]: r["d"] for r in assign_all(points, done).groupBy("start").agg(exact.alias("d")).collect()}
+    return [(done[r], inertia.get(r, 0.0)) for r in range(len(starts))]
+
+
+def lloyd(points: DataFrame, centres: list[list[float]], max_iter: int = 200, tol: float = 1e-10) -> tuple[list[list[float]], float]:
+    return lloyd_all(points, [centres], max_iter, tol)[0]
 
 
-def seeded_centres(points: DataFrame, k: int, seed: int) -> list[list[float]]:
-    """k-means++ starts: each further centre is drawn in proportion to its squared distance, by exponential waiting times."""
-    first = points.orderBy(uniform(F.lit(seed), F.lit(0), F.col("customer_id")), "customer_id").first()
-    centres = [list(first["x"])]
+def seeded_centres(points: DataFrame, k: int, seeds: list[int]) -> list[list[list[float]]]:
+    """k-means++ starts, one for each seed: each further centre is drawn in proportion to its squared distance, by
+    exponential waiting times.  All starts' draws of a centre are one job."""
+    chosen = lambda picks: list(points.agg(*(F.min_by("x", p).alias(f"c{r}") for r, p in enumerate(picks))).first())
+    starts = [[list(x)] for x in chosen([F.struct(uniform(F.lit(s), F.lit(0), F.col("customer_id")), F.col("customer_id")) for s in seeds])]
     for i in range(1, k):
-        near = assign(points, centres)
-        wait = -F.log(1 - uniform(F.lit(seed), F.lit(i), F.col("customer_id")))
-        order = F.when(F.col("d2") > 0, wait / F.col("d2")).otherwise(F.lit(float("inf")))
-        centres.append(list(near.orderBy(order, wait, "customer_id").first()["x"]))
-    return centres
+        picks = []
+        for s, centres in zip(seeds, starts):
+            d2 = F.array_min(F.array(*(away(F.col("x"), c) for c in centres)))
+            wait = -F.log(1 - uniform(F.lit(s), F.lit(i), F.col("customer_id")))
+            picks.append(F.struct(F.when(d2 > 0, wait / d2).otherwise(F.lit(float("inf"))), wait, F.col("customer_id")))
+        for centres, x in zip(starts, chosen(picks)):
+            centres.append(list(x))
+    return starts
 
 
 def kmeans(points: DataFrame, k: int, seed: int = 0, n_init: int = 8, max_iter: int = 200, tol: float = 1e-10) -> tuple[list[list[float]], float]:
@@ -87,18 +110,16 @@ def kmeans(points: DataFrame, k: int, seed: int = 0, n_init: int = 8, max_iter:
         raise ValueError("k must be at least 1")
     if points.limit(k).count() < k:
         raise ValueError("fewer points than clusters")
-    best = None
-    for r in range(n_init):
-        made = lloyd(points, seeded_centres(points, k, seed * 1000 + r), max_iter, tol)
-        if best is None or made[1] < best[1]:
-            best = made
-    return best
+    made = lloyd_all(points, seeded_centres(points, k, [seed * 1000 + r for r in range(n_init)]), max_iter, tol)
+    return min(made, key=lambda m: m[1])
 
 
 def segment_customers(lines: DataFrame, items: list[str], k: int = 3, seed: int = 0, top_n: int = 3, n_init: int = 8, max_iter: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(assignments, profiles, centroids); segments are numbered by size."""
-    points = features(lines, items).cache()
-    centres, _ = kmeans(points, k, seed, n_init, max_iter)
+    points = features(lines, items)
+    held = points.persist()
+    centres, _ = kmeans(held, k, seed, n_init, max_iter)
+    held.unpersist()
     rows = assign(points, centres)
     order = Window.orderBy(F.desc("n"), "cluster")
     names = rows.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("segment", (F.row_number().over(order) - 1).cast("int"))

@@ -33,6 +33,8 @@ def time_windows(lines: DataFrame, k: int = 4) -> DataFrame:
     if k < 2:
         raise ValueError("at least two windows are needed")
     placed = positions(lines)
+    if placed.limit(k).count() < k:
+        raise ValueError("fewer baskets than windows")
     total = placed.agg(F.count("*").alias("n"))
     split = sum((F.when(F.col("pos") >= bound(i, k, F.col("n")), 1).otherwise(0) for i in range(1, k)), F.lit(0))
     return placed.join(total).select("basket_id", "pos", split.cast("long").alias("split_id"))
@@ -57,7 +59,10 @@ def arrival_split(lines: DataFrame, fraction: float = 0.7) -> DataFrame:
     """basket_id, pos, is_train: the first ``fraction`` of arrivals learn."""
     check_fraction("fraction", fraction, closed=False)
     placed = positions(lines)
-    return placed.join(placed.agg(F.count("*").alias("n"))).select("basket_id", "pos", (F.col("pos") < F.bround(F.col("n") * F.lit(fraction), 0)).alias("is_train"))
+    cut = F.bround(F.col("n") * F.lit(fraction), 0)
+    if not placed.agg(F.count("*").alias("n")).select((cut > 0) & (cut < F.col("n"))).first()[0]:
+        raise ValueError("one side of the split has no baskets")
+    return placed.join(placed.agg(F.count("*").alias("n"))).select("basket_id", "pos", (F.col("pos") < cut).alias("is_train"))
 
 
 def rules_by_split(lines: DataFrame, splits: DataFrame, min_support: float, min_confidence: float, min_lift: float, max_len: int = 3) -> DataFrame:

@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def lines_of(spark: SparkSession, sf_dir: str, s: Setting = T1) -> DataFrame:
-    return from_tpch(spark, sf_dir, s.item, s.where)
+    return from_tpch(spark, sf_dir, s.item)
 
 
 def sets_of(spark: SparkSession, sf_dir: str, s: Setting = T1) -> DataFrame:
@@ -117,7 +117,7 @@ def lloyd_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str, part: int) -> DataFrame:
-    return segment.segment_customers(lines_of(spark, sf_dir, T3), item_names(spark, sf_dir, T3), CLUSTERS, n_init=2, max_iter=25)[part]
+    return segment.segment_customers(lines_of(spark, sf_dir, T3), item_names(spark, sf_dir, T3), CLUSTERS)[part]
 
 
 def matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from .settings import CLUSTERS, FOLDS, SEED, T1, T2, T3, T4, TOP_K, TOP_N, TRAIN
 def lines(s: Setting) -> str:
     return f"""lines AS (SELECT l_orderkey AS basket_id, o_custkey AS customer_id, {s.item} AS item,
       CAST(SUM(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS amount
-      FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE {s.where} GROUP BY ALL),
+      FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
     pos AS (SELECT basket_id, ROW_NUMBER() OVER (ORDER BY basket_id) - 1 AS pos, COUNT(*) OVER () AS nb FROM (SELECT DISTINCT basket_id FROM lines))"""
 
 
@@ -160,7 +160,7 @@ def oracle_sql() -> dict[str, str]:
     four = lambda *names: ", ".join(f"round({n}, 4) AS {n}" for n in names)
     q["readout_itemsets"] = items(T4, f"SELECT label AS itemset, size::BIGINT AS size, cnt AS support_count, {four('support')} FROM fi")
     q["readout_redundancy"] = rule(T4, """SELECT best.rank::BIGINT AS rank, best.antecedent, best.consequent, CASE WHEN bs = 0 THEN 'baseline' ELSE array_to_string(ba, ' + ') END AS best_simpler, round(best.confidence, 4) AS confidence, round(bc, 4) AS best_confidence,
-      round(best.confidence - bc, 4) AS improvement, round(r.lift, 4) AS lift, r.cnt AS support_count, CASE WHEN best.confidence - bc <= 1e-9::DOUBLE THEN 'redundant' ELSE 'kept' END AS verdict, above IS NULL OR above < cov.cnt AS closed, above IS NULL AS maximal
+      round(best.confidence - bc, 4) + 0 AS improvement, round(r.lift, 4) AS lift, r.cnt AS support_count, CASE WHEN best.confidence - bc <= 1e-9::DOUBLE THEN 'redundant' ELSE 'kept' END AS verdict, above IS NULL OR above < cov.cnt AS closed, above IS NULL AS maximal
       FROM best JOIN r ON r.rank = best.rank JOIN cov ON cov.label = array_to_string(list_sort(list_concat(best.a, best.c)), ' + ')""", IMPROVED, COVERED)
     wide = """wide AS (SELECT recommender, MAX(hit_rate) FILTER (k = 1) AS hit_at_1, MAX(hit_rate) FILTER (k = 3) AS hit_at_3, MAX(hit_rate) FILTER (k = 5) AS hit_at_5, MAX(mrr) AS mrr, MAX(coverage) AS coverage, MAX(n_trials) AS n_trials FROM met GROUP BY 1)"""
     names = ("hit_at_1", "hit_at_3", "hit_at_5", "mrr", "coverage")

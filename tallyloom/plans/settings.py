@@ -10,11 +10,10 @@ class Setting:
     min_confidence: float = 0.10
     min_lift: float = 1.0
     thin: int = 30
-    where: str = "true"
 
 
 T1 = Setting()
 T2 = Setting(min_confidence=0.01)
 T3 = Setting("p_type", 0.02, 0.10, 0.9)
-T4 = Setting(min_support=0.01, min_confidence=0.30, min_lift=1.10, where="l_orderkey < 150")
+T4 = Setting("p_name", 0.0005, 0.02, 0.9)
 SEED, WINDOWS, FOLDS, TRAIN, TOP_K, TOP_N, CLUSTERS = 42, 4, 3, 0.7, 5, 20, 3

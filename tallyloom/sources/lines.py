@@ -15,10 +15,10 @@ def normalise(lines: DataFrame) -> DataFrame:
     return kept.groupBy("basket_id", "item").agg(F.min("customer_id").alias("customer_id"), exact.alias("amount")).select("basket_id", "customer_id", "item", "amount")
 
 
-def from_tpch(spark: SparkSession, sf_dir: str, item: str = "p_brand", where: str = "true") -> DataFrame:
+def from_tpch(spark: SparkSession, sf_dir: str, item: str = "p_brand") -> DataFrame:
     """Orders as baskets and a column of ``part`` as item; amounts are discounted prices, added up in decimals."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    lineitem = read("lineitem").where(where).select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
+    lineitem = read("lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
     joined = lineitem.join(read("part").select("p_partkey", F.col(item).alias("item")), F.col("l_partkey") == F.col("p_partkey"))
     price = F.col("l_extendedprice").cast("decimal(15,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
     lines = joined.where(F.col("item").isNotNull()).groupBy(F.col("l_orderkey").alias("basket_id"), "item").agg(F.sum(price).cast("double").alias("amount"))

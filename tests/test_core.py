@@ -66,6 +66,59 @@ def test_communities(spark):
         graph.modularity(links, parts("uv"))
 
 
+def test_communities_of_apart_groups_and_against_a_full_scan(spark):
+    def scanned(nodes, links):
+        """The same merges, with every gain recomputed for every pair at every step."""
+        m = sum(w for *_, w in links)
+        found = [(n,) for n in sorted(nodes)]
+        while True:
+            between = lambda c, d: sum(w for a, b, w in links if (a in c and b in d) or (a in d and b in c))
+            degree = lambda c: sum(w * ((a in c) + (b in c)) for a, b, w in links)
+            gains = [(between(c, d) / m - degree(c) * degree(d) / (2 * m * m), c, d) for c in found for d in found if c < d and between(c, d)]
+            top = max((g for g, *_ in gains), default=0)
+            if top <= 1e-12:
+                return sorted(found, key=lambda c: (-len(c), c))
+            _, c, d = min((x for x in gains if x[0] >= top - 1e-12), key=lambda x: x[1:])
+            found = sorted([x for x in found if x not in (c, d)] + [tuple(sorted(c + d))])
+
+    import random
+
+    rng = random.Random(3)
+    names = [f"i{k:02}" for k in range(18)]
+    links = [(a, b, rng.choice([0.5, 1.0, 1.5, 2.0])) for i, a in enumerate(names) for b in names[i + 1 :] if int(a[1:]) % 3 == int(b[1:]) % 3 and rng.random() < 0.5]
+    want = scanned([*names, "lone"], links)
+    assert graph.greedy_communities([*names, "lone"], links) == want
+    sets = spark.createDataFrame([([n], 1) for n in [*names, "lone"]], "items array<string>, size int")
+    got = {r["item"]: r["community_id"] for r in graph.communities(sets, spark.createDataFrame(links, "item_a string, item_b string, weight double")).collect()}
+    assert got == {x: i for i, c in enumerate(want) for x in c}
+
+
+def test_wide_baskets_and_large_antecedents(spark):
+    wide = ["".join(chr(97 + i) for i in range(26))] * 3 + ["abc", "ab", "xyz", "a"]
+    lines = baskets_from_lists(spark, wide + [[f"n{i}" for i in range(300)]])
+    key = lambda found: {tuple(r["items"]): r["cnt"] for r in found.collect()}
+    assert key(mine.frequent_itemsets(lines, 0.3)) == key(mine.frequent_itemsets(lines, 0.3, 3, "explode")) == key(mine.frequent_itemsets(lines, 0.3, 3, "join"))
+    schema = "rank long, antecedent array<string>, consequent array<string>, lift double, confidence double, thin_support boolean"
+    made = spark.createDataFrame([(1, ["a", "b", "c", "d"], ["e"], 9.0, 0.9, False), (2, ["b", "c"], ["d"], 2.0, 0.6, False)], schema)
+    asked = spark.createDataFrame([(1, list("abcd")), (2, list("abc")), (3, list("abcde"))], "basket_id long, query array<string>")
+    assert {(r["basket_id"], r["rank"]) for r in rules.applicable(asked, made).collect()} == {(1, 1), (2, 2)}
+
+
+def test_ranks_over_many_lifts(spark):
+    rows = [(s, [f"a{i}"], [f"b{i}"], 0.5 + (i * 7 % 40) / 10, 0.1 * (i % 3)) for s in (0, 1) for i in range(80)]
+    found = spark.createDataFrame(rows, "split_id long, antecedent array<string>, consequent array<string>, lift double, confidence double")
+    got = [(r["split_id"], r["antecedent"]) for r in rules.ranked(found).orderBy("split_id", "rank").collect()]
+    assert got == [(s, a) for s, a, _, _, _ in sorted(rows, key=lambda r: (r[0], -r[3], -r[4], r[1], r[2]))]
+    assert {r["rank"] for r in rules.ranked(found).where("split_id = 1").collect()} == set(range(1, 81))
+
+
+def test_empty_windows_sides_and_trials_are_errors(spark):
+    three = baskets_from_lists(spark, ["a", "b", "c"])
+    for call in (lambda: splits.time_windows(three, 4), lambda: splits.arrival_split(three, 0.1), lambda: splits.arrival_split(three, 0.9), lambda: backtest.evaluate(three, 0.1, 0.1, 1.0)):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_empty_baskets_and_arguments(spark):
     none = baskets_from_lists(spark, [])
     assert mine.frequent_itemsets(none).count() == 0 and mine.frequent_itemsets_fpgrowth(none).count() == 0
