@@ -51,10 +51,11 @@ def score(trials: DataFrame, predictions: DataFrame, ks: tuple[int, ...] = (1, 3
     return out.select("x.k", share(F.col("x.hits"), F.col("n_trials")).alias("hit_rate"), share(F.col("rr"), F.col("n_trials")).alias("mrr"), share(F.col("covered"), F.col("n_trials")).alias("coverage"), "n_trials")
 
 
-def evaluate(lines: DataFrame, min_support: float, min_confidence: float, min_lift: float, fraction: float = 0.7, ks: tuple[int, ...] = (1, 3, 5), seed: int = 42, thin: int = 30, trials: DataFrame | None = None, train: DataFrame | None = None) -> DataFrame:
+def evaluate(lines: DataFrame, min_support: float, min_confidence: float, min_lift: float, fraction: float = 0.7, ks: tuple[int, ...] = (1, 3, 5), seed: int = 42, thin: int = 30, trials: DataFrame | None = None, train: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """recommender, k, hit_rate, mrr, coverage, n_trials of rules and of popularity.
 
-    Trials and the lines to learn from may be given, but only together.
+    Trials and the lines to learn from may be given, but only together.  Without any trial the result is an error, or
+    empty if not ``strict``.
     """
     if (trials is None) != (train is None):
         raise ValueError("train and trials must be given together")
@@ -62,7 +63,7 @@ def evaluate(lines: DataFrame, min_support: float, min_confidence: float, min_li
         split = arrival_split(lines, fraction)
         train = lines.join(split.where("is_train"), "basket_id", "left_semi")
         trials = holdout_trials(lines.join(split.where("not is_train"), "basket_id", "left_semi"), seed)
-    if not trials.limit(1).count():
+    if strict and not trials.limit(1).count():
         raise ValueError("there are no trials")
     found = rules(frequent_itemsets(train, min_support), min_confidence, min_lift, thin)
     top = max(ks)

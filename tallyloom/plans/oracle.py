@@ -165,6 +165,8 @@ def oracle_sql() -> dict[str, str]:
     wide = """wide AS (SELECT recommender, MAX(hit_rate) FILTER (k = 1) AS hit_at_1, MAX(hit_rate) FILTER (k = 3) AS hit_at_3, MAX(hit_rate) FILTER (k = 5) AS hit_at_5, MAX(mrr) AS mrr, MAX(coverage) AS coverage, MAX(n_trials) AS n_trials FROM met GROUP BY 1)"""
     names = ("hit_at_1", "hit_at_3", "hit_at_5", "mrr", "coverage")
     q["readout_evaluation"] = sql(*BACKTEST, wide, select=f"SELECT recommender, {four(*names)}, n_trials FROM wide UNION ALL SELECT 'ratio', {', '.join(f'round(CASE WHEN b.{n} = 0 THEN 0 ELSE a.{n} / b.{n} END, 4)' for n in names)}, a.n_trials FROM wide a JOIN wide b ON a.recommender = 'rules' AND b.recommender = 'popularity'")
+    q["planted_pairs"] = """WITH b AS (SELECT j, unnest(range(2 + j % 2)) AS k FROM range(6) t(j))
+      SELECT printf('good_%02d', 4 * x.j + x.k) AS item_a, printf('good_%02d', 4 * y.j + y.k) AS item_b FROM b x JOIN b y ON x.j = y.j AND x.k < y.k"""
     told = q["redundancy_summary"]
     q["readout_redundancy_narrative"] = f"SELECT 'redundancy' AS topic, printf('%d of %d rules add nothing to a simpler one and %d stay. Of %d frequent itemsets %d are closed and %d maximal.', n_redundant, n_rules, n_kept, n_itemsets, n_closed, n_maximal) AS text FROM ({told})"
     q["readout_stability_narrative"] = f"SELECT 'stability' AS topic, printf('%d of %d leading rules hold up across {WINDOWS} splits; the least steady one shows in %d.', n_stable, n_rules, least_present) AS text FROM ({q['stability_summary']})"

@@ -128,7 +128,7 @@ def tables(lines: DataFrame, plan: Plan = Plan(), held: list[DataFrame] | None =
     found = keep(rules.rules(sets, plan.min_confidence, plan.min_lift, plan.thin))
     verdicts = keep(rules.improvements(sets, found))
     steady = keep(splits.rule_stability(lines, found, plan.min_support, plan.min_confidence, plan.min_lift, n_splits=plan.windows, top_n=plan.top_n))
-    metrics = keep(backtest.evaluate(lines, plan.min_support, plan.min_confidence, plan.min_lift, plan.train, plan.ks, plan.seed, plan.thin))
+    metrics = keep(backtest.evaluate(lines, plan.min_support, plan.min_confidence, plan.min_lift, plan.train, plan.ks, plan.seed, plan.thin, strict=False))
     links = keep(graph.edges(sets, plan.min_lift))
     membership = keep(graph.communities(sets, links))
     out = {

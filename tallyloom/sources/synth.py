@@ -1,58 +1,75 @@
-"""A seeded generator of order lines with planted bundles; every draw is a hash of its place, so it runs in parallel."""
+"""A seeded generator of order lines with planted bundles; every draw is a hash of its place, so it runs in parallel.
+
+Everything follows from the numbers in ``Shop``: goods and their prices, which goods are bundled, and which of them a
+kind of customer favours are rules over numbers, not lists.
+"""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lines import uniform
 
-#: Item: mean value of a line.
-ITEMS = {
-    "anchovies": 4.2, "basil": 2.1, "candles": 9.5, "dumplings": 6.4, "espresso": 11.0, "figs": 5.3, "ginger": 3.2,
-    "honey": 7.8, "ink": 14.5, "jam": 4.9, "kettle": 38.0, "lentils": 3.6, "mugs": 12.4, "napkins": 4.4,
-}
-#: Planted bundles, with the probability that a basket holds one of them.
-BUNDLES = [(("espresso", "kettle", "mugs"), 0.13), (("candles", "napkins"), 0.10), (("honey", "jam"), 0.10), (("basil", "lentils"), 0.09)]
-#: Customer types: share, and the items they favour.
-TYPES = {"cook": (0.40, ("anchovies", "basil", "ginger", "lentils")), "host": (0.35, ("candles", "mugs", "napkins", "figs")), "writer": (0.25, ("espresso", "ink", "honey"))}
-FLOOR, FAVOUR, SPREAD = 0.3, 1.5, 0.35
+#: Every bundle begins this many goods after the one before, so bundles of two and three goods never touch.
+STEP = 4
+
+
+@dataclass(frozen=True)
+class Shop:
+    goods: int = 30
+    bundles: int = 6
+    bundled: float = 0.4  # share of baskets that hold a bundle
+    kinds: int = 5
+    favour: float = 4.0  # how much likelier a kind takes the goods it favours
+    most_extra: int = 4
+    spread: float = 0.25
+
+    def __post_init__(self) -> None:
+        if self.goods < STEP * self.bundles or self.bundles < 1 or self.kinds < 1 or not 0 <= self.bundled <= 1:
+            raise ValueError("a shop needs four goods for every bundle, a bundle, a kind, and a share between 0 and 1")
+
+    def bundle(self, j: int) -> list[int]:
+        """The goods of bundle j: two or three in a row."""
+        return [STEP * j + k for k in range(2 + j % 2)]
+
+
+def good(number: Column | int) -> Column:
+    return F.format_string("good_%02d", F.lit(number) if isinstance(number, int) else number)
 
 
-def planted_pairs(spark: SparkSession) -> DataFrame:
-    pairs = sorted({p for b, _ in BUNDLES for p in combinations(sorted(b), 2)})
-    return spark.createDataFrame(pairs, "item_a string, item_b string")
+def planted_pairs(spark: SparkSession, shop: Shop = Shop()) -> DataFrame:
+    """item_a < item_b: goods that a bundle brings together."""
+    pairs = [p for j in range(shop.bundles) for p in combinations(shop.bundle(j), 2)]
+    return spark.createDataFrame(pairs, "a int, b int").select(good(F.col("a")).alias("item_a"), good(F.col("b")).alias("item_b"))
 
 
-def synthetic_lines(spark: SparkSession, n_baskets: int = 6000, n_customers: int = 420, seed: int = 42) -> DataFrame:
-    """basket_id, customer_id, archetype, item, amount: one row per basket and item."""
+def synthetic_lines(spark: SparkSession, n_baskets: int = 6000, n_customers: int = 420, seed: int = 42, shop: Shop = Shop()) -> DataFrame:
+    """basket_id, customer_id, kind, item, amount: one row per basket and item."""
     if n_baskets < 1 or n_customers < 1:
         raise ValueError("at least one basket and one customer are needed")
-    key, s = F.col("basket_id"), F.lit(seed)
-    number = F.floor(uniform(s, F.lit("customer"), key) * n_customers).cast("int")
-    kind, total = F.lit(None).cast("string"), 0.0
-    for name, (share, _) in TYPES.items():
-        total += share
-        kind = F.coalesce(kind, F.when(F.col("u") < total + 1e-12, name))
-    bundle, total = F.array().cast("array<string>"), sum(p for _, p in BUNDLES)
-    for items, p in reversed(BUNDLES):
-        bundle = F.when(F.col("b") < total, F.array(*map(F.lit, items))).otherwise(bundle)
-        total -= p
-    baskets = spark.range(n_baskets).withColumnRenamed("id", "basket_id").withColumn("number", number)
-    baskets = baskets.withColumn("u", uniform(s, F.lit("kind"), F.col("number"))).withColumn("b", uniform(s, F.lit("bundle"), key))
-    # bundles stand in falling order of their cumulative probability, so the last condition that holds wins
-    baskets = baskets.select("basket_id", F.format_string("C%04d", "number").alias("customer_id"), kind.alias("archetype"), bundle.alias("bundle"), (1 + F.floor(uniform(s, F.lit("size"), key) * 5)).cast("int").alias("fill"))
-    weight = F.lit(FLOOR)
-    for name, (_, liked) in TYPES.items():
-        weight = F.when((F.col("archetype") == name) & F.col("item").isin(*liked), FAVOUR).otherwise(weight)
-    # without replacement: the smallest of exponential waiting times
-    choice = baskets.withColumn("item", F.explode(F.array(*map(F.lit, sorted(ITEMS)))))
-    wait = -F.log(1 - uniform(s, F.lit("fill"), key, F.col("item"))) / weight
-    ranked = choice.groupBy("basket_id", "customer_id", "archetype", "bundle", "fill").agg(F.array_sort(F.collect_list(F.struct(wait.alias("wait"), "item"))).alias("order"))
-    items = F.array_union("bundle", F.transform(F.slice("order", 1, F.col("fill")), lambda x: x["item"]))
-    lines = ranked.select("basket_id", "customer_id", "archetype", F.explode(F.array_sort(items)).alias("item"))
-    mean = F.create_map(*(F.lit(x) for kv in ITEMS.items() for x in kv))[F.col("item")]
-    normal = F.sqrt(-2 * F.log(1 - uniform(s, F.lit("a"), key, F.col("item")))) * F.cos(6.283185307179586 * uniform(s, F.lit("c"), key, F.col("item")))
-    return lines.withColumn("amount", F.greatest(F.round(mean * F.exp(SPREAD * normal), 2), F.lit(0.01)))
+    draw = lambda *parts: uniform(F.lit(seed), *parts)
+    basket, number = F.col("basket_id"), F.col("number")
+    baskets = spark.range(n_baskets).withColumnRenamed("id", "basket_id")
+    baskets = baskets.withColumn("customer", F.floor(draw(F.lit("who"), basket) * n_customers).cast("int"))
+    baskets = baskets.withColumn("kind", F.floor(draw(F.lit("kind"), F.col("customer")) * shop.kinds).cast("int"))
+    # the draw's place within the share of baskets with a bundle names the bundle
+    place = F.floor(draw(F.lit("bundle"), basket) / shop.bundled * shop.bundles) if shop.bundled else F.lit(shop.bundles)
+    baskets = baskets.withColumn("bundle", place.cast("int")).withColumn("extra", (1 + F.floor(draw(F.lit("extra"), basket) * shop.most_extra)).cast("int"))
+    within, start = number - STEP * F.col("bundle"), F.col("bundle") < shop.bundles
+    in_bundle = start & (within >= 0) & (within < 2 + F.col("bundle") % 2)
+    weight = F.when(number % shop.kinds == F.col("kind"), shop.favour).otherwise(1.0)
+    wait = -F.log(1 - draw(F.lit("take"), basket, number)) / weight
+    offered = baskets.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(shop.goods - 1)))).withColumn("planted", in_bundle).withColumn("wait", wait)
+    # goods beside the bundle without replacement: the smallest of exponential waiting times
+    taken = offered.groupBy("basket_id", "customer", "kind", "extra").agg(F.collect_list(F.when(F.col("planted"), number)).alias("planted"), F.array_sort(F.collect_list(F.struct("wait", "number"))).alias("order"))
+    numbers = F.array_union("planted", F.transform(F.slice("order", 1, F.col("extra")), lambda x: x["number"]))
+    lines = taken.select("basket_id", "customer", "kind", F.explode(numbers).alias("number"))
+    price = 2.0 + (number * 37) % 50
+    normal = F.sqrt(-2 * F.log(1 - draw(F.lit("radius"), basket, number))) * F.cos(2 * math.pi * draw(F.lit("angle"), basket, number))
+    amount = F.greatest(F.round(price * F.exp(shop.spread * normal), 2), F.lit(0.01))
+    return lines.select("basket_id", F.format_string("customer_%05d", "customer").alias("customer_id"), F.format_string("kind_%d", "kind").alias("kind"), good(number).alias("item"), amount.alias("amount"))
