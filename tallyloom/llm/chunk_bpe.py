@@ -4,8 +4,9 @@ A rolling hash over the bytes cuts texts into chunks at places that depend on co
 documents share fall into the same chunks.  A task encodes each chunk once and keeps the result; inside a new chunk
 the library sees each white-space-delimited piece once.  A cut may fall inside a word: its two halves are then no
 tokens of the whole text.  Such a join is repaired by re-encoding a window from the last gap before the cut to the
-first gap after it.  Then the window is encoded again with the pieces on either side: the repair stands if that gives
-the ids of the window and of its neighbours exactly; where it doesn't, the window grows to the whole text.
+first gap after it.  Then a window that a cut had parted is encoded again with the pieces on either side: the repair
+stands if that gives the ids of the window and of its neighbours exactly; where it doesn't, the window grows to the
+whole text.
 
 The memory of chunks lives in a Python worker, over all its tasks, and is bounded (``max_chunks``; what was not used
 lately goes first): a chunk that two workers hold is encoded in both.  To encode a chunk once in the whole cluster its text and its ids would have to be
@@ -88,7 +89,7 @@ class Chunk:
 class ChunkCoder:
     """Encodes texts through two bounded memories: of pieces between white space, and of chunks."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000, max_chunks: int = 20_000):
+    def __init__(self, path: str, max_pieces: int = 700_000, max_chunks: int = 20_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -156,13 +157,13 @@ class ChunkCoder:
         return out
 
     def joins(self, parts: list[Chunk | str]) -> list[tuple[str, str, str]]:
-        """Every join of a text: the piece before its window, the window, the piece after it."""
-        at = range(0, len(parts), 2)
-        return [(parts[i - 1].last if i else "", parts[i], parts[i + 1].first if i + 1 < len(parts) else "") for i in at]
+        """Every join of a text that cuts a word: the piece before its window, the window, the piece after it."""
+        at = range(2, len(parts) - 1, 2)
+        return [(parts[i - 1].last, parts[i], parts[i + 1].first) for i in at if parts[i] not in (parts[i - 1].tail, parts[i + 1].head)]
 
     def agree(self, found: set[tuple[str, str, str]]) -> dict[tuple[str, str, str], bool]:
         """Whether each join, encoded together with the pieces on either side, gives the ids that all three have alone."""
-        some = [j for j in found if j[0] or j[2]]
+        some = list(found)
         coded = self.lib.encode_batch_fast([" ".join(j) for j in some], add_special_tokens=False)
         return {j: array("I", e.ids).tobytes() == b"".join(map(self.ids.__getitem__, j)) for j, e in zip(some, coded)}
 
@@ -175,7 +176,7 @@ class ChunkCoder:
         split = [self.parts(t, fresh) for t in texts]
         joins = [self.joins(parts) for parts in split]
         every = set().union(*joins)
-        self.learn({"", *(p for j in every for p in j)}.union(*(c.whole for c in fresh)))
+        self.learn({"", *(p for parts in split for p in parts if isinstance(p, str)), *(p for j in every for p in j)}.union(*(c.whole for c in fresh)))
         ids, text = self.ids.__getitem__, self.text.__getitem__
         for c in fresh:
             c.ids, c.text = b"".join(map(ids, c.whole)), b" ".join(filter(None, map(text, c.whole)))

@@ -106,10 +106,14 @@ def test_every_low_code_point_and_mixed_texts_as_the_libraries():
 
 
 def test_a_join_that_does_not_agree_is_encoded_whole():
-    coder = chunk_bpe.ChunkCoder(WORDS)
-    [(ids, back)] = coder.encode([LONG])
+    rng = np.random.default_rng(7)
+    text = " ".join("".join(rng.choice(list("abdeginorst"), rng.integers(2, 12))) for _ in range(2000))
+    coder = chunk_bpe.ChunkCoder(WORDS, max_pieces=0)
+    [(ids, back)] = coder.encode([text])
+    # chunks are known now, and their pieces forgotten
+    assert list(coder.encode([text])) == [(ids, back)] and coder.reused and not coder.widened
     coder.agree = lambda found: dict.fromkeys(found, False)
-    assert list(coder.encode([LONG])) == [(ids, back)] and coder.widened == 1
+    assert list(coder.encode([text])) == [(ids, back)] and coder.widened == 1
 
 
 def test_long_runs_of_one_character():
