@@ -1,14 +1,15 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random bipolar vector.  A trigram is bound from its letters' vectors, each permuted by its place; a
-document bundles its trigrams' vectors; a language prototype bundles the unit profiles of all documents that learning
+Every letter, of whatever script, has a random bipolar vector of its own, hashed from its code point; all that is no
+letter shares one.  A trigram is bound from its letters' vectors, each permuted by its place; a document bundles its trigrams' vectors; a language prototype bundles the unit profiles of all documents that learning
 may use.  A document gets the language whose prototype has the largest cosine with it.
 
 Prototypes are sums over the whole corpus: tasks add up what they read, and Spark adds the partial sums.  Profiles are
 rounded before they are added, so the sums don't depend on the order of rows.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; nothing to learn from gives ``und``
-throughout; ties go to the language that sorts first; repeated rows count and return as often as they come.
+throughout; ties go to the language that sorts first; repeated rows count and return as often as they come; texts of
+any length are taken whole; other columns take no part and cannot clash; more than MAX_LANGUAGES languages are an error.
 """
 
 from __future__ import annotations
@@ -22,40 +23,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, id_remainder, slices, texts_of
+from .wordhash import mix
 
 DIM, SEED, GRAIN = 512, 20_240_117, 10_000
+WORDS = DIM // 64
+#: Trigrams whose vectors are held at once.
+PART = 4096
 #: The prototypes go to every task: this many languages at most, of DIM integers each (16 MB).
 MAX_LANGUAGES = 4096
 PREDICTED = "doc_id long, has_text boolean, lang_pred string, score double"
 
 
 @lru_cache(1)
-def letter_codes() -> np.ndarray:
-    """Code point to letter: 0 for all that is no letter, 1 to 26 for a to z, 27 to 31 for other letters by their code."""
-    codes = np.array([27 + c % 5 if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint8)
-    codes[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return codes
+def is_letter() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-@lru_cache(1)
-def trigram_vectors() -> np.ndarray:
-    """A row for each of 32 ** 3 trigrams: the product of the three letters' vectors, rotated by 2, 1 and 0."""
-    letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (32, DIM))
-    first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    return (first[:, None, None] * second[None, :, None] * letters[None, None, :]).reshape(-1, DIM)
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """DIM random bits for each code point, as words of 64; the same wherever they are asked for."""
+    return mix(points.astype(np.uint64)[:, None] * np.uint64(WORDS) + np.arange(WORDS, dtype=np.uint64) + np.uint64(SEED << 32))
 
 
 def profile(text: str) -> np.ndarray | None:
     """The bundle of a text's trigrams, or None if it has no letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-    codes = letter_codes()[points]
-    if not codes.any():
+    points = np.concatenate([[0], np.where(is_letter()[points], points, 0), [0]])
+    letters, at = np.unique(points, return_inverse=True)
+    n = len(letters)
+    if n == 1:
         return None
-    codes = np.concatenate([[0], codes, [0]]).astype(np.int32)
-    grams = (codes[:-2] << 10) | (codes[1:-1] << 5) | codes[2:]
-    counts = np.bincount(grams[(codes[1:-1] > 0)], minlength=32**3)
-    at = np.flatnonzero(counts)
-    return counts[at].astype(np.float32) @ trigram_vectors()[at].astype(np.float32)
+    grams = ((at[:-2] * n + at[1:-1]) * n + at[2:])[at[1:-1] > 0]
+    if n**3 <= 1 << 18:
+        counts = np.bincount(grams)
+        grams = np.flatnonzero(counts)
+        counts = counts[grams]
+    else:
+        grams, counts = np.unique(grams, return_counts=True)
+    bits = letter_vectors(letters)
+    first, second = np.roll(bits, 2, axis=1), np.roll(bits, 1, axis=1)
+    ones = np.zeros(DIM)
+    for i in range(0, len(grams), PART):
+        g = grams[i : i + PART]
+        bound = first[g // (n * n)] ^ second[g // n % n] ^ bits[g % n]
+        ones += counts[i : i + PART].astype(np.float32) @ np.unpackbits(bound.view(np.uint8), axis=1).astype(np.float32)
+    return counts.sum() - 2 * ones
 
 
 def unit(v: np.ndarray) -> np.ndarray:
