@@ -1,17 +1,21 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their first four and five letters; those that depend on the label (chi-square over labelled rows)
-make up the vocabulary.  Document frequencies are counted over all documents.  The examples' postings are cut into
-blocks of examples; each term keeps its largest weight in each block, which bounds the similarity of every example of
-the block.  Blocks are opened in falling order of their bound until the k-th best similarity reaches the next bound,
-so the neighbours are exactly the nearest.  Neighbours vote by similarity; a prior steadies few or weak votes.
-
-Labelled rows are a sample of at most ``max_labelled`` (smallest id hashes) and the index holds at most
-``max_examples`` of them, which bounds what goes to the driver and to each task.  All else covers all documents.
+Terms are words (runs of letters) and their first four and five letters; those that depend on the label (chi-square over
+the examples) make up the vocabulary, however many they are.  The cosine is over these terms: over all words, texts
+meet by their subject, and half of the toxic ones were lost.  Document frequencies are counted over all documents.  A
+term's postings name the examples that hold it, in blocks of examples; each block of postings keeps its largest weight, and
+these bound the similarity of every example of a block.  Blocks are opened in falling order of their bound until the
+k-th best similarity reaches the next bound, so the neighbours are exactly the nearest.  Neighbours vote by
+1 / (distance + GAP), distance being that of unit vectors.  The share of toxic votes becomes a probability through a
+logistic curve, fitted on the examples, each voted on by the others.
+
+Labelled rows are a sample of at most ``max_labelled`` (smallest hashes of ids), all of which are examples; this bounds
+what goes to the driver and to each task.  All else covers all documents.
 
 Defined cases: a text without any term of the vocabulary, an empty or a null one gets the share of toxic rows among
-labelled texts without any; without labels every score is 0; rows labelled twice count as toxic if one says so;
-ties in similarity go to the example that comes first by id; repeated rows give repeated rows.
+such examples, or among all examples if there is none; without labels every score is 0; rows labelled twice count as toxic if one says
+so; of documents that share an id the first text in order is the example; ties in similarity go to the smaller id;
+repeated rows give repeated rows; texts of any length are taken whole; other columns take no part and cannot clash.
 """
 
 from __future__ import annotations
@@ -27,11 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, id_remainder, slices, texts_of
+from .common import batches, discard, id_remainder, slices, texts_of, written
 
 WORDS = re.compile(r"[^\W\d_]+").findall
-BLOCK = 64
-SCORED = "doc_id long, score double, evidence array<long>"
+BLOCK, GAP, EXACT = 64, 0.1, 9
 
 
 def terms_of(text: str) -> Counter:
@@ -46,78 +49,138 @@ def terms_of(text: str) -> Counter:
     return out
 
 
-def known_terms(text: str, vocabulary: dict[str, int]) -> dict[int, int]:
-    out: dict[int, int] = {}
+def known_terms(text: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(terms of the vocabulary in their order, how often each stands in the text)."""
+    counts: dict[int, int] = {}
     get = vocabulary.get
     for w, n in Counter(WORDS(text.lower())).items():
         for t in (w, "^" + w[:4], "^" + w[:5]) if len(w) > 5 else (w, "^" + w[:4]) if len(w) > 4 else (w,):
             if (i := get(t)) is not None:
-                out[i] = out.get(i, 0) + n
-    return out
+                counts[i] = counts.get(i, 0) + n
+    at = sorted(counts)
+    return np.array(at, "i8"), np.array([counts[i] for i in at], "f8")
+
+
+def runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] numbers), then those from first[1], and so on."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
 
 
 @dataclass
 class Index:
-    """Unit vectors of labelled examples, as postings by term within blocks of BLOCK examples."""
+    """Unit vectors of labelled examples, as postings by term and block of BLOCK examples."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray  # block, term, example of the block
-    bounds: np.ndarray  # block, term: the largest weight
-    prior: float
-    bare: float
+    lists: np.ndarray  # term: its first block of postings; one more at the end
+    blocks: np.ndarray  # block of postings: the block of examples it is about
+    bounds: np.ndarray  # block of postings: the largest weight
+    postings: np.ndarray  # block of postings: its first posting; one more at the end
+    examples: np.ndarray  # posting: the example
+    weights: np.ndarray  # posting: the term's weight in the example
+    bare: float = 0.0
+    slope: float = 1.0
+    offset: float = 0.0
 
     @classmethod
-    def build(cls, vocabulary: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], prior: float, bare: float) -> Index:
-        n = -(-len(examples) // BLOCK)
-        weights = np.zeros((n, len(vocabulary), BLOCK), np.float32)
-        for e, (_, _, counts) in enumerate(examples):
-            at, v = cls.vector(counts, idf)
-            weights[e // BLOCK, at, e % BLOCK] = v
-        bounds = weights.max(axis=2) if n else np.zeros((0, len(vocabulary)), np.float32)
-        return cls(vocabulary, idf, np.array([x[0] for x in examples], "i8"), np.array([x[1] for x in examples], "f8"), weights, bounds, prior, bare)
+    def build(cls, vocabulary: dict[str, int], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> Index:
+        """``held``: for each example its terms and their counts."""
+        vectors = [cls.vector(at, n, idf) for at, n in held]
+        term = np.concatenate([at for at, _ in held]) if held else np.zeros(0, "i8")
+        example = np.repeat(np.arange(len(held)), [len(at) for at, _ in held])
+        weight = np.concatenate(vectors) if held else np.zeros(0)
+        order = np.lexsort((example, term))
+        term, example, weight = term[order], example[order], weight[order]
+        n = -(-len(held) // BLOCK)
+        key = term * max(n, 1) + example // BLOCK
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, "i8")
+        bounds = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        lists = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))
+        return cls(vocabulary, idf, ids, labels.astype("f8"), lists, example[first] // BLOCK, bounds, np.r_[first, len(key)], example, weight)
 
     @staticmethod
-    def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(counts, "i8", len(counts))
-        v = (1 + np.log(np.fromiter(counts.values(), "f8", len(counts)))) * idf[at]
-        return at, v / math.sqrt(float(v @ v))
-
-    def nearest(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(example numbers, similarities) of the k examples with the largest cosine, zeros left out."""
-        at, q = self.vector(counts, self.idf)
-        q = q.astype(np.float32)
-        bound = self.bounds[:, at] @ q
-        best_i, best_s = np.zeros(0, "i8"), np.zeros(0, "f4")
+    def vector(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        v = (1 + np.log(n)) * idf[at]
+        return v / math.sqrt(float(v @ v)) if len(v) else v
+
+    def nearest(self, at: np.ndarray, n: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(example numbers, similarities) of the k examples with the largest cosine, zeros and ``without`` left out."""
+        q = self.vector(at, n, self.idf)
+        size = self.lists[at + 1] - self.lists[at]
+        lists, q = runs(self.lists[at], size), np.repeat(q, size)
+        bound = np.bincount(self.blocks[lists], q * self.bounds[lists], -(-len(self.ids) // BLOCK))
         order = np.argsort(-bound, kind="stable")
-        for start in range(0, len(order), 4):
-            blocks = order[start : start + 4]
-            if bound[blocks[0]] <= 0 or len(best_s) >= k and bound[blocks[0]] < best_s[-1] - 1e-6:
-                break
-            s = np.einsum("t,bte->be", q, self.weights[blocks[:, None], at[None, :]]).ravel()
-            i = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            some = s > 0
-            i, s = np.concatenate([best_i, i[some]]), np.concatenate([best_s, s[some]])
-            first = np.lexsort((i, -np.round(s, 6)))[:k]
+        place = np.empty(len(order), "i8")
+        place[order] = np.arange(len(order))
+        rank = place[self.blocks[lists]]
+        by_rank = np.argsort(rank, kind="stable")
+        lists, q, rank = lists[by_rank], q[by_rank], rank[by_rank]
+        best_i, best_s = np.zeros(0, "i8"), np.zeros(0)
+        start, step = 0, 8
+        while start < len(order) and bound[order[start]] > 0 and (len(best_s) < k or bound[order[start]] >= best_s[-1] - 10.0**-EXACT):
+            a, b = np.searchsorted(rank, (start, start + step))
+            first = self.postings[lists[a:b]]
+            size = self.postings[lists[a:b] + 1] - first
+            opened = runs(first, size)
+            here = np.repeat((rank[a:b] - start) * BLOCK, size) + self.examples[opened] % BLOCK
+            s = np.bincount(here, np.repeat(q[a:b], size) * self.weights[opened])
+            some = np.flatnonzero(s)
+            i, s = order[start + some // BLOCK] * BLOCK + some % BLOCK, np.round(s[some], EXACT)
+            if without >= 0:
+                i, s = i[i != without], s[i != without]
+            i, s = np.concatenate([best_i, i]), np.concatenate([best_s, s])
+            if len(i) > k:
+                worst = np.partition(s, len(s) - k)[len(s) - k]
+                i, s = i[s >= worst], s[s >= worst]
+            first = np.lexsort((i, -s))[:k]
             best_i, best_s = i[first], s[first]
+            start, step = start + step, step * 2
         return best_i, best_s
 
-    def score(self, text: str, k: int, weight_of_prior: float) -> tuple[float, list[int]]:
-        counts = known_terms(text, self.vocabulary)
-        if not counts or not len(self.ids):
+    def votes(self, text: str, k: int, without: int = -1) -> tuple[float | None, np.ndarray]:
+        """(share of toxic votes or None without neighbours, the examples that voted)."""
+        at, n = known_terms(text, self.vocabulary)
+        if not len(at):
+            return None, at
+        i, s = self.nearest(at, n, k, without)
+        if not len(i):
+            return None, i
+        w = 1 / (np.sqrt(np.maximum(2 - 2 * s, 0)) + GAP)
+        return float(w @ self.labels[i] / w.sum()), i
+
+    def score(self, text: str, k: int) -> tuple[float, list[int]]:
+        share, i = self.votes(text, k)
+        if share is None:
             return self.bare, []
-        i, s = self.nearest(counts, k)
-        votes = float(s @ self.labels[i])
-        return (votes + weight_of_prior * self.prior) / (float(s.sum()) + weight_of_prior), self.ids[i].tolist()
+        return float(1 / (1 + math.exp(-(self.slope * share + self.offset)))), self.ids[i].tolist()
+
 
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and offset of the most likely curve, with targets drawn a little inwards so that it stays finite."""
+    pos = float(y.sum())
+    target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (len(y) - pos + 2))
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(2)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (target - p) - 1e-3 * w)
+        w += np.clip(move, -4, 4)
+    return float(w[0]), float(w[1])
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_labelled: int = 20_000, max_terms: int = 512, max_examples: int = 4096, min_chi2: float = 25.0, label_col: str = "toxic") -> Index:
-    """The index, learned from labelled rows that satisfy ``learn`` (over labels' doc_id)."""
-    rows = labels.where(learn & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 11, max_labelled: int = 20_000, min_chi2: float = 25.0, min_rows: int = 5, label_col: str = "toxic") -> Index:
+    """The index, learned from labelled rows that satisfy ``learn`` (over labels' doc_id).
+
+    Terms are those in at least ``min_rows`` examples whose chi-square with the label is at least ``min_chi2``.
+    """
+    spark = docs.sparkSession
+    rows = labels.where(learn & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    sample = texts_of(docs).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "label")
+    sample = texts_of(docs).join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    sample = written(sample, "labelled")
 
     def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = (Counter(), Counter())
@@ -131,54 +194,64 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_labelled: int = 2
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([n[1][t] for t in terms], pa.int64()), pa.array([n[0][t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
     counts = sample.select("text", "label").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    total = counts.where("term = ''").select("a", "b").first()
-    if total is None or not total["a"] + total["b"]:
-        return Index.build({}, np.zeros(0), [], 0.0, 0.0)
-    toxic, clean = total["a"], total["b"]
-    n = toxic + clean
+    toxic, clean = sample.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first()
     a, b = F.col("a"), F.col("b")
     c, d = toxic - a, clean - b
     below = (a + b).cast("double") * (c + d) * float(max(toxic, 1)) * float(max(clean, 1))
-    chi2 = F.when(below > 0, n * F.pow((a * d - b * c).cast("double"), 2) / below).otherwise(0.0)
-    kept = counts.where("term <> ''").where((a + b) >= 5).withColumn("chi2", chi2).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms)
-    vocabulary = {r["term"]: i for i, r in enumerate(kept.select("term").collect())}
+    chi2 = F.when(below > 0, (toxic + clean) * F.pow((a * d - b * c).cast("double"), 2) / below).otherwise(0.0)
+    kept = counts.where("term <> ''").where(((a + b) >= min_rows) & (chi2 >= min_chi2)).select("term")
+    vocabulary = {t: i for i, t in enumerate(sorted(r["term"] for r in kept.collect()))}
+    spread = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(vocabulary) + 1, "i8")
+        df = np.zeros(len(spread.value) + 1, "i8")
         for batch in batches(found):
             for _, texts in slices(batch):
                 df[-1] += len(texts)
                 for text in texts:
-                    for i in known_terms(text, vocabulary):
-                        df[i] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], ["at", "n"])
+                    df[known_terms(text, spread.value)[0]] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["at", "n"])
 
     df = np.zeros(len(vocabulary) + 1)
     for r in texts_of(docs).select("text").mapInArrow(frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         df[r["at"]] = r["n"]
-    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
 
     def vectors(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(found):
-            got = [list(known_terms(t, vocabulary).items()) for _, texts in slices(batch) for t in texts]
-            at = pa.array([[i for i, _ in g] for g in got], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), at, pa.array([[c for _, c in g] for g in got], pa.list_(pa.int32()))], ["doc_id", "label", "at", "n"])
+            held = [known_terms(t, spread.value) for _, texts in slices(batch) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([at for at, _ in held], pa.list_(pa.int64())), pa.array([n for _, n in held], pa.list_(pa.float64()))], ["doc_id", "label", "at", "n"])
+
+    made = sample.mapInArrow(vectors, "doc_id long, label int, at array<long>, n array<double>").orderBy("doc_id").collect()
+    held = [(np.array(r["at"], "i8"), np.array(r["n"], "f8")) for r in made]
+    label = np.array([r["label"] > 0 for r in made], "f8")
+    index = Index.build(vocabulary, np.log((df[-1] + 1) / (df[:-1] + 1)) + 1, np.array([r["doc_id"] for r in made], "i8"), label, held)
+    shared = spark.sparkContext.broadcast(index)
+
+    def left_out(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(found):
+            at = np.searchsorted(shared.value.ids, batch.column("doc_id").to_numpy())
+            shares = [shared.value.votes(t, k, int(at[start + i]))[0] for start, texts in slices(batch) for i, t in enumerate(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(shares, pa.float64())], ["doc_id", "label", "share"])
 
-    made = sample.mapInArrow(vectors, "doc_id long, label int, at array<int>, n array<int>")
-    bare = made.where(F.size("at") == 0).agg(F.avg("label")).first()[0]
-    found = made.where(F.size("at") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).collect()
-    examples = sorted((r["doc_id"], r["label"], dict(sorted(zip(r["at"], r["n"])))) for r in found)
-    return Index.build(vocabulary, idf, [(i, x, c) for i, x, c in examples], toxic / n, float(toxic / n if bare is None else bare))
+    voted = sample.mapInArrow(left_out, "doc_id long, label int, share double").orderBy("doc_id").collect()
+    some = np.array([r["share"] is not None for r in voted], bool)
+    if some.any():
+        index.slope, index.offset = logistic(np.array([r["share"] for r in voted if r["share"] is not None]), label[some])
+    if len(label):
+        index.bare = float(label[~some].mean() if (~some).any() else label.mean())
+    discard(sample)
+    return index
 
 
-def score(docs: DataFrame, index: Index, k: int = 11, weight_of_prior: float = 0.3, *keep: str) -> DataFrame:
+def score(docs: DataFrame, index: Index, k: int = 11, *keep: str) -> DataFrame:
     """doc_id, score and the ids of the examples that voted."""
     spread = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             for at, texts in slices(batch):
-                done = [spread.value.score(t, k, weight_of_prior) for t in texts]
+                done = [spread.value.score(t, k) for t in texts]
                 part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *keep)), pa.array([s for s, _ in done], pa.float64()), pa.array([e for _, e in done], pa.list_(pa.int64()))], ["doc_id", *keep, "score", "evidence"])
 

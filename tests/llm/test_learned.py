@@ -37,6 +37,57 @@ def test_toxicity_of_held_out_documents(spark):
     assert sum(r["toxic"] and r["predicted"] for r in got) * 2 > sum(r["toxic"] for r in got)
 
 
+def test_languages_of_other_scripts_and_of_the_same_letters_but_for_accents(spark):
+    rng = random.Random(8)
+    alphabets = {"ru": "абвгдежзиклмнопрст", "uk": "абвгдеєжзиіїклмноп", "el": "αβγδεζηθικλμνξοπρσ", "x1": "abcdeéèhiklmn", "x2": "abcdeáóhiklmn", "x3": "abcdeñöhiklmn"}
+    words = {lang: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 7))) for _ in range(60)] for lang, a in alphabets.items()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(40)), lang) for i, lang in enumerate(rng.sample(sorted(words) * 40, 240))]
+    got = hyperlang.identify(spark.createDataFrame([*rows, (999, "12 -- \u0301", "ru"), (1000, None, "ru")], "doc_id long, text string, lang string")).collect()
+    lang = {i: x for i, _, x in rows}
+    assert all(r["lang_pred"] == lang.get(r["doc_id"], "und") and 0 <= r["score"] <= 1 for r in got) and len(got) == len(rows) + 2
+
+
+def test_profile_is_the_bundle_of_bound_and_permuted_letters():
+    text = "Añb, 漢字かな Я" * 40
+    sign = lambda c: 1 - 2 * np.unpackbits(hyperlang.letter_vectors(np.array([c])).view(np.uint8)).astype(int)
+    points = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+    want = sum(np.roll(sign(a), 128) * np.roll(sign(b), 64) * sign(c) for a, b, c in zip(points, points[1:], points[2:]) if b)
+    assert (hyperlang.profile(text) == want).all()
+
+
+@pytest.mark.parametrize("k", [1, 11, 300])
+def test_nearest_examples_are_those_of_exhaustive_cosine(k):
+    rng = np.random.default_rng(k)
+    terms = 40
+    idf = rng.uniform(1, 6, terms)
+    some = lambda: (np.sort(rng.choice(terms, rng.integers(1, 6), replace=False)), rng.integers(1, 4, terms).astype(float))
+    held = [(at, n[: len(at)]) for at, n in (some() for _ in range(700))]
+    held[50:90] = [held[3]] * 40
+    held[91] = (np.zeros(0, "i8"), np.zeros(0))
+    dense = np.zeros((700, terms))
+    for row, (at, n) in zip(dense, held):
+        row[at] = toxic_knn.Index.vector(at, n, idf)
+    index = toxic_knn.Index.build({str(i): i for i in range(terms)}, idf, np.arange(700), np.zeros(700), held)
+    for at, n in held[:40] + held[60:61]:
+        q = np.zeros(terms)
+        q[at] = toxic_knn.Index.vector(at, n, idf)
+        for without in (-1, 3):
+            s = np.round(dense @ q, toxic_knn.EXACT)
+            s[without] = s[without] if without < 0 else 0
+            want = [i for i in np.lexsort((np.arange(700), -s)) if s[i] > 0][:k]
+            i, sims = index.nearest(at, n, k, without)
+            assert i.tolist() == want and np.allclose(sims, s[want])
+
+
+def test_scores_of_toxicity_are_calibrated(spark):
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    got = toxic_knn.classify(docs, labels).where("not held_out").join(labels, "doc_id").select("toxic", "score").collect()
+    share = sum(r["toxic"] for r in got) / len(got)
+    assert sum((r["score"] - r["toxic"]) ** 2 for r in got) < 0.5 * len(got) * share * (1 - share)
+    assert abs(sum(r["score"] for r in got) / len(got) - share) < 0.05
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_base_score_is_that_of_plain_counts(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice(["Red", "green", "blue", "rain", "élan", "x1", "word"]) for _ in range(rng.randrange(0, 40))) for _ in range(60)]
