@@ -43,7 +43,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose score is below one half."""
     index = toxic_knn.fit(docs, table(spark, sf_dir, "labels"), id_remainder(F.col("doc_id"), 5) != 0)
-    return carried(docs, lambda d, *keep: toxic_knn.score(d, index, 11, 0.3, "text", *keep).where("score < 0.5"))
+    return carried(docs, lambda d, *keep: toxic_knn.score(d, index, 11, "text", *keep).where("score < 0.5"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
