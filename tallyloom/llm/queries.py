@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, bestfit, blob_ledger, chunk_bpe, group_jaccard, hyperlang, matroska, pii_bootstrap, projected_knn, toxic_knn
+from . import attention_lm, bestfit, blob_ledger, chunk_bpe, group_jaccard, hyperlang, matroska, pii_bootstrap, projected_knn, quality_cascade, source_divergence, toxic_knn, whitening
 from .common import table
 
 
@@ -56,9 +56,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blob_ledger.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade.quality_report(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_quality_cascade": quality_cascade.SQL, "op13_source_divergence": source_divergence.SQL}
