@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import share
 from ..sources.lines import draw
+from ..sources.shared import materialized
 from .mine import baskets, frequent_itemsets, popularity
 from .rules import applicable, ranked_items, rules
 from .splits import arrival_split
@@ -60,12 +61,12 @@ def evaluate(lines: DataFrame, min_support: float, min_confidence: float, min_li
     if (trials is None) != (train is None):
         raise ValueError("train and trials must be given together")
     if trials is None:
-        split = arrival_split(lines, fraction)
+        split = materialized(arrival_split(lines, fraction), "arrivals")
         train = lines.join(split.where("is_train"), "basket_id", "left_semi")
-        trials = holdout_trials(lines.join(split.where("not is_train"), "basket_id", "left_semi"), seed)
+        trials = materialized(holdout_trials(lines.join(split.where("not is_train"), "basket_id", "left_semi"), seed), "trials")
     if strict and not trials.limit(1).count():
         raise ValueError("there are no trials")
-    found = rules(frequent_itemsets(train, min_support), min_confidence, min_lift, thin)
+    found = materialized(rules(materialized(frequent_itemsets(train, min_support), "itemsets"), min_confidence, min_lift, thin), "rules")
     top = max(ks)
     by_rules = score(trials, rule_items(trials, found, top), ks).withColumn("recommender", F.lit("rules"))
     by_count = score(trials, popular_items(trials, popularity(train), top), ks).withColumn("recommender", F.lit("popularity"))

@@ -1,15 +1,22 @@
-"""Frequent itemsets: (split_id, items, size, cnt, n, support) by two independent miners.
+"""Frequent itemsets: (split_id, items, size, cnt, n, support) by miners that don't share their counting.
 
 ``split_id`` lets many samples of the same baskets be mined in one job; without splits it is 0.  ``weight`` tells how
 often a basket counts.  Counts are whole numbers throughout; supports are count over baskets.
+
+Lines and levels are tables: every level reads the one before from its own, so the plan of a level is the same at any
+depth, and nothing upstream runs again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import check_fraction, combinations, min_count
+from ..sources.shared import materialized
+from . import vertical
 
 
 def with_split(lines: DataFrame) -> DataFrame:
@@ -34,38 +41,69 @@ def item_counts(lines: DataFrame) -> DataFrame:
     return with_split(lines).groupBy("split_id", "item").agg(F.sum("weight").cast("long").alias("cnt"))
 
 
-def frequent_items(rows: DataFrame, totals: DataFrame, min_support: float) -> DataFrame:
-    counts = rows.groupBy("split_id", "item").agg(F.sum("weight").cast("long").alias("cnt")).join(totals, "split_id")
-    return counts.where(F.col("cnt") >= min_count(min_support, F.col("n"))).select("split_id", "item")
+#: Combinations of a basket's frequent items up to which all of them are made at once.
+NARROW = 2500
+
 
+def n_combinations(n: Column, max_len: int) -> Column:
+    """How many sets of up to ``max_len`` of n items there are, as a double."""
+    total, term = F.lit(0.0), F.lit(1.0)
+    for k in range(1, max_len + 1):
+        term = term * F.greatest(n - (k - 1), F.lit(0)) / k
+        total = total + term
+    return total
 
-#: Frequent items in a basket up to which all its combinations are made at once.
-NARROW = 24
+
+def has_wide(held: DataFrame, max_len: int) -> bool:
+    """Whether a basket of the table ``held`` has more combinations than are made at once."""
+    return bool(held.where(n_combinations(F.size("items"), max_len) > NARROW).limit(1).count())
 
 
 def frequent_itemsets(lines: DataFrame, min_support: float = 0.02, max_len: int = 3, method: str = "auto") -> DataFrame:
     """Level-wise mining.
 
-    ``explode`` makes all combinations of a basket's frequent items at once, with one shuffle; ``join`` grows sets item by
-    item and drops infrequent candidates at every level.  ``auto`` does the first for baskets of at most ``NARROW``
-    frequent items and the second for wider ones, if there are any; counts are those of all baskets at every level.
+    ``explode`` makes all combinations of a basket's frequent items at once, with one shuffle; ``vertical`` intersects
+    bitmaps of items within ranges of baskets, level by level, and never takes a basket apart; ``join`` grows sets item
+    by item and drops infrequent candidates at every level.  ``auto`` is the first unless a basket has more than
+    ``NARROW`` combinations, and then the second.
     """
     check_fraction("min_support", min_support)
     if max_len < 1:
         raise ValueError("max_len must be at least 1")
-    rows = with_split(lines)
-    totals = basket_totals(rows)
-    rows = rows.join(frequent_items(rows, totals, min_support), ["split_id", "item"], "left_semi")
-    if method not in ("auto", "explode", "join"):
+    if method not in ("auto", "explode", "vertical", "join"):
         raise ValueError(f"unknown method {method}")
+    rows = materialized(with_split(lines), "lines")
+    totals = basket_totals(rows)
+    frequent = keep_frequent(rows.groupBy("split_id", F.array("item").alias("items")).agg(F.sum("weight").cast("long").alias("cnt")), totals, min_support)
+    if max_len == 1:
+        return frequent
+    rows = rows.join(frequent.select("split_id", F.element_at("items", 1).alias("item")), ["split_id", "item"], "left_semi")
     if method == "join":
-        return grow(rows, totals, min_support, max_len)
+        return grow(materialized(rows, "frequent-lines"), totals, min_support, max_len)
     held = rows.groupBy("split_id", "basket_id").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_set("item")).alias("items"))
-    wide = held.where(F.size("items") > NARROW) if method == "auto" and max_len > 1 else None
-    if wide is None or not wide.limit(1).count():
+    if method == "auto":
+        held = materialized(held, "baskets")
+        method = "vertical" if has_wide(held, max_len) else "explode"
+    if method == "explode":
         return keep_frequent(all_sets(held, max_len), totals, min_support)
-    narrow = all_sets(held.where(F.size("items") <= NARROW), max_len)
-    return grow(wide.select("split_id", "basket_id", "weight", F.explode("items").alias("item")), totals, min_support, max_len, narrow)
+    return by_bitmaps(held, materialized(frequent, "level"), totals, min_support, max_len)
+
+
+def by_bitmaps(held: DataFrame, first: DataFrame, totals: DataFrame, min_support: float, max_len: int) -> DataFrame:
+    """Levels counted within blocks of baskets; ``first`` holds the frequent items."""
+    blocks = materialized(vertical.blocks(held), "blocks")
+    levels = [first]
+    for k in range(2, max_len + 1):
+        if k == 2:
+            counts = vertical.pair_counts(blocks)
+        else:
+            wanted = materialized(candidates(levels[-1], k), "candidates")
+            n = wanted.count()
+            if not n:
+                break
+            counts = vertical.set_counts(blocks, wanted, n)
+        levels.append(materialized(keep_frequent(counts.groupBy("split_id", "items").agg(F.sum("cnt").cast("long").alias("cnt")), totals, min_support), "level"))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def all_sets(held: DataFrame, max_len: int) -> DataFrame:
@@ -91,23 +129,52 @@ def candidates(frequent: DataFrame, k: int) -> DataFrame:
     return parts.join(known, ["split_id", "part"], "left_semi").groupBy("split_id", "items").agg(F.count("*").alias("c")).where(F.col("c") == k).select("split_id", "items")
 
 
-def grow(rows: DataFrame, totals: DataFrame, min_support: float, max_len: int, others: DataFrame | None = None) -> DataFrame:
-    """Frequent sets of the baskets in ``rows`` and of others, whose counts are given."""
-    held = rows.select("split_id", "basket_id", "weight", F.array("item").alias("items"))
-    found, k = None, 1
-    while True:
+def grow(rows: DataFrame, totals: DataFrame, min_support: float, max_len: int) -> DataFrame:
+    """Frequent sets of the baskets in the table ``rows``: each level's sets and the baskets that hold them are tables."""
+    held, levels = rows.select("split_id", "basket_id", "weight", F.array("item").alias("items")), []
+    for k in range(1, max_len + 1):
+        if levels:
+            held = held.join(levels[-1].select("split_id", "items"), ["split_id", "items"], "left_semi")
+            longer = held.join(rows.select("split_id", "basket_id", "item"), ["split_id", "basket_id"]).where(F.col("item") > F.element_at("items", -1))
+            longer = longer.select("split_id", "basket_id", "weight", F.concat("items", F.array("item")).alias("items"))
+            held = materialized(longer.join(candidates(levels[-1], k), ["split_id", "items"], "left_semi"), "held")
         counts = held.groupBy("split_id", "items").agg(F.sum("weight").cast("long").alias("cnt"))
-        if others is not None:
-            counts = counts.unionByName(others.where(F.size("items") == k)).groupBy("split_id", "items").agg(F.sum("cnt").alias("cnt"))
-        level = keep_frequent(counts, totals, min_support)
-        found = level if found is None else found.unionByName(level)
-        k += 1
-        if k > max_len:
-            return found
-        held = held.join(level.select("split_id", "items"), ["split_id", "items"], "left_semi")
-        longer = held.join(rows.select("split_id", "basket_id", "item"), ["split_id", "basket_id"]).where(F.col("item") > F.element_at("items", -1))
-        longer = longer.select("split_id", "basket_id", "weight", F.concat("items", F.array("item")).alias("items"))
-        held = longer.join(candidates(level, k), ["split_id", "items"], "left_semi")
+        levels.append(materialized(keep_frequent(counts, totals, min_support), "level"))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def itemsets_of_splits(lines: DataFrame, splits: DataFrame, ids: list[int], min_support: float, max_len: int = 3) -> DataFrame:
+    """``frequent_itemsets`` of many samples (basket_id, split_id[, weight]) of the same baskets from one pass.
+
+    A basket is read and taken apart once, with a vector that tells how often each split of ``ids`` holds it; every
+    itemset sums these vectors.  Items and sets are dropped where they are infrequent in all splits.  Wide baskets are
+    mined by bitmaps, split by split.
+    """
+    check_fraction("min_support", min_support)
+    drawn = splits.select("basket_id", F.col("split_id").cast("long").alias("split_id"), (F.col("weight") if "weight" in splits.columns else F.lit(1)).cast("long").alias("weight"))
+    weights = F.array(*(F.sum(F.when(F.col("split_id") == i, F.col("weight")).otherwise(F.lit(0))).cast("long") for i in ids))
+    vectors = drawn.groupBy("basket_id").agg(weights.alias("weights"))
+    held = materialized(baskets(lines).join(vectors, "basket_id"), "dealt-baskets")
+    each = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("split_id"), F.col(f"c{at}").alias("cnt")) for at, i in enumerate(ids)))).alias("x")
+    sums = [F.sum(F.element_at("weights", at + 1)).cast("long").alias(f"c{at}") for at in range(len(ids))]
+    totals = held.agg(*sums).select(each).select("x.split_id", F.col("x.cnt").alias("n")).where("n > 0")
+
+    def counted(sets: DataFrame) -> DataFrame:
+        return sets.groupBy("items").agg(*sums).select("items", each).select("x.split_id", "items", "x.cnt").where("cnt > 0")
+
+    first = keep_frequent(counted(held.select("weights", F.explode("items").alias("item")).select("weights", F.array("item").alias("items"))), totals, min_support)
+    first = materialized(first, "level")
+    if max_len == 1:
+        return first
+    some = first.select(F.element_at("items", 1).alias("item")).distinct()
+    kept = held.select("basket_id", "weights", F.explode("items").alias("item")).join(some, "item", "left_semi")
+    kept = materialized(kept.groupBy("basket_id").agg(F.first("weights").alias("weights"), F.array_sort(F.collect_list("item")).alias("items")), "kept-baskets")
+    if has_wide(kept, max_len):
+        by_split = kept.select("basket_id", "items", F.posexplode("weights").alias("at", "weight")).where("weight > 0")
+        named = by_split.withColumn("split_id", F.element_at(F.array(*(F.lit(i).cast("long") for i in ids)), F.col("at") + 1)).select("split_id", "basket_id", "weight", "items")
+        return by_bitmaps(named, first, totals, min_support, max_len)
+    sets = F.concat(*(combinations(F.col("items"), k) for k in range(2, max_len + 1)))
+    return first.unionByName(keep_frequent(counted(kept.select("weights", F.explode(sets).alias("items"))), totals, min_support))
 
 
 def frequent_itemsets_fpgrowth(lines: DataFrame, min_support: float = 0.02, max_len: int | None = 3) -> DataFrame:

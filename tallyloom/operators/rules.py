@@ -33,15 +33,19 @@ def rules(itemsets: DataFrame, min_confidence: float = 0.30, min_lift: float = 1
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """Adds each rule's rank within its split, without bringing all rules of a split to one task.
+    """Adds each rule's rank within its split; rules of about the same lift are a bucket."""
+    return placed(found.withColumn("bucket", F.floor(F.log("lift") * LIFT_BUCKETS)), ["split_id"], in_order(), "rank")
 
-    Rules of about the same lift, a bucket, are ordered together; buckets only exchange their counts.
+
+def placed(rows: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
+    """Numbers rows from 1 in ``order``, without bringing all of them to one task.
+
+    Rows of a ``bucket``, which falls along the order, are ordered together; buckets only exchange their counts.
     """
-    rows = found.withColumn("bucket", F.floor(F.log("lift") * LIFT_BUCKETS))
-    before = Window.partitionBy("split_id").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("split_id", "bucket").agg(F.count("*").alias("c")).withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
-    within = F.row_number().over(Window.partitionBy("split_id", "bucket").orderBy(*in_order()))
-    return rows.withColumn("at", within).join(offsets, ["split_id", "bucket"]).withColumn("rank", (F.col("at") + F.col("offset")).cast("long")).drop("at", "offset", "bucket")
+    before = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*by, "bucket").agg(F.count("*").alias("c")).withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    within = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(*order))
+    return rows.withColumn("at", within).join(offsets, [*by, "bucket"]).withColumn(name, (F.col("at") + F.col("offset")).cast("long")).drop("at", "offset", "bucket")
 
 
 def with_closure(itemsets: DataFrame) -> DataFrame:
@@ -75,21 +79,43 @@ def improvements(itemsets: DataFrame, found: DataFrame, tolerance: float = 1e-9)
     return out.withColumn("redundant", F.col("improvement") <= tolerance)
 
 
+def kept_by_improvement(verdicts: DataFrame) -> DataFrame:
+    """place and the columns of rules that aren't redundant: the largest improvement first, then by labels."""
+    kept = verdicts.where(~F.col("redundant")).withColumn("bucket", F.floor(F.col("improvement") * LIFT_BUCKETS))
+    return placed(kept, [], [F.desc("improvement"), label("antecedent"), label("consequent")], "place")
+
+
 def redundancy_summary(itemsets: DataFrame, verdicts: DataFrame) -> DataFrame:
     flags = with_closure(itemsets).agg(F.count("*").alias("n_itemsets"), F.count_if("closed").alias("n_closed"), F.count_if("maximal").alias("n_maximal"))
     return flags.join(verdicts.agg(F.count("*").alias("n_rules"), F.count_if("redundant").alias("n_redundant"), F.count_if(~F.col("redundant")).alias("n_kept")))
 
 
+#: An item that more than one in this many of the queries' items is meets its rules in as many parts as ``SALTS``.
+HEAVY, SALTS = 256, 16
+
+
+def rarest_items(found: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rules with ``key``: of the antecedent's items the one that the fewest queries hold; rules with an item that none holds go."""
+    parts = found.withColumn("key", F.explode("antecedent")).join(seen, "key")
+    best = parts.groupBy(*found.columns).agg(F.min(F.struct("seen", "key")).alias("best"), F.count("*").alias("met"))
+    return best.where(F.col("met") == F.size("antecedent")).select(*found.columns, F.col("best.key").alias("key"))
+
+
 def applicable(queries: DataFrame, found: DataFrame, include_thin: bool = False) -> DataFrame:
     """(basket_id, query, rule columns): rules whose antecedent the query holds and whose consequent it doesn't touch.
 
-    A rule meets queries by the first item of its antecedent, of whatever size that is, so queries aren't taken apart
-    into subsets.
+    A rule of any size meets queries by the rarest item of its antecedent, so a frequent item is a rule's key only if
+    all its items are frequent, and queries aren't taken apart into subsets.  Frequent items, of which there are at most
+    ``HEAVY``, are salted: their queries are dealt over parts, and their rules go to each of them.
     """
-    kept = (found if include_thin else found.where(~F.col("thin_support"))).withColumn("first_item", F.element_at("antecedent", 1))
-    asked = queries.select("basket_id", "query", F.explode(F.array_distinct("query")).alias("first_item"))
+    kept = found if include_thin else found.where(~F.col("thin_support"))
+    asked = queries.select("basket_id", "query", F.explode(F.array_distinct("query")).alias("key"))
+    seen = asked.groupBy("key").agg(F.count("*").alias("seen"))
+    often = F.broadcast(seen.join(seen.agg(F.sum("seen").alias("all"))).where(F.col("seen") * HEAVY > F.col("all")).select("key", F.lit(SALTS).alias("salts")))
+    dealt = asked.join(often, "key", "left").withColumn("salt", F.pmod(F.xxhash64("basket_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    keyed = rarest_items(kept, seen).join(often, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     holds = F.size(F.array_except("antecedent", "query")) == 0
-    return asked.join(kept, "first_item").where(holds & ~F.arrays_overlap("consequent", "query")).drop("first_item")
+    return dealt.join(keyed, ["key", "salt"]).where(holds & ~F.arrays_overlap("consequent", "query")).drop("key", "salt")
 
 
 def ranked_items(matched: DataFrame, top_k: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import share
 from ..sources.lines import uniform
+from ..sources.shared import materialized
 
 
 def spend(lines: DataFrame) -> DataFrame:
@@ -114,13 +115,12 @@ def kmeans(points: DataFrame, k: int, seed: int = 0, n_init: int = 8, max_iter:
     return min(made, key=lambda m: m[1])
 
 
-def segment_customers(lines: DataFrame, items: list[str], k: int = 3, seed: int = 0, top_n: int = 3, n_init: int = 8, max_iter: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(assignments, profiles, centroids); segments are numbered by size."""
-    points = features(lines, items)
-    held = points.persist()
-    centres, _ = kmeans(held, k, seed, n_init, max_iter)
-    held.unpersist()
-    rows = assign(points, centres)
+def segment_customers(lines: DataFrame, items: list[str], k: int = 3, seed: int = 0, top_n: int = 3, n_init: int = 8, max_iter: int = 200, centres: list[list[float]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(assignments, profiles, centroids); segments are numbered by size.  ``centres``, if given, are taken as they are."""
+    points = materialized(features(lines, items), "points")
+    if centres is None:
+        centres, _ = kmeans(points, k, seed, n_init, max_iter)
+    rows = materialized(assign(points, centres).select("customer_id", "cluster"), "assigned")
     order = Window.orderBy(F.desc("n"), "cluster")
     names = rows.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("segment", (F.row_number().over(order) - 1).cast("int"))
     assignments = rows.join(names, "cluster").select("customer_id", "segment")

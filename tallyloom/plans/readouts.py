@@ -1,7 +1,7 @@
 """Read-outs of a whole analysis: every table by name, narratives, small charts, and how they are written.
 
 Tables stay DataFrames up to Spark's writers, so their rows never pass through the driver.  Charts draw the head of a
-table, of at most ``Plan.top_n`` rows, or the items' graph, whose size doesn't grow with the baskets.
+table, of at most ``Plan.top_n`` rows, or the heaviest ``LINKS`` edges of each of the ``Plan.top_n`` strongest items.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from ..functions import label, share
 from ..operators import backtest, graph, mine, rules, segment, splits
 
 
+#: Edges of an item that the network chart draws: its heaviest ones.
+LINKS = 5
+
+
 @dataclass(frozen=True)
 class Plan:
     """What an analysis is run with."""
@@ -109,9 +113,8 @@ def evaluation_narrative(metrics: DataFrame, ks: tuple[int, ...]) -> DataFrame:
 
 def network_narrative(links: DataFrame, membership: DataFrame) -> DataFrame:
     kinds = graph.classified(links, membership).agg(F.count("*").alias("e"), F.count_if(F.col("kind") == "bridge").alias("b"))
-    sizes = membership.groupBy("community_id").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("c"), F.count_if(F.col("n") == 1).alias("i"))
-    text = F.format_string("%d pairs of items attract each other. They make %d communities with %d bridges between; %d items stand alone.", "e", "c", "b", "i")
-    return kinds.join(sizes).select(F.lit("network").alias("topic"), text.alias("text"))
+    text = F.format_string("%d pairs of items attract each other. They make %d communities with %d bridges between; %d items stand alone.", "e", "n_communities", "b", "n_isolated")
+    return kinds.join(graph.grouping(membership)).select(F.lit("network").alias("topic"), text.alias("text"))
 
 
 def tables(lines: DataFrame, plan: Plan = Plan(), held: list[DataFrame] | None = None) -> dict[str, DataFrame]:
@@ -194,8 +197,9 @@ def charts(found: dict[str, DataFrame], plan: Plan = Plan()) -> dict[str, str]:
     """Small drawings of the heads of tables."""
     head = lambda name, n=plan.top_n: in_order(name, found[name]).limit(n).collect()
     rule = lambda r: f"{r['antecedent']} -> {r['consequent']}"
-    ends = {(r[f"item_{s}"], r[f"community_{s}"]) for r in found["edges"].select("item_a", "item_b", "community_a", "community_b").collect() for s in "ab"}
-    links = [(r["item_a"], r["item_b"], r["weight"], r["kind"] == "bridge") for r in in_order("edges", found["edges"]).collect()]
+    drawn = graph.backbone(found["edges"], plan.top_n, LINKS).orderBy("item_a", "item_b").collect()
+    ends = {(r[f"item_{s}"], r[f"community_{s}"]) for r in drawn for s in "ab"}
+    links = [(r["item_a"], r["item_b"], r["weight"], r["kind"] == "bridge") for r in drawn]
     return {
         "redundancy": bar_chart("Gain in confidence over the best simpler rule", [(rule(r), r["improvement"], r["verdict"] == "kept") for r in head("redundancy")]),
         "stability": bar_chart("Share of splits that show the rule", [(rule(r), r["stability_score"], r["stable"]) for r in head("stability")]),

@@ -1,10 +1,11 @@
 """Values derived by hand on small baskets."""
 
+import itertools
 import math
 
 import pytest
 
-from tallyloom.operators import backtest, graph, mine, rules, splits
+from tallyloom.operators import backtest, graph, mine, rules, splits, vertical
 from tallyloom.sources import baskets_from_lists, planted_pairs, synthetic_lines
 
 EIGHT = ["pq", "pq", "pqr", "p", "q", "pq", "r", "pr"]
@@ -97,7 +98,8 @@ def test_wide_baskets_and_large_antecedents(spark):
     wide = ["".join(chr(97 + i) for i in range(26))] * 3 + ["abc", "ab", "xyz", "a"]
     lines = baskets_from_lists(spark, wide + [[f"n{i}" for i in range(300)]])
     key = lambda found: {tuple(r["items"]): r["cnt"] for r in found.collect()}
-    assert key(mine.frequent_itemsets(lines, 0.3)) == key(mine.frequent_itemsets(lines, 0.3, 3, "explode")) == key(mine.frequent_itemsets(lines, 0.3, 3, "join"))
+    want = key(mine.frequent_itemsets(lines, 0.3, 3, "explode"))
+    assert key(mine.frequent_itemsets(lines, 0.3)) == key(mine.frequent_itemsets(lines, 0.3, 3, "vertical")) == key(mine.frequent_itemsets(lines, 0.3, 3, "join")) == want
     schema = "rank long, antecedent array<string>, consequent array<string>, lift double, confidence double, thin_support boolean"
     made = spark.createDataFrame([(1, ["a", "b", "c", "d"], ["e"], 9.0, 0.9, False), (2, ["b", "c"], ["d"], 2.0, 0.6, False)], schema)
     asked = spark.createDataFrame([(1, list("abcd")), (2, list("abc")), (3, list("abcde"))], "basket_id long, query array<string>")
@@ -132,3 +134,125 @@ def test_planted_bundles_are_found(spark):
     lifted = {(r["item_a"], r["item_b"]) for r in graph.edges(sets, 1.4).collect()}
     assert {(r["item_a"], r["item_b"]) for r in planted_pairs(spark).collect()} <= lifted
     assert synthetic_lines(spark, 50, 10, 3).exceptAll(synthetic_lines(spark, 50, 10, 3)).count() == 0
+
+
+def test_baskets_of_three_hundred_items_at_five_levels(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    often, rare = [f"k{i}" for i in range(7)], [f"r{i:04}" for i in range(3000)]
+    baskets = [sorted({*(k for k in often if rng.random() < 0.9), *rng.sample(rare, 294)}) for _ in range(24)] + [["k0", "k1"], ["k2"]]
+    lines = baskets_from_lists(spark, baskets)
+    want = {}
+    for k in range(1, 6):
+        for c in itertools.combinations(often, k):
+            n = sum(set(c) <= set(b) for b in baskets)
+            want |= {c: n} if n >= 12 else {}
+    counts = lambda found: {tuple(r["items"]): r["cnt"] for r in found.collect()}
+    found = mine.frequent_itemsets(lines, 12 / 26, 5)
+    assert counts(found) == want and max(map(len, want)) == 5
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+    assert scans(found) <= 5 and scans(mine.frequent_itemsets(lines, 12 / 26, 5, "join")) <= 5
+    monkeypatch.setattr(vertical, "BLOCK_LINES", 900)
+    monkeypatch.setattr(vertical, "STEP", 500)
+    monkeypatch.setattr(vertical, "SENT", 3)
+    monkeypatch.setattr(vertical, "CHUNK", 4)
+    assert counts(mine.frequent_itemsets(lines, 12 / 26, 5, "vertical")) == want
+
+
+def test_blocks_count_weights_whether_packed_or_listed():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    for n, share in ((40, 0.5), (400, 0.02), (300, 0.2)):
+        baskets = {b: (rng.randrange(1, 6), [i for i in range(30) if rng.random() < share * (1 + i / 15)]) for b in range(n)}
+        rows = [(0, 0, b, f"i{i:02}", w) for b, (w, items) in baskets.items() for i in items]
+        rng.shuffle(rows)
+        table = pa.table(dict(zip(["split_id", "block", "basket_id", "item", "weight"], map(list, zip(*rows)))))
+        block = vertical.Block(next(vertical.rows_of([vertical.pack(table)])))
+        held = {b: {f"i{i:02}" for i in items} for b, (_, items) in baskets.items()}
+        sets = np.array(list(itertools.combinations(range(len(block.names)), 3)))
+        weight = lambda names: sum(baskets[b][0] for b, h in held.items() if names <= h)
+        assert block.counts(sets).tolist() == [weight(set(block.names[s])) for s in sets]
+        pairs = [(tuple(block.names[s]), int(c)) for some, counts in block.pairs() for s, c in zip(some, counts) if c]
+        assert sorted(pairs) == sorted((p, c) for p in itertools.combinations(block.names, 2) if (c := weight(set(p))))
+
+
+def test_early_merges_change_nothing(spark, monkeypatch):
+    import random
+
+    for seed in range(1):
+        rng = random.Random(seed)
+        names = [f"i{k:02}" for k in range(40)]
+        links = [(names[2 * i], names[2 * i + 1], 3.0 + rng.random()) for i in range(12)]
+        links += [(a, b, rng.choice([0.05, 0.1, 0.3, 1.0])) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.06 and (a, b) not in {x[:2] for x in links}]
+        want = graph.greedy_communities([*names, "lone"], links)
+        frame = spark.createDataFrame(links, "item_a string, item_b string, weight double")
+        sets = spark.createDataFrame([([n], 1) for n in [*names, "lone"]], "items array<string>, size int")
+        nodes = sets.selectExpr("items[0] AS item")
+        members, _, pairs = graph.contracted(nodes, frame, sum(w for *_, w in links))
+        heads = {r["item"]: r["head"] for r in members.collect()}
+        assert sum(k != v for k, v in heads.items()) >= 3 and pairs.count() < len(links)
+        monkeypatch.setattr(graph, "ONE_TASK", 0)
+        got = {r["item"]: r["community_id"] for r in graph.communities(sets, frame).collect()}
+        assert got == {x: i for i, c in enumerate(want) for x in c}
+
+
+def test_isolated_items_and_the_backbone(spark):
+    members = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 2), ("e", 0)], "item string, community_id int")
+    assert tuple(graph.grouping(members).first()) == (1, 3, 2) and {r[0] for r in graph.isolated(members).collect()} == {"c", "d"}
+    star = spark.createDataFrame([("a", f"b{i}", 1.0 + i) for i in range(9)] + [("b7", "b8", 0.5)], "item_a string, item_b string, weight double")
+    assert {(r["item_a"], r["item_b"]) for r in graph.backbone(star, 4, 1).collect()} == {("a", "b8"), ("a", "b7"), ("a", "b6")}
+    assert graph.backbone(star, 10, 2).count() <= 20 and graph.backbone(star, 0, 2).count() == 0
+
+
+def test_positions_of_text_ids_and_of_sparse_numbers(spark):
+    for ids, kind in (([f"x{i}" for i in range(300)], "string"), ([(i * 7919 - 3) * 10**12 for i in range(300)], "long")):
+        rows = spark.createDataFrame([(b, "a") for b in ids] + [(None, "a")], f"basket_id {kind}, item string")
+        got = [r["basket_id"] for r in splits.positions(rows).orderBy("pos").collect()]
+        assert got == sorted(ids) and {r["pos"] for r in splits.positions(rows).collect()} == set(range(300))
+
+
+def test_splits_are_counted_together_as_one_by_one(spark):
+    lines = synthetic_lines(spark, 400, 40, 3).select("basket_id", "item")
+    dealt = splits.bootstrap(lines, 3, 1)
+    key = lambda found: {(r["split_id"], tuple(r["items"])): (r["cnt"], r["n"]) for r in found.collect()}
+    apart = mine.frequent_itemsets(lines.join(dealt, "basket_id"), 0.03)
+    assert key(mine.itemsets_of_splits(lines, dealt, [0, 1, 2], 0.03)) == key(apart)
+    saved, mine.NARROW = mine.NARROW, 3
+    try:
+        assert key(mine.itemsets_of_splits(lines, dealt, [0, 1, 2], 0.03)) == key(apart)
+    finally:
+        mine.NARROW = saved
+    given = lines.selectExpr("basket_id", "basket_id % 2 * 5 AS split_id").distinct()
+    reference = rules.rules(mine.frequent_itemsets(lines, 0.03), 0.1, 1.0)
+    rows = lambda found: sorted(map(str, found.collect()))
+    args = (0.03, 0.1, 1.0)
+    assert rows(splits.rule_stability(lines, None, *args, splits=given)) == rows(splits.rule_stability(lines, reference, *args, splits=given))
+    with pytest.raises(ValueError):
+        splits.rule_stability(lines, None, *args, splits=given.where("split_id = 0"))
+
+
+def test_rules_meet_queries_by_their_rarest_item_and_frequent_ones_in_parts(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    asked = [(i, sorted({"hot", *rng.sample("abcdef", rng.randrange(4))})) for i in range(60)] + [(99, [])]
+    made = [(r, sorted(a), [c], 2.0, 0.5, False) for r, (a, c) in enumerate([("a", "b"), (("hot", "a"), "c"), (("hot",), "d"), (("hot", "e", "f"), "a"), (("absent", "hot"), "a")])]
+    frame = spark.createDataFrame(made, "rank long, antecedent array<string>, consequent array<string>, lift double, confidence double, thin_support boolean")
+    queries = spark.createDataFrame(asked, "basket_id long, query array<string>")
+    want = {(b, r) for b, q in asked for r, a, c, *_ in made if set(a) <= set(q) and not set(c) & set(q)}
+    for heavy in (256, 1):
+        monkeypatch.setattr(rules, "HEAVY", heavy)
+        assert sorted((r["basket_id"], r["rank"]) for r in rules.applicable(queries, frame).collect()) == sorted(want)
+    seen = queries.selectExpr("explode(query) AS key").groupBy("key").count().withColumnRenamed("count", "seen")
+    assert {r["rank"]: r["key"] for r in rules.rarest_items(frame, seen).collect()}[1] == "a" and rules.rarest_items(frame, seen).where("rank = 4").count() == 0
+
+
+def test_rules_kept_by_improvement(spark):
+    rows = [(["a"], ["b"], 0.2, False), (["c"], ["b"], 0.5, False), (["b"], ["a"], 0.2, False), (["d"], ["a"], 0.0, True)]
+    got = rules.kept_by_improvement(spark.createDataFrame(rows, "antecedent array<string>, consequent array<string>, improvement double, redundant boolean"))
+    assert [r["antecedent"][0] for r in got.orderBy("place").collect()] == ["c", "a", "b"]
