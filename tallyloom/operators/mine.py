@@ -27,6 +27,14 @@ def with_split(lines: DataFrame) -> DataFrame:
     return kept.select(split.cast("long").alias("split_id"), "basket_id", "item", weight.cast("long").alias("weight")).distinct()
 
 
+def split_baskets(lines: DataFrame) -> DataFrame:
+    """split_id, basket_id, weight, items: each split's baskets with their distinct items, sorted; one shuffle."""
+    split = F.col("split_id") if "split_id" in lines.columns else F.lit(0)
+    weight = F.col("weight") if "weight" in lines.columns else F.lit(1)
+    kept = lines.where(F.col("basket_id").isNotNull() & F.col("item").isNotNull()).select(split.cast("long").alias("split_id"), "basket_id", weight.cast("long").alias("weight"), "item")
+    return kept.groupBy("split_id", "basket_id").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_set("item")).alias("items"))
+
+
 def baskets(lines: DataFrame) -> DataFrame:
     """basket_id, items: each basket's distinct items, sorted."""
     return lines.where(F.col("basket_id").isNotNull() & F.col("item").isNotNull()).groupBy("basket_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -55,7 +63,7 @@ def n_combinations(n: Column, max_len: int) -> Column:
 
 
 def has_wide(held: DataFrame, max_len: int) -> bool:
-    """Whether a basket of the table ``held`` has more combinations than are made at once."""
+    """Whether a basket has more combinations than are made at once."""
     return bool(held.where(n_combinations(F.size("items"), max_len) > NARROW).limit(1).count())
 
 
@@ -72,21 +80,35 @@ def frequent_itemsets(lines: DataFrame, min_support: float = 0.02, max_len: int
         raise ValueError("max_len must be at least 1")
     if method not in ("auto", "explode", "vertical", "join"):
         raise ValueError(f"unknown method {method}")
-    rows = materialized(with_split(lines), "lines")
-    totals = basket_totals(rows)
-    frequent = keep_frequent(rows.groupBy("split_id", F.array("item").alias("items")).agg(F.sum("weight").cast("long").alias("cnt")), totals, min_support)
+    every = materialized(split_baskets(lines), "baskets")
+    totals = every.groupBy("split_id").agg(F.sum("weight").cast("long").alias("n"))
+    singles = every.select("split_id", "weight", F.explode("items").alias("item")).groupBy("split_id", "item").agg(F.sum("weight").cast("long").alias("cnt"))
+    frequent = materialized(keep_frequent(singles.select("split_id", F.array("item").alias("items"), "cnt"), totals, min_support), "level")
     if max_len == 1:
         return frequent
-    rows = rows.join(frequent.select("split_id", F.element_at("items", 1).alias("item")), ["split_id", "item"], "left_semi")
+    held = only_frequent(every, frequent)
     if method == "join":
+        rows = held.select("split_id", "basket_id", "weight", F.explode("items").alias("item"))
         return grow(materialized(rows, "frequent-lines"), totals, min_support, max_len)
-    held = rows.groupBy("split_id", "basket_id").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_set("item")).alias("items"))
     if method == "auto":
-        held = materialized(held, "baskets")
         method = "vertical" if has_wide(held, max_len) else "explode"
     if method == "explode":
         return keep_frequent(all_sets(held, max_len), totals, min_support)
-    return by_bitmaps(held, materialized(frequent, "level"), totals, min_support, max_len)
+    return by_bitmaps(held, frequent, totals, min_support, max_len)
+
+
+#: Frequent items that go along with every basket to be looked up there; more are met by a join.
+LOOKED_UP = 500
+
+
+def only_frequent(every: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Baskets with only their frequent items, of those that have any."""
+    known = frequent.select("split_id", F.element_at("items", 1).alias("item"))
+    if known.limit(LOOKED_UP + 1).count() <= LOOKED_UP:
+        lists = F.broadcast(known.groupBy("split_id").agg(F.collect_list("item").alias("known")))
+        return every.join(lists, "split_id").select("split_id", "basket_id", "weight", F.array_intersect("items", "known").alias("items")).where(F.size("items") > 0)
+    rows = every.select("split_id", "basket_id", "weight", F.explode("items").alias("item")).join(known, ["split_id", "item"], "left_semi")
+    return materialized(rows.groupBy("split_id", "basket_id").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list("item")).alias("items")), "frequent-baskets")
 
 
 def by_bitmaps(held: DataFrame, first: DataFrame, totals: DataFrame, min_support: float, max_len: int) -> DataFrame:
@@ -166,9 +188,8 @@ def itemsets_of_splits(lines: DataFrame, splits: DataFrame, ids: list[int], min_
     first = materialized(first, "level")
     if max_len == 1:
         return first
-    some = first.select(F.element_at("items", 1).alias("item")).distinct()
-    kept = held.select("basket_id", "weights", F.explode("items").alias("item")).join(some, "item", "left_semi")
-    kept = materialized(kept.groupBy("basket_id").agg(F.first("weights").alias("weights"), F.array_sort(F.collect_list("item")).alias("items")), "kept-baskets")
+    some = first.select(F.lit(0).cast("long").alias("split_id"), "items").distinct()
+    kept = only_frequent(held.select(F.lit(0).cast("long").alias("split_id"), "basket_id", F.col("weights").alias("weight"), "items"), some).withColumnRenamed("weight", "weights").drop("split_id")
     if has_wide(kept, max_len):
         by_split = kept.select("basket_id", "items", F.posexplode("weights").alias("at", "weight")).where("weight > 0")
         named = by_split.withColumn("split_id", F.element_at(F.array(*(F.lit(i).cast("long") for i in ids)), F.col("at") + 1)).select("split_id", "basket_id", "weight", "items")

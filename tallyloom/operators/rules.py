@@ -122,7 +122,8 @@ def ranked_items(matched: DataFrame, top_k: int = 5) -> DataFrame:
     """basket_id, item, rank: consequents' items in rule order, each once."""
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
-    items = matched.select("basket_id", "rank", F.posexplode(F.array_sort("consequent")).alias("pos", "item"))
+    # dealt by basket once, for the items and for their places
+    items = matched.select("basket_id", "rank", F.posexplode(F.array_sort("consequent")).alias("pos", "item")).repartition("basket_id")
     first = items.groupBy("basket_id", "item").agg(F.min(F.struct("rank", "pos")).alias("first"))
     place = F.row_number().over(Window.partitionBy("basket_id").orderBy("first"))
     return first.withColumn("place", place).where(F.col("place") <= top_k).select("basket_id", "item", F.col("place").cast("long").alias("place"))
