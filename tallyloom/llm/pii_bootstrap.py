@@ -1,7 +1,9 @@
 """Personal data: base patterns, and unseen identifiers by bootstrapped contexts.
 
 What the base patterns find are seeds, each span as one instance.  Other instances are identifier-like tokens (with a
-digit) that no base span touches.  A lexical pattern is a window of words around an instance, whatever its shape: two
+digit) that no base span touches.  Of these, tokens that touch a number which a base rule turned down, such as one of
+16 digits that fails its check digit, are known not to be identifiers: their score is held at 0, so they count against
+the contexts they stand in, and they are never found.  A lexical pattern is a window of words around an instance, whatever its shape: two
 before, one before, one on either side, or two after.  Patterns and tokens form a graph; a pattern's confidence is the
 mean score of its tokens, a token's score that no confident pattern is wrong about it, with seeds held at 1.  A few
 rounds of joins and aggregations spread scores; in each, a pattern is supported by the tokens accepted so far.  Tokens
@@ -9,7 +11,10 @@ that confident patterns reach become new spans of kind ``id``.
 Everything is DataFrame functions over one reading of the texts; afterwards only matches move.
 
 Defined cases: null text is empty and has no spans; repeated rows give repeated rows; an empty table gives an empty
-result; without seeds nothing is discovered.
+result; without seeds nothing is discovered; a token that a base rule turned down anywhere is found nowhere; texts of
+any length are read whole, a context up to ``SIDE`` characters from its token; of overlapping spans redaction takes the
+first, and of those with one start the one that ends first; columns that are kept keep their names, and rows are told
+apart by a number that is written with the matches.
 """
 
 from __future__ import annotations
@@ -84,36 +89,37 @@ def read_hits(docs: DataFrame, *keep: str) -> DataFrame:
     return written(texts_of(docs, "doc_id", "text", *(k for k in keep if k != "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", *keep, *tried), "pii-hits")
 
 
-def instances(found: DataFrame, base: DataFrame) -> DataFrame:
-    """(row, start, end, token, patterns, seed): base spans, which are seeds, and identifier-like tokens that none touches."""
+def instances(found: DataFrame, tried: DataFrame) -> DataFrame:
+    """(row, start, end, token, patterns, seed, rejected): base spans, which are seeds, and identifier-like tokens that
+    none touches; rejected are those that touch what a base rule turned down."""
     tokens = placed(found.select("row", "token"), "row", ["token"], "before", "after")
     core = F.regexp_replace(F.col("match"), r"^[^\p{L}0-9+]+|[^\p{L}0-9]+$", "")
     lead = F.length(F.regexp_extract("match", r"^[^\p{L}0-9+]+", 0))
     tokens = tokens.select("row", (F.col("start") + lead).alias("start"), core.alias("token"), "before", "after")
     tokens = tokens.withColumn("end", F.col("start") + F.length("token"))
-    spans = base.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    covered = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    tokens = tokens.join(spans, "row", "left").where(~F.coalesce(covered, F.lit(False))).withColumn("seed", F.lit(False))
-    seeds = base.withColumnRenamed("match", "token").withColumn("seed", F.lit(True))
+    spans = tried.groupBy("row").agg(F.collect_list(F.struct("start", "end", "good")).alias("spans"))
+    touched = lambda good: F.coalesce(F.exists("spans", lambda s: (s["good"] == good) & (s["start"] < F.col("end")) & (s["end"] > F.col("start"))), F.lit(False))
+    tokens = tokens.join(spans, "row", "left").where(~touched(True)).withColumn("seed", F.lit(False)).withColumn("rejected", touched(False))
+    seeds = tried.where("good").withColumnRenamed("match", "token").withColumn("seed", F.lit(True)).withColumn("rejected", F.lit(False))
     before, after = F.array_join("before", " "), F.array_join("after", " ")
     near, next_ = F.try_element_at("before", F.lit(-1)), F.try_element_at("after", F.lit(1))
     patterns = F.filter(F.array(F.concat(before, F.lit(" _")), F.concat(near, F.lit(" _")), F.concat(near, F.lit(" _ "), next_), F.concat(F.lit("_ "), after)), lambda p: p.isNotNull())
-    columns = ["row", "start", "end", "token", "before", "after", "seed"]
-    return tokens.select(columns).unionByName(seeds.select(columns)).select("row", "start", "end", "token", F.array_distinct(patterns).alias("patterns"), "seed")
+    columns = ["row", "start", "end", "token", "before", "after", "seed", "rejected"]
+    return tokens.select(columns).unionByName(seeds.select(columns)).select("row", "start", "end", "token", F.array_distinct(patterns).alias("patterns"), "seed", "rejected")
 
 
-def discover(found: DataFrame, base: DataFrame, rounds: int = 3, min_confidence: float = 0.8, min_seeds: int = 5) -> DataFrame:
+def discover(found: DataFrame, tried: DataFrame, rounds: int = 3, min_confidence: float = 0.8, min_seeds: int = 5) -> DataFrame:
     """(row, start, end) of tokens that confident patterns reach and no base span touches."""
-    tokens = written(instances(found, base), "pii-tokens")
-    edges = written(tokens.select(F.explode("patterns").alias("pattern"), "token", "seed").groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "pii-edges")
-    seeds = edges.groupBy("token").agg(F.max("seed").cast("double").alias("seed"))
-    scores, confident = seeds.withColumnRenamed("seed", "score"), None
+    tokens = written(instances(found, tried), "pii-tokens")
+    edges = written(tokens.select(F.explode("patterns").alias("pattern"), "token", "seed", "rejected").groupBy("pattern", "token").agg(F.max("seed").alias("seed"), F.max("rejected").alias("rejected")), "pii-edges")
+    seeds = edges.groupBy("token").agg(F.max("seed").cast("double").alias("seed"), F.max("rejected").alias("rejected"))
+    scores, confident = seeds.select("token", F.col("seed").alias("score")), None
     for _ in range(rounds):
         supported = edges.join(scores, "token").groupBy("pattern").agg(F.avg("score").alias("confidence"), F.count_if(F.col("score") >= min_confidence).alias("accepted"))
         confident = written(supported.where((F.col("accepted") >= min_seeds) & (F.col("confidence") >= min_confidence)).select("pattern", "confidence"), "pii-patterns")
         reached = edges.join(confident, "pattern").groupBy("token").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("reach"))
-        scores = written(seeds.join(reached, "token", "left").select("token", F.greatest("seed", F.coalesce("reach", F.lit(0.0))).alias("score")), "pii-scores")
-    good = tokens.where(~F.col("seed")).select("row", "start", "end", "token", F.explode("patterns").alias("pattern"))
+        scores = written(seeds.join(reached, "token", "left").select("token", F.greatest("seed", F.when(F.col("rejected"), 0.0).otherwise(F.coalesce("reach", F.lit(0.0)))).alias("score")), "pii-scores")
+    good = tokens.where(~F.col("seed") & ~F.col("rejected")).select("row", "start", "end", "token", F.explode("patterns").alias("pattern"))
     good = good.join(confident, "pattern", "left_semi").join(scores.where(F.col("score") >= min_confidence), "token", "left_semi")
     return good.select("row", "start", "end").distinct()
 
@@ -121,9 +127,10 @@ def discover(found: DataFrame, base: DataFrame, rounds: int = 3, min_confidence:
 def spans_of(docs: DataFrame, *keep: str) -> DataFrame:
     """(row, doc_id, and what is to be kept) with the spans of every row: base ones and those discovered."""
     found = read_hits(docs, *keep)
-    base = placed(found, "row", KINDS, "before", "after").where(valid(F.col("kind"), F.col("match"))).select("row", "kind_no", "kind", "start", "end", "match", "before", "after")
-    base = written(base, "pii-base")
-    added = discover(found, base).select("row", F.lit(len(KINDS)).alias("kind_no"), F.lit("id").alias("kind"), "start", "end")
+    tried = placed(found, "row", KINDS, "before", "after").withColumn("good", valid(F.col("kind"), F.col("match")))
+    tried = written(tried.select("row", "kind_no", "kind", "start", "end", "match", "before", "after", "good"), "pii-base")
+    base = tried.where("good")
+    added = discover(found, tried).select("row", F.lit(len(KINDS)).alias("kind_no"), F.lit("id").alias("kind"), "start", "end")
     spans = base.select(added.columns).unionByName(added).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind_no", "start", "end", "kind"))).alias("spans"))
     none = F.array().cast("array<struct<kind_no:int,start:bigint,end:bigint,kind:string>>")
     return found.select("row", "doc_id", *keep).join(spans.hint("merge"), "row", "left").withColumn("spans", F.coalesce("spans", none))
