@@ -1,21 +1,27 @@
 """Secret scans over all historical versions of files, through a ledger of blobs.
 
-Every version is addressed by the hash of its content.  The ledger lists (blob, rule, version of the rule) that have
-been scanned, with what was found.  A run scans only pairs that the ledger lacks, adds them, and joins findings back
-to every path that ever held the blob.  Everything is DataFrame functions; texts move once, to meet their copies.
+Every version is addressed by the hash of its content.  The ledger is a table, at a path that outlives a run, of (blob,
+rule, version of the rule) that have been scanned, with what was found.  A run compares hashes with it first; only
+texts of blobs that it lacks for some rule move, once, to meet their copies, are scanned for the rules they lack, and
+are appended.  Findings are joined back from the ledger to every path that ever held a blob.  The report takes its
+documents in increments, as a history arrives: later ones scan only what earlier ones haven't.  Everything is DataFrame
+functions.
 
 Defined cases: null text is the empty blob; it and blobs without findings give zero counts and empty span lists;
-repeated rows give repeated rows; an empty table gives an empty result; two runs over the same blobs scan once.
+repeated rows give repeated rows; an empty table gives an empty result; two runs over the same blobs scan once; a rule
+whose pattern changes needs a new version, under which all blobs are scanned again; a run that is lost before it
+appends leaves the ledger as it was; texts of any length are scanned whole; of matches at one start the rule listed
+first comes first; only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts_of, written
+from .common import shared_path, texts_of, written
 from .spans import hits, listed, placed
 
 # The patterns of the three base kinds, and the header of a private key.
@@ -49,14 +55,19 @@ LEDGER = "blob string, rule string, version int, spans array<struct<start:bigint
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, rules: list[Rule]) -> DataFrame:
-    """(blob, text, rules): the content of each blob that some rule's version hasn't scanned, and those rules."""
-    blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
-    names = [f"{r.kind}/{r.version}" for r in rules]
+    """(blob, text, rules): the content of each blob that some rule's version hasn't scanned, and those rules.
+
+    What is to be scanned is settled by hashes alone, before any text moves.
+    """
+    names = F.array(*(F.lit(f"{r.kind}/{r.version}") for r in rules))
+    blobs = lambda rows: rows.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is None:
-        return blobs.withColumn("rules", F.array(*map(F.lit, names)))
+        return blobs(versions).withColumn("rules", names)
     done = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("/", "rule", F.col("version").cast("string"))).alias("done"))
-    todo = F.array_except(F.array(*map(F.lit, names)), F.coalesce("done", F.array().cast("array<string>")))
-    return blobs.join(done, "blob", "left").withColumn("rules", todo).where(F.size("rules") > 0).drop("done")
+    todo = F.array_except(names, F.coalesce("done", F.array().cast("array<string>")))
+    lacking = versions.select("blob").distinct().join(done, "blob", "left").select("blob", todo.alias("rules")).where(F.size("rules") > 0)
+    lacking = written(lacking, "unseen-blobs")
+    return blobs(versions.join(lacking, "blob", "left_semi")).join(lacking, "blob")
 
 
 def scan(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -75,26 +86,55 @@ def scan(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
     return pairs.join(spans.withColumnRenamed("kind", "rule"), ["blob", "rule"], "left").select("blob", "rule", "version", F.coalesce("spans", none).alias("spans"))
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings for each row of ``versions`` (doc_id, text), the ledger with the new scans)."""
-    addressed = texts_of(versions).withColumn("blob", F.sha2("text", 256))
-    fresh = written(scan(unseen(addressed, ledger, rules), rules), "ledger")
-    full = fresh if ledger is None else ledger.unionByName(fresh)
-    current = F.lit(False)
-    for r in rules:
-        current = current | ((F.col("rule") == r.kind) & (F.col("version") == r.version))
-    order = F.lit(0)
+def addressed(versions: DataFrame) -> DataFrame:
+    return texts_of(versions).withColumn("blob", F.sha2("text", 256))
+
+
+def findings(versions: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """(doc_id, blob, found) of each row: the spans that the current rules' versions have in the ledger."""
+    current, order = F.lit(False), F.lit(0)
     for i, r in enumerate(rules):
+        current = current | ((F.col("rule") == r.kind) & (F.col("version") == r.version))
         order = F.when(F.col("rule") == r.kind, i).otherwise(order)
-    found = full.where(current & (F.size("spans") > 0)).select("blob", F.col("rule").alias("kind"), order.alias("kind_no"), F.explode("spans").alias("s"))
+    found = ledger.where(current & (F.size("spans") > 0)).select("blob", F.col("rule").alias("kind"), order.alias("kind_no"), F.explode("spans").alias("s"))
     found = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("s.start", "kind_no", "s.end", "kind"))).alias("found"))
-    return addressed.select("doc_id", "blob").join(found, "blob", "left"), full
+    return addressed(versions).select("doc_id", "blob").join(found, "blob", "left")
+
+
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(findings for each row of ``versions`` (doc_id, text), the ledger with the new scans)."""
+    fresh = written(scan(unseen(addressed(versions), ledger, rules), rules), "ledger")
+    full = fresh if ledger is None else ledger.unionByName(fresh)
+    return findings(versions, full, rules), full
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at a path, or None if there is none yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(LEDGER).parquet(path) if known else None
+
+
+def extend_ledger(versions: DataFrame, path: str, rules: list[Rule] = RULES) -> DataFrame:
+    """Scans what the ledger at ``path`` lacks, appends it there, and returns these new rows."""
+    fresh = written(scan(unseen(addressed(versions), read_ledger(versions.sparkSession, path), rules), rules), "scanned")
+    fresh.write.mode("append").parquet(path)
+    return fresh
+
+
+#: Parts of the history that a report takes one after the other.
+INCREMENTS = 2
 
 
-def secret_report(docs: DataFrame) -> DataFrame:
-    findings, _ = scan_versions(docs)
+def secret_report(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
+    """What the rules find in every document, through the ledger at ``ledger_path``, which is kept for the next run;
+    without a path the ledger is a table of this run."""
+    path = ledger_path or shared_path(docs.sparkSession, "secret-ledger")
+    for i in range(INCREMENTS):
+        extend_ledger(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(INCREMENTS)) == i), path)
+    found = findings(docs, read_ledger(docs.sparkSession, path))
     none = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>")
     spans = F.coalesce("found", none)
     base = F.filter(spans, lambda s: s["kind_no"] < 3)
     count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
-    return findings.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, shared_path
+from ..sources.shared import materialized as written
+
+__all__ = ["batches", "discard", "id_remainder", "shared_path", "slices", "table", "texts_of", "written"]
+
 #: Texts per slice that a Python task works on at once, in characters.
 SLICE_CHARS = 2_000_000
 
@@ -41,41 +45,5 @@ def slices(batch: pa.RecordBatch, column: str = "text", chars: int = SLICE_CHARS
         yield start, values.slice(start).to_pylist()
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share: ``spark.checkpoint.dir``.
-
-    Only a local master, whose driver and executors are one machine, gets a temporary folder where it is unset.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there and lost executors cost nothing before it.
-
-    Rows that differ in ``by``, its last columns, lie in files of their own.  The table stays until ``discard`` or
-    until the shared folder is cleared: results are read from such tables after a query has returned.
-    """
-    path = shared_path(df.sparkSession, name)
-    df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the table that ``written`` made and that ``df`` reads; nothing may read it afterwards."""
-    files = df.inputFiles()
-    if files:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in rows if b.num_rows)
