@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import check_fraction, combinations, min_count
 from ..sources.shared import materialized
-from . import vertical
+from . import growth, vertical
 
 
 def with_split(lines: DataFrame) -> DataFrame:
@@ -72,13 +72,14 @@ def frequent_itemsets(lines: DataFrame, min_support: float = 0.02, max_len: int
 
     ``explode`` makes all combinations of a basket's frequent items at once, with one shuffle; ``vertical`` intersects
     bitmaps of items within ranges of baskets, level by level, and never takes a basket apart; ``join`` grows sets item
-    by item and drops infrequent candidates at every level.  ``auto`` is the first unless a basket has more than
-    ``NARROW`` combinations, and then the second.
+    by item and drops infrequent candidates at every level; ``growth`` grows patterns from conditional bases, in which
+    equal baskets are one row.  ``auto`` is the first unless a basket has more than ``NARROW`` combinations, and then
+    the second.
     """
     check_fraction("min_support", min_support)
     if max_len < 1:
         raise ValueError("max_len must be at least 1")
-    if method not in ("auto", "explode", "vertical", "join"):
+    if method not in ("auto", "explode", "vertical", "join", "growth"):
         raise ValueError(f"unknown method {method}")
     every = materialized(split_baskets(lines), "baskets")
     totals = every.groupBy("split_id").agg(F.sum("weight").cast("long").alias("n"))
@@ -86,6 +87,8 @@ def frequent_itemsets(lines: DataFrame, min_support: float = 0.02, max_len: int
     frequent = materialized(keep_frequent(singles.select("split_id", F.array("item").alias("items"), "cnt"), totals, min_support), "level")
     if max_len == 1:
         return frequent
+    if method == "growth":
+        return by_growth(every, frequent, totals, min_support, max_len)
     held = only_frequent(every, frequent)
     if method == "join":
         rows = held.select("split_id", "basket_id", "weight", F.explode("items").alias("item"))
@@ -128,6 +131,20 @@ def by_bitmaps(held: DataFrame, first: DataFrame, totals: DataFrame, min_support
     return reduce(DataFrame.unionByName, levels)
 
 
+def by_growth(every: DataFrame, first: DataFrame, totals: DataFrame, min_support: float, max_len: int) -> DataFrame:
+    """Levels counted in conditional bases, of all splits together; ``first`` holds the frequent items."""
+    bases, levels = growth.paths(every, first, LOOKED_UP), [first]
+    for k in range(2, max_len + 1):
+        bases = materialized(growth.longer(bases), "bases")
+        level = materialized(keep_frequent(growth.counts(bases), totals, min_support), "level")
+        levels.append(level)
+        if k < max_len:
+            if not level.limit(1).count():
+                break
+            bases = growth.only_known(bases, level)
+    return reduce(DataFrame.unionByName, levels).withColumn("items", F.array_sort("items"))
+
+
 def all_sets(held: DataFrame, max_len: int) -> DataFrame:
     """split_id, items, cnt of all combinations of up to ``max_len`` items of the given baskets."""
     sets = F.concat(*(combinations(F.col("items"), k) for k in range(1, max_len + 1)))

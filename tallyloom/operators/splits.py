@@ -87,14 +87,17 @@ def split_ids(splits: DataFrame) -> list[int]:
     return [r[0] for r in splits.select(F.col("split_id").cast("long").alias("s")).distinct().orderBy("s").collect()]
 
 
-def rules_by_split(lines: DataFrame, splits: DataFrame, min_support: float, min_confidence: float, min_lift: float, max_len: int = 3, ids: list[int] | None = None) -> DataFrame:
-    """Rules of every split, mined in one job: from one pass over baskets, or over a row for each split if there are many."""
+def rules_by_split(lines: DataFrame, splits: DataFrame, min_support: float, min_confidence: float, min_lift: float, max_len: int = 3, ids: list[int] | None = None, method: str = "auto") -> DataFrame:
+    """Rules of every split, mined in one job: from one pass over baskets, or over a row for each split if there are many.
+
+    With another ``method`` it is that of ``frequent_itemsets``, over a row for each split.
+    """
     ids = split_ids(splits) if ids is None else ids
-    if len(ids) <= TOGETHER:
+    if len(ids) <= TOGETHER and method == "auto":
         sets = itemsets_of_splits(lines, splits, ids, min_support, max_len)
     else:
         weight = ["weight"] if "weight" in splits.columns else []
-        sets = frequent_itemsets(lines.select("basket_id", "item").join(splits.select("basket_id", "split_id", *weight), "basket_id"), min_support, max_len)
+        sets = frequent_itemsets(lines.select("basket_id", "item").join(splits.select("basket_id", "split_id", *weight), "basket_id"), min_support, max_len, method)
     return rules(materialized(sets, "itemsets"), min_confidence, min_lift, 0)
 
 

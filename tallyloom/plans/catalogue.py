@@ -43,8 +43,8 @@ def rules_of(spark: SparkSession, sf_dir: str, s: Setting = T1, lines: DataFrame
     return rules_from(held_sets(spark, sf_dir, s, lines), s)
 
 
-def shown_sets(sets: DataFrame) -> DataFrame:
-    return sets.select(label("items").alias("itemset"), F.col("size").cast("long").alias("size"), "cnt", "support")
+def shown_sets(sets: DataFrame, *more: str) -> DataFrame:
+    return sets.select(*more, label("items").alias("itemset"), F.col("size").cast("long").alias("size"), "cnt", "support")
 
 
 def labelled(found: DataFrame, *columns) -> DataFrame:
@@ -81,9 +81,17 @@ def prices_of(spark: SparkSession, sf_dir: str, s: Setting) -> DataFrame:
     return rules.mean_values(lines_of(spark, sf_dir, s))
 
 
-def split_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_rules(spark: SparkSession, sf_dir: str, method: str = "auto") -> DataFrame:
     lines = held_lines(spark, sf_dir)
-    return splits.rules_by_split(lines, splits.time_windows(lines, WINDOWS), T1.min_support, T1.min_confidence, T1.min_lift, ids=list(range(WINDOWS)))
+    found = splits.rules_by_split(lines, splits.time_windows(lines, WINDOWS), T1.min_support, T1.min_confidence, T1.min_lift, ids=list(range(WINDOWS)), method=method)
+    return labelled(found, "split_id", "antecedent", "consequent", "support_count", "confidence", "lift")
+
+
+def fold_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The itemsets of every resample, by pattern growth over all of them together."""
+    lines = held_lines(spark, sf_dir)
+    drawn = lines.join(splits.bootstrap(lines, FOLDS, SEED), "basket_id")
+    return shown_sets(mine.frequent_itemsets(drawn, T1.min_support, method="growth"), "split_id")
 
 
 def stability_of(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
@@ -201,6 +209,7 @@ def queries() -> dict[str, Query]:
     q["frequent_itemsets_all"] = lambda s, d: shown_sets(sets_of(s, d))
     q["frequent_itemsets_join"] = lambda s, d: shown_sets(mine.frequent_itemsets(lines_of(s, d), T1.min_support, 3, "join"))
     q["frequent_itemsets_vertical"] = lambda s, d: shown_sets(mine.frequent_itemsets(lines_of(s, d), T1.min_support, 3, "vertical"))
+    q["frequent_itemsets_growth"] = lambda s, d: shown_sets(mine.frequent_itemsets(lines_of(s, d), T1.min_support, 3, "growth"))
     q["frequent_itemsets_fpgrowth"] = lambda s, d: shown_sets(mine.frequent_itemsets_fpgrowth(lines_of(s, d), T1.min_support))
     q["candidate_triples_pruned"] = lambda s, d: mine.candidates(held_sets(s, d), 3).select(label("items").alias("itemset"))
     q["rules_all"] = lambda s, d: shown_rules(rules_of(s, d, T3))
@@ -224,7 +233,9 @@ def queries() -> dict[str, Query]:
     q["arrival_position_text"] = text_positions
     q["time_windows"] = lambda s, d: splits.time_windows(lines_of(s, d), WINDOWS)
     q["train_test_split"] = lambda s, d: splits.arrival_split(lines_of(s, d), TRAIN)
-    q["split_rules_time_window"] = lambda s, d: labelled(split_rules(s, d), "split_id", "antecedent", "consequent", "support_count", "confidence", "lift")
+    q["split_rules_time_window"] = lambda s, d: split_rules(s, d)
+    q["split_rules_growth"] = lambda s, d: split_rules(s, d, "growth")
+    q["fold_itemsets_growth"] = fold_sets
     q["rule_stability_time_window"] = lambda s, d: shown_stability(stability_of(s, d, "time_window"))
     q["stability_summary"] = lambda s, d: stability_of(s, d, "time_window").agg(F.count("*").alias("n_rules"), F.count_if("stable").alias("n_stable"), F.min("n_present").alias("least_present"))
     q["bootstrap_draws"] = lambda s, d: splits.bootstrap_draws(splits.positions(lines_of(s, d)), FOLDS, SEED).groupBy("split_id", "pos").agg(F.count("*").alias("weight"))

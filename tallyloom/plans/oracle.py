@@ -137,7 +137,7 @@ def oracle_sql() -> dict[str, str]:
     q["popularity_ranking"] = items(T1, "SELECT items[1] AS item, cnt, ROW_NUMBER() OVER (ORDER BY cnt DESC, items[1])::BIGINT AS rank FROM c WHERE size = 1")
     for k in (1, 2, 3):
         q[f"frequent_itemsets_k{k}"] = items(T1, f"{SETS} WHERE size = {k}")
-    q["frequent_itemsets_all"] = q["frequent_itemsets_vertical"] = q["frequent_itemsets_fpgrowth"] = q["frequent_itemsets_join"] = items(T1, SETS)
+    q["frequent_itemsets_all"] = q["frequent_itemsets_vertical"] = q["frequent_itemsets_growth"] = q["frequent_itemsets_fpgrowth"] = q["frequent_itemsets_join"] = items(T1, SETS)
     q["candidate_triples_pruned"] = items(T1, "SELECT x.items[1] || ' + ' || x.items[2] || ' + ' || y.items[2] AS itemset FROM fi x JOIN fi y ON x.size = 2 AND y.size = 2 AND x.items[1] = y.items[1] AND x.items[2] < y.items[2] JOIN fi z ON z.size = 2 AND z.items[1] = x.items[2] AND z.items[2] = y.items[2]")
     q["rules_all"] = rule(T3, RULES)
     q["rules_filtered"] = rule(T1, RULES)
@@ -161,7 +161,8 @@ def oracle_sql() -> dict[str, str]:
     q["arrival_position_text"] = sql(lines(T1), select="SELECT id AS basket_id, ROW_NUMBER() OVER (ORDER BY id) - 1 AS pos FROM (SELECT DISTINCT 'order ' || basket_id AS id FROM lines)")
     q["time_windows"] = sql(lines(T1), WINDOW, select="SELECT basket_id, pos::BIGINT AS pos, split_id FROM win")
     q["train_test_split"] = sql(lines(T1), CUT, select="SELECT basket_id, pos::BIGINT AS pos, is_train FROM cut")
-    q["split_rules_time_window"] = sql(lines(T1), WINDOW, BY_WINDOW, mined(T1), ruled(T1, 0), select="SELECT split_id, antecedent, consequent, cnt AS support_count, confidence, lift FROM r")
+    q["fold_itemsets_growth"] = sql(lines(T1), DRAWS, BY_FOLD, mined(T1), select=SETS.replace("SELECT", "SELECT split_id,", 1))
+    q["split_rules_time_window"] = q["split_rules_growth"] = sql(lines(T1), WINDOW, BY_WINDOW, mined(T1), ruled(T1, 0), select="SELECT split_id, antecedent, consequent, cnt AS support_count, confidence, lift FROM r")
     q["rule_stability_time_window"] = stable([WINDOW, BY_WINDOW], WINDOWS, "SELECT * FROM st")
     q["stability_summary"] = stable([WINDOW, BY_WINDOW], WINDOWS, "SELECT COUNT(*) AS n_rules, COUNT(*) FILTER (stable) AS n_stable, MIN(n_present) AS least_present FROM st")
     q["bootstrap_draws"] = sql(lines(T1), DRAWS, select="SELECT split_id, pos, COUNT(*)::BIGINT AS weight FROM draws GROUP BY ALL")

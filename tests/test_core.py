@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import pytest
 
@@ -82,7 +83,6 @@ def test_communities_of_apart_groups_and_against_a_full_scan(spark):
             _, c, d = min((x for x in gains if x[0] >= top - 1e-12), key=lambda x: x[1:])
             found = sorted([x for x in found if x not in (c, d)] + [tuple(sorted(c + d))])
 
-    import random
 
     rng = random.Random(3)
     names = [f"i{k:02}" for k in range(18)]
@@ -137,7 +137,6 @@ def test_planted_bundles_are_found(spark):
 
 
 def test_baskets_of_three_hundred_items_at_five_levels(spark, monkeypatch):
-    import random
 
     rng = random.Random(5)
     often, rare = [f"k{i}" for i in range(7)], [f"r{i:04}" for i in range(3000)]
@@ -161,7 +160,6 @@ def test_baskets_of_three_hundred_items_at_five_levels(spark, monkeypatch):
 
 
 def test_blocks_count_weights_whether_packed_or_listed():
-    import random
 
     import numpy as np
     import pyarrow as pa
@@ -182,7 +180,6 @@ def test_blocks_count_weights_whether_packed_or_listed():
 
 
 def test_early_merges_change_nothing(spark, monkeypatch):
-    import random
 
     for seed in range(1):
         rng = random.Random(seed)
@@ -237,7 +234,6 @@ def test_splits_are_counted_together_as_one_by_one(spark):
 
 
 def test_rules_meet_queries_by_their_rarest_item_and_frequent_ones_in_parts(spark, monkeypatch):
-    import random
 
     rng = random.Random(2)
     asked = [(i, sorted({"hot", *rng.sample("abcdef", rng.randrange(4))})) for i in range(60)] + [(99, [])]
@@ -256,3 +252,43 @@ def test_rules_kept_by_improvement(spark):
     rows = [(["a"], ["b"], 0.2, False), (["c"], ["b"], 0.5, False), (["b"], ["a"], 0.2, False), (["d"], ["a"], 0.0, True)]
     got = rules.kept_by_improvement(spark.createDataFrame(rows, "antecedent array<string>, consequent array<string>, improvement double, redundant boolean"))
     assert [r["antecedent"][0] for r in got.orderBy("place").collect()] == ["c", "a", "b"]
+
+
+def test_pattern_growth_counts_every_split_as_level_wise_mining_does(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for b in range(300):
+        items = {"hot"} | {f"i{int(12 * rng.random() ** 2)}" for _ in range(rng.randint(0, 7))} if b % 3 else {"hot", "i0", "i1", "i2"}
+        for split in (0, 1, 7):
+            if rng.random() < 0.7:
+                rows += [(b, i, split, 1 + b % 2) for i in sorted(items)] * (1 + b % 2)
+    rows += [(None, "i1", 0, 1), (5, None, 0, 1)]
+    lines = spark.createDataFrame(rows, "basket_id long, item string, split_id long, weight long")
+    shown = lambda made: sorted((r["split_id"], tuple(r["items"]), r["size"], r["cnt"], r["n"], r["support"]) for r in made.collect())
+    want = shown(mine.frequent_itemsets(lines, 0.03, 5, "explode"))
+    assert len({r[0] for r in want}) == 3 and max(r[2] for r in want) == 5
+    assert shown(mine.frequent_itemsets(lines, 0.03, 5, "growth")) == want
+    monkeypatch.setattr(mine, "LOOKED_UP", 2)
+    assert shown(mine.frequent_itemsets(lines, 0.03, 5, "growth")) == want
+    assert shown(mine.frequent_itemsets(lines, 0.03, 1, "growth")) == [r for r in want if r[2] == 1]
+
+
+def test_pattern_growth_ends_where_no_set_is_left(spark):
+    lines = baskets_from_lists(spark, EIGHT)
+    want = {("p",): 6, ("q",): 5, ("r",): 3, ("p", "q"): 4, ("p", "r"): 2, ("q", "r"): 1, ("p", "q", "r"): 1}
+    assert {tuple(r["items"]): r["cnt"] for r in mine.frequent_itemsets(lines, 0.01, 9, "growth").collect()} == want
+    assert mine.frequent_itemsets(lines, 1.0, 3, "growth").count() == 0
+    assert mine.frequent_itemsets(lines.limit(0), 0.01, 3, "growth").count() == 0
+
+
+def test_pattern_growth_of_one_path_repeated(spark):
+    """Twenty thousand equal baskets are one row of the first base."""
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import growth
+
+    lines = spark.range(20_000).select(F.col("id").alias("basket_id"), F.explode(F.array(*(F.lit(x) for x in "abcd"))).alias("item"))
+    every = mine.split_baskets(lines)
+    first = mine.frequent_itemsets(lines, 0.5, 1)
+    assert [(r["prefix"], r["cnt"]) for r in growth.paths(every, first, 10).collect()] == [(["a", "b", "c", "d"], 20_000)]
+    assert {r["cnt"] for r in mine.frequent_itemsets(lines, 0.5, 4, "growth").collect()} == {20_000}
