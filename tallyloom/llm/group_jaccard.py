@@ -322,3 +322,18 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     comp = named.join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(comp, "key", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
+
+
+#: The query's rows as DuckDB SQL: all pairs that share a shingle, for small tables.
+SQL = """WITH RECURSIVE
+  w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+  p AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+  t AS (SELECT r, word, lead(word) OVER x AS b, lead(word, 2) OVER x AS c FROM p WINDOW x AS (PARTITION BY r ORDER BY i)),
+  each AS (SELECT DISTINCT r, concat_ws(' ', word, b, c) AS gram FROM t WHERE c IS NOT NULL UNION ALL SELECT r, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 2),
+  sets AS (SELECT r, doc_id, COUNT(gram) AS n_shingles FROM w LEFT JOIN each USING (r) GROUP BY ALL),
+  met AS (SELECT x.r AS a, y.r AS b, COUNT(*) AS n FROM each x JOIN each y ON x.gram = y.gram AND x.r < y.r GROUP BY ALL),
+  links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM met JOIN sets x ON x.r = a JOIN sets y ON y.r = b WHERE 100 * n >= 90 * (x.n_shingles + y.n_shingles - n)),
+  both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+  reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+  low AS (SELECT a AS doc_id, MIN(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, n_shingles, component_id FROM sets LEFT JOIN low USING (doc_id)"""

@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_quality_cascade": quality_cascade.SQL, "op13_source_divergence": source_divergence.SQL}
+    return {"op5_group_jaccard": group_jaccard.SQL, "op12_quality_cascade": quality_cascade.SQL, "op13_source_divergence": source_divergence.SQL}
