@@ -201,3 +201,11 @@ def test_attention_is_fitted_on_all_blocks_and_long_documents(spark, monkeypatch
     assert fitted > 0.8 * score()
     [the] = attention_lm.load_encoder(BYTES).encode_ordinary(" the")
     assert models[0].head_of[the] == 0 and (models[0].weights["near"] != models[-1].weights["near"]).any()
+
+
+def test_sums_of_weights_may_pass_a_long(spark):
+    """Four tasks with 2**62 each, as blocks of a corpus of tens of terabytes would give."""
+    pack = lambda kind, *x: F.lit(np.array(x, kind).tobytes())
+    content = spark.range(0, 4, 1, 4).select(pack("?", False).alias("held"), pack("<u4", 2).alias("lengths"), pack("<u2", attention_lm.END, attention_lm.END).alias("ids"))
+    got = attention_lm.added(content, lambda b: (slice(None), np.array([2**62, 3])), 2, wide=True)
+    assert got.tolist() == [2.0**64, 12.0]
