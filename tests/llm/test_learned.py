@@ -17,6 +17,7 @@ from tallyloom.llm.queries import tokenizer_path
 
 DATA = "/root/testdata/sf0.01"
 BYTES = tokenizer_path("byte_bpe_50k.json")
+OPENS = attention_lm.opens(attention_lm.load_encoder(BYTES))
 
 
 def remainder(doc_id, modulus):
@@ -110,24 +111,63 @@ def test_the_next_ids_probabilities_add_up_to_one():
     pairs = np.zeros((attention_lm.HEADS, attention_lm.HEADS), np.int64)
     for s in learnt:
         np.add.at(pairs, (heads[s[:-1]], heads[s[1:]]), 1)
-    model = attention_lm.Model.start(heads, counts, pairs).fit(learnt)
-    total = 0.0
+    model = attention_lm.Model.start(heads, counts, pairs, OPENS).fit(learnt)
+    total = opening = 0.0
     for start in range(0, attention_lm.VOCAB, 4096):
         nexts = range(start, min(start + 4096, attention_lm.VOCAB))
-        total += sum(10 ** float(x[-1]) for x in model.score([np.array([attention_lm.END, 5, 17, x], np.int32) for x in nexts]))
+        found = model.foresee([np.array([attention_lm.END, 5, 17, x], np.int32) for x in nexts])
+        total += sum(10 ** float(x[-1]) for x, _ in found)
+        opening += sum(10 ** float(x[-1]) for i, (x, _) in zip(nexts, found) if OPENS[i] or i == attention_lm.END)
     assert total == pytest.approx(1, abs=1e-3)
+    assert 10 ** found[0][1][-1] == pytest.approx(opening, rel=1e-3) and 0 < opening < 1
     # ids to come never change what went before
     a, b = model.score([np.r_[learnt[0][:40], 3, 3, 3], np.r_[learnt[0][:40], 9, 8, 7]])
     assert np.allclose(a[:39], b[:39], atol=1e-5)
 
 
+def test_held_out_texts_score_above_plain_word_counts_on_the_whole(spark):
+    got = attention_lm.score_documents(table(spark, "/root/testdata/sf0.1", "documents"), BYTES).where("held_out")
+    score, base, better, n = got.agg(F.sum("score"), F.sum("base_score"), F.count_if(F.col("score") > F.col("base_score")), F.count("*")).first()
+    assert score > base and 2 * better > n
+
+
+def test_tokens_mix_counts_the_text_so_far_and_the_products_of_ids():
+    rng = np.random.default_rng(6)
+    lengths = [1, 7, 2, 40]
+    words = [rng.integers(0, 6, n - 1).tolist() for n in lengths]
+    counts = [[[0, 3, 0, 9, 1, 50][w] for w in ws] + [4] for ws in words]
+    costs = [rng.integers(0, 3000, n) for n in lengths]
+    costs[3][:3] = 10**8
+    before = attention_lm.seen_before(np.repeat(np.arange(4), [len(w) for w in words]), np.array(sum(words, [])), 6)
+    before = np.insert(before, np.cumsum([len(w) for w in words]), 0)
+    got = attention_lm.mixed(np.array(sum(counts, [])), 67, before, np.concatenate(costs).astype("<u4"), np.cumsum(lengths))
+    for ws, cs, xs, one in zip(words, counts, costs, got):
+        logs = []
+        for w, q in attention_lm.SHARES:
+            logs.append(0.0)
+            for i, (c, x) in enumerate(zip(cs, xs.tolist())):
+                again = ws[:i].count(ws[i]) / max(1, i) if i < len(ws) else 0
+                rest = w * c / 67 + q * again
+                logs[-1] += math.log10(rest + (1 - w - q) * 10 ** (-x / 256)) if rest or x < 10**5 else math.log10(1 - w - q) - x / 256
+        want = max(logs) + math.log10(sum(10 ** (x - max(logs)) for x in logs) / len(logs))
+        assert one == pytest.approx(want, rel=1e-9)
+
+
+def test_words_with_other_white_space_within_are_told_apart():
+    spell = lambda w: attention_lm.spell([w.encode()], attention_lm.load_encoder(BYTES))[0].tolist()
+    words = ["a\xa0b", "a\u2003b", "a\u00b7b", "a\u00b7vb", "a\x1cb", "ab"]
+    assert len({tuple(spell(w)) for w in words}) == len(words)
+    assert all(OPENS[spell(w)[0]] and not OPENS[spell(w)[1:]].any() for w in [*words, "\xa0" * 300, "\u00b7"])
+    assert all(attention_lm.INNER_GAPS.match(c) for c in map(chr, range(0x3100)) if c.isspace() and c not in " \t\n\v\f\r")
+
+
 def small_model(learnt):
     heads = attention_lm.choose_heads(learnt)
     counts = np.bincount(np.concatenate([s[1:] for s in learnt]), minlength=attention_lm.VOCAB)
     pairs = np.zeros((attention_lm.HEADS, attention_lm.HEADS), np.int64)
     for s in learnt:
         np.add.at(pairs, (heads[s[:-1]], heads[s[1:]]), 1)
-    return attention_lm.Model.start(heads, counts, pairs).fit(learnt), counts
+    return attention_lm.Model.start(heads, counts, pairs, OPENS).fit(learnt), counts
 
 
 def test_windows_score_like_plain_masked_attention():
@@ -192,7 +232,7 @@ def test_attention_is_fitted_on_all_blocks_and_long_documents(spark, monkeypatch
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     models, blocks_scored = [], attention_lm.score_blocks
     monkeypatch.setattr(attention_lm, "BLOCK_CHARS", 200_000)
-    monkeypatch.setattr(attention_lm, "score_blocks", lambda content, model: (models.append(model), blocks_scored(content, model))[1])
+    monkeypatch.setattr(attention_lm, "score_blocks", lambda content, model, path: (models.append(model), blocks_scored(content, model, path))[1])
     score = lambda parts=4: attention_lm.score_documents(docs.repartition(parts), BYTES).where("held_out").agg(F.sum("score")).first()[0]
     fitted = score()
     # blocks are what tasks read, so their number may shift the weights, but little
