@@ -1,5 +1,7 @@
 """Read-outs: every table is written, the same on every run, and charts and command line work."""
 
+import csv
+import glob
 import math
 import os
 import subprocess
@@ -8,6 +10,7 @@ import xml.etree.ElementTree as ET
 
 import pytest
 
+from tallyloom import __main__
 from tallyloom.plans import readouts
 from tallyloom.sources import baskets_from_lists, synthetic_lines
 
@@ -24,6 +27,19 @@ def test_written_tables(spark, tmp_path):
     for name in ("redundancy", "stability", "evaluation", "network"):
         text = "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/out/{name}.svg").collect())
         assert ET.fromstring(text).tag.endswith("svg")
+    rows_of = lambda name: [r for part in sorted(glob.glob(f"{tmp_path}/out/{name}/part-*")) for r in csv.DictReader(open(part))]
+    for name in ("rules", "redundancy", "recommendations", "stability"):
+        ranks = [int(r["rank"]) for r in rows_of(name)]
+        assert ranks == sorted(ranks) and len(set(ranks)) == len(ranks)
+    keys = [(-int(r["support_count"]), r["itemset"]) for r in rows_of("itemsets")]
+    assert keys == sorted(keys)
+    keys = [(-float(r["lift"]), r["item_a"], r["item_b"]) for r in rows_of("edges")]
+    assert keys == sorted(keys)
+    for name, column, kind in (("communities", "community_id", int), ("segments", "segment", int), ("customers", "customer_id", str)):
+        keys = [kind(r[column]) for r in rows_of(name)]
+        assert keys == sorted(keys)
+    places = [(int(r["place_a"]), int(r["place_b"])) for r in rows_of("lift")]
+    assert places == sorted(places)
     assert spark.read.csv(f"{tmp_path}/out/customers", header=True).count() == lines.select("customer_id").distinct().count()
 
 
@@ -48,6 +64,12 @@ def test_charts_escape_and_bound():
     assert ET.fromstring(readouts.bar_chart("none", [])).get("height") == "44" and len(ET.fromstring(readouts.network_chart("none", [], []))) == 1
 
 
+def test_options_are_the_fields_of_a_plan():
+    assert __main__.plan_of(__main__.options().parse_args([])) == readouts.Plan()
+    some = __main__.options().parse_args("--min-support 0.1 --ks 2 4 --top-n 7 --windows 3 --restarts 2".split())
+    assert __main__.plan_of(some) == readouts.Plan(0.1, ks=(2, 4), top_n=7, windows=3, restarts=2)
+
+
 def test_command_line():
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run([sys.executable, "-m", "tallyloom", "--master", "local[2]", "--baskets", "300", "--customers", "40", "--top", "2", "--help"], cwd=home, capture_output=True, text=True, timeout=60)
