@@ -19,9 +19,10 @@ text, so none is fitted and what a text shows of its best shares bears on its la
    them than there are distinct words in blocks.
 3. Counts of ids, and of pairs of rows, are sums over all learning documents; what comes to the driver has at most
    ``VOCAB`` and ``HEADS ** 2`` rows, whatever the corpus.  The weights are fitted on every block: in each of ``ROUNDS``
-   rounds a block takes another ``FIT_SHARE``-th of its windows, long documents' included, at least ``ROUND_STEPS``
-   batches, from the common weights on; Spark adds up the blocks' weights, each as often as the block has windows, and
-   their mean is common to the next round.  Sums are of whole numbers, so the order of adding does not matter.
+   rounds a block takes another ``ROUNDS``-th of its windows, long documents' included, from the common weights on, so
+   every window is taken, and once where they fill ``ROUND_STEPS`` batches of ``LEAST_BATCH`` (fewer are taken again until
+   they do); Spark
+   adds up the blocks' weights, each as often as the block has windows, and their mean is common to the next round.  Sums are of whole numbers, so the order of adding does not matter.
 4. Ids are scored where they were written; only places of words, and their products rounded down to steps of
    1 / ``STEPS`` in log10, move to meet the answers.
 
@@ -53,7 +54,7 @@ from .wordhash import lowered, words_in
 WINDOW, STRIDE, DIM, HEADS, CLASSES, OWN = 24, 16, 16, 1024, 32, 16
 LEAD = WINDOW - STRIDE
 BLOCK_CHARS, BLOCKS_A_RANGE = 2_000_000, 16
-ROUNDS, ROUND_STEPS, FIT_SHARE, FIT_BATCH, SEED = 2, 75, 20, 32, 7
+ROUNDS, ROUND_STEPS, LEAST_BATCH, FIT_BATCH, SEED = 2, 75, 32, 256, 7
 #: Shares of the word counts and of the text so far in a token's probability; steps of log10 in which products move.
 SHARES = [(w * (1 - q), q) for w in (0.2, 0.5, 0.8) for q in (0.02, 0.1, 0.4)]
 STEPS = 256
@@ -213,27 +214,29 @@ class Model:
         weights = {"q": init(HEADS, DIM), "k": init(HEADS, DIM), "v": init(HEADS, DIM), "near": np.linspace(2, -1, WINDOW, dtype=np.float32), "out": init(DIM, CLASSES)}
         return cls(head_of, class_of, np.log(by_class).astype(np.float32), within, tail, opening.astype(np.float32), opens, weights)
 
-    def windows(self, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, queries, targets) of the overlapping windows over one sequence of rows; -1 fills up."""
-        n = len(heads) - 1
-        rows = -(-n // STRIDE)
-        padded = np.full(rows * STRIDE + WINDOW + 1, -1, np.int64)
-        padded[LEAD : LEAD + n + 1] = heads
-        at = np.arange(rows)[:, None] * STRIDE
-        return padded[at + np.arange(WINDOW)], padded[at + LEAD + np.arange(STRIDE)], padded[at + LEAD + 1 + np.arange(STRIDE)]
+    def windows(self, sequences: list[np.ndarray]) -> np.ndarray:
+        """Rows of the ids of each overlapping window and of the id after it, sequence by sequence; -1 fills up."""
+        lengths = np.array([len(s) for s in sequences])
+        rows = -(-(lengths - 1) // STRIDE)
+        sizes = rows * STRIDE + WINDOW
+        at = np.cumsum(sizes) - sizes
+        padded = np.full(sizes.sum(), -1, np.int16)
+        padded[np.arange(lengths.sum()) + np.repeat(at + LEAD - np.cumsum(lengths) + lengths, lengths)] = self.head_of[np.concatenate(sequences)]
+        first = np.repeat(at - (np.cumsum(rows) - rows) * STRIDE, rows) + np.arange(rows.sum()) * STRIDE
+        return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[first]
 
     def attend(self, keys: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Attention of each query over the window's ids up to its own."""
+        """Attention of each query over the window's ids up to its own; q comes back scaled."""
         w = self.weights
-        q, k, v = w["q"][queries], w["k"][keys], w["v"][keys]
+        q, k, v = taken(w["q"], queries), taken(w["k"], keys), taken(w["v"], keys)
+        q *= np.float32(DIM**-0.5)
         s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(DIM**-0.5)
         s += self.bias()
         if keys.min() < 0:
             s += np.where(keys < 0, np.float32(-1e9), np.float32(0))[:, None, :]
         np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
+        s /= (s @ np.ones(WINDOW, np.float32) + np.float32(1e-30))[:, :, None]
         return s, s @ v, q, k, v
 
     def bias(self) -> np.ndarray:
@@ -243,8 +246,8 @@ class Model:
 
     def logits(self, queries: np.ndarray, mixed: np.ndarray) -> np.ndarray:
         z = (mixed @ self.weights["out"]).reshape(-1, CLASSES)
-        z += self.base[queries.ravel()]
-        return z
+        z += taken(self.base, queries.ravel())
+        return np.minimum(z, 60, out=z)
 
     def score(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         """log10 probability of each id after the first of each sequence."""
@@ -252,27 +255,20 @@ class Model:
 
     def foresee(self, sequences: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """log10 probabilities of each id after the first, and of any that begins a word or ends the text in its place, many windows at a time."""
-        heads = [self.head_of[s] for s in sequences]
-        parts = [self.windows(h) for h in heads]
-        keys, queries, targets = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        classes = self.class_of[targets]
-        logs, marks = np.empty(targets.shape, np.float32), np.empty(targets.shape, np.float32)
-        for i in range(0, len(keys), 128):
-            q, t = queries[i : i + 128], classes[i : i + 128].ravel()
-            z = self.logits(q, self.attend(keys[i : i + 128], q)[1])
-            np.minimum(z, 60, out=z)
-            chosen = z[np.arange(len(t)), t]
+        windows, ids = self.windows(sequences), np.concatenate([s[1:] for s in sequences])
+        logs, marks = np.empty((len(windows), STRIDE)), np.empty((len(windows), STRIDE), np.float32)
+        for i in range(0, len(windows), 128):
+            w = windows[i : i + 128].astype(np.int64)
+            keys, q, to = w[:, :WINDOW], w[:, LEAD:WINDOW], w[:, LEAD + 1 :].ravel()
+            z = self.logits(q, self.attend(keys, q)[1])
+            q = q.ravel()
+            chosen = z.ravel()[np.arange(0, z.size, CLASSES) + taken(self.class_of, to)]
             np.exp(z, out=z)
-            total = z.sum(axis=1)
-            logs[i : i + 128] = (chosen - np.log(total)).reshape(-1, STRIDE)
-            marks[i : i + 128] = (np.einsum("ij,ij->i", z, self.opening[q.ravel()]) / total).reshape(-1, STRIDE)
-        out, at = [], 0
-        for s, h, p in zip(sequences, heads, parts):
-            own = logs[at : at + len(p[0])].ravel()[: len(s) - 1].astype(np.float64) / np.log(10)
-            mark = np.log10(np.clip(marks[at : at + len(p[0])].ravel()[: len(s) - 1].astype(np.float64), 1e-30, 1))
-            out.append((own + self.within[h[:-1], h[1:]] + self.tail[s[1:]], mark))
-            at += len(p[0])
-        return out
+            total = z @ np.ones(CLASSES, np.float32)
+            logs[i : i + 128] = ((chosen - np.log(total)) / np.log(10) + taken(self.within.ravel(), q * HEADS + to)).reshape(-1, STRIDE)
+            marks[i : i + 128] = (np.einsum("ij,ij->i", z, taken(self.opening, q)) / total).reshape(-1, STRIDE)
+        real, ends = windows[:, LEAD + 1 :] >= 0, np.cumsum([len(s) - 1 for s in sequences])[:-1]
+        return list(zip(np.split(logs[real] + self.tail[ids], ends), np.split(np.log10(np.clip(marks[real].astype(np.float64), 1e-30, 1)), ends)))
 
     def fit(self, sequences: list[np.ndarray]) -> Model:
         """All rounds over one block."""
@@ -281,56 +277,71 @@ class Model:
         return self
 
     def learn(self, sequences: list[np.ndarray], turn: int) -> int:
-        """Adam over this round's share of the windows, each taken once, or as often as ``ROUND_STEPS`` asks; how many windows there are."""
-        parts = [[x.astype(np.int16) for x in self.windows(self.head_of[s])] for s in sequences]
-        if not parts:
+        """Adam over this round's part of the windows, each taken once, or as often as ``ROUND_STEPS`` asks; how many windows there are."""
+        if not sequences:
             return 0
-        keys, queries, targets = (np.concatenate([x[i] for x in parts]) for i in range(3))
-        del parts
-        rng, m, v = np.random.default_rng([SEED, turn]), {k: np.zeros_like(x) for k, x in self.weights.items()}, {k: np.zeros_like(x) for k, x in self.weights.items()}
-        share = np.random.default_rng(SEED).permutation(len(keys))[turn::FIT_SHARE]
-        if not len(share):
-            return 0
-        passes = -(-ROUND_STEPS * FIT_BATCH // len(share))
-        order = np.concatenate([rng.permutation(share) for _ in range(passes)])
-        steps = -(-len(order) // FIT_BATCH)
+        windows = self.windows(sequences)
+        own = np.random.default_rng(SEED).permutation(len(windows))[turn::ROUNDS]
+        if not len(own):
+            return len(windows)
+        names, rng = list(self.weights), np.random.default_rng([SEED, turn])
+        flat = np.concatenate([self.weights[n].ravel() for n in names])
+        ends = np.cumsum([self.weights[n].size for n in names])[:-1]
+        self.weights = {n: x.reshape(self.weights[n].shape) for n, x in zip(names, np.split(flat, ends))}
+        m, v = np.zeros_like(flat), np.zeros_like(flat)
+        size = min(max(len(own) // ROUND_STEPS, LEAST_BATCH), FIT_BATCH)
+        order = np.concatenate([rng.permutation(own) for _ in range(-(-ROUND_STEPS * size // len(own)))])
+        steps = -(-len(order) // size)
         for step in range(1, steps + 1):
-            at = order[(step - 1) * FIT_BATCH : step * FIT_BATCH]
             rate = 0.02 / (turn + 1) * (1 - step / (steps + 1))
-            for name, g in self.gradients(*(x[at].astype(np.int64) for x in (keys, queries, targets))).items():
-                m[name] += 0.1 * (g - m[name])
-                v[name] += 0.01 * (g * g - v[name])
-                self.weights[name] -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        return len(keys)
-
-    def gradients(self, keys: np.ndarray, queries: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
+            found = self.gradients(windows[order[(step - 1) * size : step * size]].astype(np.int64))
+            g = np.concatenate([found[n].ravel() for n in names])
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.01) * (g * g - v)
+            g = np.sqrt(v / np.float32(1 - 0.99**step))
+            g += np.float32(1e-6)
+            flat -= np.float32(rate / (1 - 0.9**step)) * m / g
+        return len(windows)
+
+    def gradients(self, windows: np.ndarray) -> dict[str, np.ndarray]:
+        keys, queries, targets = windows[:, :WINDOW], windows[:, LEAD:WINDOW], windows[:, LEAD + 1 :]
         a, mixed, q, k, v = self.attend(keys, queries)
         z = self.logits(queries, mixed)
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        t, real = self.class_of[targets.ravel()], targets.ravel() >= 0
-        z[np.flatnonzero(real), t[real]] -= 1
-        z[~real] = 0
-        z /= max(1, real.sum())
+        np.exp(z, out=z)
+        real = targets.ravel() >= 0
+        share = real / np.float32(max(1, real.sum()))
+        z *= (share / (z @ np.ones(CLASSES, np.float32) + np.float32(1e-30)))[:, None]
+        z.ravel()[np.arange(0, z.size, CLASSES) + taken(self.class_of, targets.ravel())] -= share
         # products of one window each: larger ones would start threads of their own beside Spark's tasks
         z = z.reshape(*targets.shape, CLASSES)
         g = {"out": (mixed.transpose(0, 2, 1) @ z).sum(axis=0)}
         d_mixed = z @ self.weights["out"].T
-        d_a = d_mixed @ v.transpose(0, 2, 1)
-        d_s = a * (d_a - (d_a * a).sum(axis=2, keepdims=True))
+        d_s = d_mixed @ v.transpose(0, 2, 1)
+        d_s -= np.einsum("bid,bid->bi", d_mixed, mixed)[:, :, None]
+        d_s *= a
         away = np.maximum(LEAD + np.arange(STRIDE)[:, None] - np.arange(WINDOW)[None, :], 0)
         g["near"] = np.bincount(away.ravel(), d_s.sum(axis=0).ravel(), WINDOW)[:WINDOW].astype(np.float32)
-        d_s = d_s * np.float32(DIM**-0.5)
-        g["q"] = scatter(queries, (d_s @ k).reshape(-1, DIM))
-        g["k"] = scatter(keys, (d_s.transpose(0, 2, 1) @ q).reshape(-1, DIM))
-        g["v"] = scatter(keys, (a.transpose(0, 2, 1) @ d_mixed).reshape(-1, DIM))
-        return g
+        # a place's three rows side by side, so its head is looked up once
+        rows = np.zeros((*keys.shape, 3 * DIM), np.float32)
+        np.matmul(d_s, k, out=rows[:, LEAD:, :DIM])
+        np.matmul(d_s.transpose(0, 2, 1), q, out=rows[:, :, DIM : 2 * DIM])
+        np.matmul(a.transpose(0, 2, 1), d_mixed, out=rows[:, :, 2 * DIM :])
+        found = scatter(keys, rows.reshape(-1, 3 * DIM))
+        return g | {"q": found[:, :DIM] * np.float32(DIM**-0.5), "k": found[:, DIM : 2 * DIM], "v": found[:, 2 * DIM :]}
+
+
+def taken(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of a table; -1 is the last."""
+    return np.take(table, at, axis=0, mode="wrap")
 
 
 def scatter(heads: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Gradient rows added up by head; -1 is the last, where masks have left zeros."""
     h = np.where(heads.ravel() < 0, HEADS - 1, heads.ravel())
-    return np.stack([np.bincount(h, rows[:, d], HEADS) for d in range(rows.shape[1])], axis=1).astype(np.float32)
+    n = np.bincount(h, minlength=HEADS)
+    found, some = np.zeros((HEADS, rows.shape[1]), np.float32), n > 0
+    found[some] = np.add.reduceat(taken(rows, np.argsort(h.astype(np.int16), kind="stable")), (np.cumsum(n) - n)[some], axis=0)
+    return found
 
 
 def range_ends(words: np.ndarray, ranges: int) -> np.ndarray:
@@ -377,6 +388,12 @@ class Stored:
         """The sequences that learning may use, in an order that doesn't depend on that of rows."""
         return sorted((s for s, held in zip(split_at(self.ids, self.lengths), self.held) if not held), key=lambda s: s.tobytes())
 
+    def foreseen(self) -> np.ndarray:
+        """Places in ``ids`` of all that learning may count as coming after another."""
+        own = np.repeat(~self.held, self.lengths)
+        own[np.cumsum(self.lengths) - self.lengths] = False
+        return np.flatnonzero(own)
+
 
 def rows_of(found: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches(found):
@@ -416,7 +433,7 @@ def answer_counts(asked: DataFrame) -> DataFrame:
 def added(content: DataFrame, each: Callable[[Stored], tuple], size: int, wide: bool = False) -> np.ndarray:
     """Sum of what ``each`` gives for a block (places, whole numbers): tasks add up what they read, Spark adds the tasks' sums.
 
-    What comes to the driver has at most ``size`` rows, whatever the corpus.  ``wide`` sums are added as decimals, which
+    What comes to the driver has at most ``size`` rows, whatever the corpus.  ``wide`` numbers are added in two halves, which
     hold what a long doesn't, and come back as the nearest doubles.
     """
 
@@ -428,10 +445,10 @@ def added(content: DataFrame, each: Callable[[Stored], tuple], size: int, wide:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
 
-    n = F.sum(F.col("n").cast("decimal(19,0)")).cast("double") if wide else F.sum("n")
-    found = content.select("held", "lengths", "ids").mapInArrow(run, "at long, n long").groupBy("at").agg(n.alias("n")).toArrow()
+    sums = {"high": F.sum(F.shiftright("n", 32)), "low": F.sum(F.col("n").bitwiseAND(2**32 - 1))} if wide else {"n": F.sum("n")}
+    found = content.select("held", "lengths", "ids").mapInArrow(run, "at long, n long").groupBy("at").agg(*(x.alias(c) for c, x in sums.items())).toArrow()
     total = np.zeros(size, np.float64 if wide else np.int64)
-    total[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    total[found.column("at").to_numpy()] = [float((h << 32) + x) for h, x in zip(*(found.column(c).to_pylist() for c in sums))] if wide else found.column("n").to_numpy()
     return total
 
 
@@ -439,8 +456,7 @@ def add_ids(content: DataFrame) -> tuple[int, np.ndarray]:
     """Learning documents and counts of ids."""
 
     def each(b: Stored) -> tuple[slice, np.ndarray]:
-        some = [s[1:] for s in b.taught()]
-        return slice(None), np.r_[len(some), np.bincount(np.concatenate(some), minlength=VOCAB) if some else np.zeros(VOCAB, np.int64)]
+        return slice(None), np.r_[(~b.held).sum(), np.bincount(b.ids[b.foreseen()], minlength=VOCAB)]
 
     total = added(content, each, 1 + VOCAB)
     return int(total[0]), total[1:]
@@ -450,8 +466,8 @@ def add_pairs(content: DataFrame, head_of: np.ndarray) -> np.ndarray:
     """Counts of pairs of rows."""
 
     def each(b: Stored) -> tuple[slice, np.ndarray]:
-        heads = [head_of[s] for s in b.taught()]
-        return slice(None), np.bincount(np.concatenate([h[:-1] * HEADS + h[1:] for h in heads]), minlength=HEADS * HEADS) if heads else np.zeros(HEADS * HEADS, np.int64)
+        heads, at = head_of[b.ids], b.foreseen()
+        return slice(None), np.bincount(heads[at - 1] * HEADS + heads[at], minlength=HEADS * HEADS)
 
     return added(content, each, HEADS * HEADS).reshape(HEADS, HEADS)
 
@@ -477,10 +493,16 @@ def fit_blocks(content: DataFrame, model: Model) -> Model:
     return model
 
 
-def costs_of(ids: np.ndarray, logs: np.ndarray, marks: np.ndarray, opens: np.ndarray) -> np.ndarray:
-    """Of each word, then the end: minus log10 of its product in whole steps, rounded up."""
-    first = np.flatnonzero(np.r_[opens[ids[1:-1]], True])
-    products = np.add.reduceat(logs, first) - marks[first] + np.r_[marks[first[1:]], 0]
+def costs_of(sequences: list[np.ndarray], foreseen: list[tuple[np.ndarray, np.ndarray]], opens: np.ndarray) -> np.ndarray:
+    """Of each word, then the end, of each sequence: minus log10 of its product in whole steps, rounded up."""
+    last = np.cumsum([len(s) - 1 for s in sequences]) - 1
+    begins = opens[np.concatenate([s[1:] for s in sequences])]
+    begins[last] = True
+    first = np.flatnonzero(begins)
+    logs, marks = (np.concatenate(x) for x in zip(*foreseen))
+    after = np.r_[marks[first[1:]], 0]
+    after[np.searchsorted(first, last)] = 0
+    products = np.add.reduceat(logs, first) - marks[first] + after
     return np.maximum(np.ceil(products * -STEPS), 0).astype("<u4")
 
 
@@ -494,7 +516,7 @@ def score_blocks(content: DataFrame, model: Model) -> DataFrame:
             sequences = split_at(b.ids, b.lengths)
             for i in range(0, len(sequences), 128):
                 some = sequences[i : i + 128]
-                costs += [costs_of(s, *x, spread.value.starts) for s, x in zip(some, spread.value.foresee(some))]
+                costs.append(costs_of(some, spread.value.foresee(some), spread.value.starts))
             yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["doc_ids"]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (row["held"], row["where"], row["ends"], by_plane(np.concatenate(costs))))], ["block", "doc_ids", "held", "where", "ends", "costs"])
 
     return content.select("block", "doc_ids", "held", "lengths", "ids", "where", "ends").mapInArrow(run, SCORED)

@@ -249,3 +249,14 @@ def test_sums_of_weights_may_pass_a_long(spark):
     content = spark.range(0, 4, 1, 4).select(pack("?", False).alias("held"), pack("<u4", 2).alias("lengths"), pack("<u2", attention_lm.END, attention_lm.END).alias("ids"))
     got = attention_lm.added(content, lambda b: (slice(None), np.array([2**62, 3])), 2, wide=True)
     assert got.tolist() == [2.0**64, 12.0]
+
+
+def test_every_window_is_fitted_once(monkeypatch):
+    rng = np.random.default_rng(11)
+    learnt = [np.r_[attention_lm.END, rng.integers(0, 400, n), attention_lm.END].astype(np.int32) for n in (3000, 1, 0, 47, 48, 900)]
+    fitted, plain = [], attention_lm.Model.gradients
+    monkeypatch.setattr(attention_lm, "ROUND_STEPS", 1)
+    monkeypatch.setattr(attention_lm.Model, "gradients", lambda self, *x: (fitted.extend(map(tuple, x[-1][:, -attention_lm.STRIDE :].tolist())), plain(self, *x))[1])
+    heads = small_model(learnt)[0].head_of
+    rows = [heads[s[i : i + attention_lm.STRIDE]].tolist() for s in learnt for i in range(1, len(s), attention_lm.STRIDE)]
+    assert Counter(fitted) == Counter(tuple(r + [-1] * (attention_lm.STRIDE - len(r))) for r in rows)
