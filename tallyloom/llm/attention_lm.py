@@ -54,6 +54,8 @@ from .wordhash import lowered, words_in
 WINDOW, STRIDE, DIM, HEADS, CLASSES, OWN = 24, 16, 16, 1024, 32, 16
 LEAD = WINDOW - STRIDE
 BLOCK_CHARS, BLOCKS_A_RANGE = 2_000_000, 16
+#: Blocks in a row group of their table.  A reader holds a group's columns three times over: as read, as vectors, as Arrow.
+BLOCKS_A_GROUP = 2
 ROUNDS, ROUND_STEPS, LEAST_BATCH, FIT_BATCH, SEED = 2, 75, 32, 256, 7
 #: Shares of the word counts and of the text so far in a token's probability; steps of log10 in which products move.
 SHARES = [(w * (1 - q), q) for w in (0.2, 0.5, 0.8) for q in (0.02, 0.1, 0.4)]
@@ -579,7 +581,7 @@ def report(scored: DataFrame, totals: DataFrame, end_count: int, total: int) ->
 def score_documents(docs: DataFrame, tokenizer: str, modulus: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     docs = texts_of(docs).withColumn("held_out", id_remainder(F.col("doc_id"), modulus) == held)
-    content = written(read_blocks(docs, tokenizer), "blocks")
+    content = written(read_blocks(docs, tokenizer), "blocks", **{"parquet.block.row.count.limit": str(BLOCKS_A_GROUP)})
     ranges = max(1, -(-content.count() // BLOCKS_A_RANGE))
     answered = written(answer_counts(ask_counts(content, ranges)), "totals")
     n_docs, ids = add_ids(content)

@@ -25,14 +25,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame, name: str, *by: str) -> DataFrame:
+def materialized(df: DataFrame, name: str, *by: str, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there and lost executors cost nothing before it.
 
-    Rows that differ in ``by``, its last columns, lie in files of their own.  The table is deleted when the driver ends,
+    Rows that differ in ``by``, its last columns, lie in files of their own; ``options`` are the writer's.  The table is deleted when the driver ends,
     for results are read from it after a query has returned, or before by ``discard``.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.partitionBy(*by).parquet(path)
+    df.write.options(**options).partitionBy(*by).parquet(path)
     _made[path] = df.sparkSession
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,3 +261,14 @@ def test_every_window_is_fitted_once(monkeypatch):
     heads = small_model(learnt)[0].head_of
     rows = [heads[s[i : i + attention_lm.STRIDE]].tolist() for s in learnt for i in range(1, len(s), attention_lm.STRIDE)]
     assert Counter(fitted) == Counter(tuple(r + [-1] * (attention_lm.STRIDE - len(r))) for r in rows)
+
+
+def test_readers_hold_few_blocks_at_once(spark, monkeypatch):
+    tables, written = [], attention_lm.written
+    monkeypatch.setattr(attention_lm, "BLOCK_CHARS", 2_000)
+    monkeypatch.setattr(attention_lm, "written", lambda *x, **o: (tables.append(written(*x, **o)), tables[-1])[1])
+    docs = spark.createDataFrame([(i, f"word{i} " * 400) for i in range(20)], "doc_id long, text string").coalesce(1)
+    assert attention_lm.score_documents(docs, BYTES).count() == 20
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in tables[0].inputFiles()]
+    sizes = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert sum(sizes) == 20 and max(sizes) == attention_lm.BLOCKS_A_GROUP
