@@ -103,9 +103,14 @@ class Block:
         data = [lowered(t) for t in texts]
         whole = b"\n".join(data)
         hashes, starts, ends = words_in(whole)
-        self.words, first, self.where = np.unique(hashes, return_index=True, return_inverse=True)
+        # like np.unique, whose stable sort takes longer: any place of a word will do
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        new = np.r_[True, ordered[1:] != ordered[:-1]][: len(order)]
+        self.words, first, self.where = ordered[new], order[new], np.empty(len(order), np.int64)
+        self.where[order] = np.cumsum(new) - 1
         self.ends = np.searchsorted(starts, np.cumsum([len(d) + 1 for d in data]))
-        ids, lengths = spell([whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], encoder)
+        ids, lengths = spell_joined(joined(whole, starts[first], ends[first]), len(first), encoder)
         n = lengths[self.where]
         stop = np.cumsum(n)
         offset = np.cumsum(lengths) - lengths
@@ -123,16 +128,30 @@ def spelled(text: str) -> str:
     return INNER_GAPS.sub(lambda m: "\u00b7" + chr(ord("a") + GAPS.index(m[0])), text)
 
 
+def joined(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """The words that stand there, each with a space before."""
+    n = ends - starts
+    inner = np.ones(int((n + 1).sum()), bool)
+    inner[np.cumsum(n + 1) - n - 1] = False
+    found = np.full(len(inner), 32, np.uint8)
+    found[inner] = np.frombuffer(data, np.uint8)[np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n)]
+    return found.tobytes()
+
+
 def spell(words: list[bytes], encoder) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, number of ids of each word) with a space before each word."""
-    if not words:
+    return spell_joined(b"".join(b" " + w for w in words), len(words), encoder)
+
+
+def spell_joined(words: bytes, n: int, encoder) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each word) of words with a space before each."""
+    if not n:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    text = spelled(" " + b" ".join(words).decode())
+    text = spelled(words.decode())
     ids = np.array(encoder.encode_ordinary(text), np.int32)
     first = np.flatnonzero(opens(encoder)[ids])
-    if len(first) == len(words):
+    if len(first) == n:
         return ids, np.diff(np.r_[first, len(ids)])
-    each = encoder.encode_ordinary_batch([spelled(" " + w.decode()) for w in words], num_threads=1)
+    each = encoder.encode_ordinary_batch([" " + w for w in text[1:].split(" ")], num_threads=1)
     return np.array([i for w in each for i in w], np.int32), np.array([len(w) for w in each])
 
 
