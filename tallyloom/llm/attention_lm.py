@@ -35,6 +35,7 @@ apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -57,6 +58,8 @@ BLOCK_CHARS, BLOCKS_A_RANGE = 2_000_000, 16
 #: Blocks in a row group of their table.  A reader holds a group's columns three times over: as read, as vectors, as Arrow.
 BLOCKS_A_GROUP = 2
 ROUNDS, ROUND_STEPS, LEAST_BATCH, FIT_BATCH, SEED = 2, 75, 32, 256, 7
+#: Windows worked on at once; rows of a head that are added up layer by layer.
+AT_ONCE, LAYERS = 512, 16
 #: Shares of the word counts and of the text so far in a token's probability; steps of log10 in which products move.
 SHARES = [(w * (1 - q), q) for w in (0.2, 0.5, 0.8) for q in (0.02, 0.1, 0.4)]
 STEPS = 256
@@ -96,10 +99,11 @@ class Block:
 
     words: sorted hashes of the distinct words; where: place in ``words`` of every word of every text, one after the
     other; ends: where each text's words end in it; ids: subword ids of all texts, each between two end marks; lengths:
-    how many of them are each text's.
+    how many of them are each text's; spelled: subword ids of the distinct words, and how many are each word's.  Words of
+    the block ``last`` are spelled as there.
     """
 
-    def __init__(self, texts: list[str], encoder):
+    def __init__(self, texts: list[str], encoder, last: Block | None = None):
         data = [lowered(t) for t in texts]
         whole = b"\n".join(data)
         hashes, starts, ends = words_in(whole)
@@ -110,7 +114,17 @@ class Block:
         self.words, first, self.where = ordered[new], order[new], np.empty(len(order), np.int64)
         self.where[order] = np.cumsum(new) - 1
         self.ends = np.searchsorted(starts, np.cumsum([len(d) + 1 for d in data]))
-        ids, lengths = spell_joined(joined(whole, starts[first], ends[first]), len(first), encoder)
+        found, lengths, known = np.zeros(0, np.int32), np.zeros(len(first), np.int64), np.zeros(len(first), bool)
+        offset = np.zeros(len(first), np.int64)
+        if last is not None and len(last.words):
+            at = np.minimum(np.searchsorted(last.words, self.words), len(last.words) - 1)
+            known = last.words[at] == self.words
+            found, n = last.spelled
+            lengths[known], offset[known] = n[at[known]], (np.cumsum(n) - n)[at[known]]
+        new_ids, lengths[~known] = spell_joined(joined(whole, starts[first[~known]], ends[first[~known]]), len(first) - int(known.sum()), encoder)
+        offset[~known] = len(found) + np.cumsum(lengths[~known]) - lengths[~known]
+        ids = np.concatenate([found, new_ids])[np.repeat(offset - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        self.spelled = ids, lengths
         n = lengths[self.where]
         stop = np.cumsum(n)
         offset = np.cumsum(lengths) - lengths
@@ -248,17 +262,21 @@ class Model:
 
     def attend(self, keys: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, ...]:
         """Attention of each query over the window's ids up to its own; q comes back scaled."""
-        w = self.weights
-        q, k, v = taken(w["q"], queries), taken(w["k"], keys), taken(w["v"], keys)
+        q, k = taken(self.weights["q"], queries), taken(self.weights["k"], keys)
         q *= np.float32(DIM**-0.5)
         s = q @ k.transpose(0, 2, 1)
         s += self.bias()
-        if keys.min() < 0:
-            s += np.where(keys < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+        some = np.flatnonzero(keys.min(axis=1) < 0)
+        s[some] += np.where(keys[some] < 0, np.float32(-1e9), np.float32(0))[:, None, :]
         np.minimum(s, 60, out=s)
         np.exp(s, out=s)
         s /= (s @ np.ones(WINDOW, np.float32) + np.float32(1e-30))[:, :, None]
-        return s, s @ v, q, k, v
+        return s, q, k
+
+    def pulls(self) -> tuple[np.ndarray, np.ndarray]:
+        """For weights that stay as they are: exp of each row's product with each key, and exp of ``bias``."""
+        q = apart(self.weights["q"] * np.float32(DIM**-0.5), 16)
+        return np.exp(np.minimum(q @ self.weights["k"].T, 60)).ravel(), np.exp(np.minimum(self.bias(), 20))
 
     def bias(self) -> np.ndarray:
         """The bias of each (query, key) of a window by their distance; keys after the query are masked."""
@@ -266,7 +284,7 @@ class Model:
         return np.where(away >= 0, self.weights["near"][np.maximum(away, 0)], np.float32(-1e9)).astype(np.float32)
 
     def logits(self, queries: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-        z = (mixed @ self.weights["out"]).reshape(-1, CLASSES)
+        z = (together(mixed) @ self.weights["out"]).reshape(-1, CLASSES)
         z += taken(self.base, queries.ravel())
         return np.minimum(z, 60, out=z)
 
@@ -274,20 +292,27 @@ class Model:
         """log10 probability of each id after the first of each sequence."""
         return [logs for logs, _ in self.foresee(sequences)]
 
-    def foresee(self, sequences: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def foresee(self, sequences: list[np.ndarray], pulls: tuple[np.ndarray, ...] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """log10 probabilities of each id after the first, and of any that begins a word or ends the text in its place, many windows at a time."""
         windows, ids = self.windows(sequences), np.concatenate([s[1:] for s in sequences])
+        (pull, near), v = pulls or self.pulls(), self.weights["v"]
         logs, marks = np.empty((len(windows), STRIDE)), np.empty((len(windows), STRIDE), np.float32)
-        for i in range(0, len(windows), 128):
-            w = windows[i : i + 128].astype(np.int64)
+        for i in range(0, len(windows), AT_ONCE):
+            w = windows[i : i + AT_ONCE].astype(np.int64)
             keys, q, to = w[:, :WINDOW], w[:, LEAD:WINDOW], w[:, LEAD + 1 :].ravel()
-            z = self.logits(q, self.attend(keys, q)[1])
+            s = taken(pull, q[:, :, None] * HEADS + keys[:, None, :])
+            s *= near
+            some = np.flatnonzero(keys.min(axis=1) < 0)
+            s[some] *= (keys[some] >= 0)[:, None, :]
+            mixed = s @ taken(v, keys)
+            mixed /= (s @ np.ones(WINDOW, np.float32) + np.float32(1e-30))[:, :, None]
+            z = self.logits(q, mixed)
             q = q.ravel()
             chosen = z.ravel()[np.arange(0, z.size, CLASSES) + taken(self.class_of, to)]
             np.exp(z, out=z)
             total = z @ np.ones(CLASSES, np.float32)
-            logs[i : i + 128] = ((chosen - np.log(total)) / np.log(10) + taken(self.within.ravel(), q * HEADS + to)).reshape(-1, STRIDE)
-            marks[i : i + 128] = (np.einsum("ij,ij->i", z, taken(self.opening, q)) / total).reshape(-1, STRIDE)
+            logs[i : i + AT_ONCE] = ((chosen - np.log(total)) / np.log(10) + taken(self.within.ravel(), q * HEADS + to)).reshape(-1, STRIDE)
+            marks[i : i + AT_ONCE] = (np.einsum("ij,ij->i", z, taken(self.opening, q)) / total).reshape(-1, STRIDE)
         real, ends = windows[:, LEAD + 1 :] >= 0, np.cumsum([len(s) - 1 for s in sequences])[:-1]
         return list(zip(np.split(logs[real] + self.tail[ids], ends), np.split(np.log10(np.clip(marks[real].astype(np.float64), 1e-30, 1)), ends)))
 
@@ -309,46 +334,62 @@ class Model:
         flat = np.concatenate([self.weights[n].ravel() for n in names])
         ends = np.cumsum([self.weights[n].size for n in names])[:-1]
         self.weights = {n: x.reshape(self.weights[n].shape) for n, x in zip(names, np.split(flat, ends))}
-        m, v = np.zeros_like(flat), np.zeros_like(flat)
+        m, v, g, move = (np.zeros_like(flat) for _ in range(4))
         size = min(max(len(own) // ROUND_STEPS, LEAST_BATCH), FIT_BATCH)
         order = np.concatenate([rng.permutation(own) for _ in range(-(-ROUND_STEPS * size // len(own)))])
         steps = -(-len(order) // size)
         for step in range(1, steps + 1):
             rate = 0.02 / (turn + 1) * (1 - step / (steps + 1))
             found = self.gradients(windows[order[(step - 1) * size : step * size]].astype(np.int64))
-            g = np.concatenate([found[n].ravel() for n in names])
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.01) * (g * g - v)
-            g = np.sqrt(v / np.float32(1 - 0.99**step))
+            np.concatenate([found[n].ravel() for n in names], out=g)
+            m += np.multiply(np.subtract(g, m, out=move), np.float32(0.1), out=move)
+            g *= g
+            g -= v
+            v += np.multiply(g, np.float32(0.01), out=g)
+            np.sqrt(np.divide(v, np.float32(1 - 0.99**step), out=g), out=g)
             g += np.float32(1e-6)
-            flat -= np.float32(rate / (1 - 0.9**step)) * m / g
+            np.multiply(m, np.float32(rate / (1 - 0.9**step)), out=move)
+            flat -= np.divide(move, g, out=move)
         return len(windows)
 
     def gradients(self, windows: np.ndarray) -> dict[str, np.ndarray]:
-        keys, queries, targets = windows[:, :WINDOW], windows[:, LEAD:WINDOW], windows[:, LEAD + 1 :]
-        a, mixed, q, k, v = self.attend(keys, queries)
-        z = self.logits(queries, mixed)
-        np.exp(z, out=z)
-        real = targets.ravel() >= 0
-        share = real / np.float32(max(1, real.sum()))
-        z *= (share / (z @ np.ones(CLASSES, np.float32) + np.float32(1e-30)))[:, None]
-        z.ravel()[np.arange(0, z.size, CLASSES) + taken(self.class_of, targets.ravel())] -= share
-        # products of one window each: larger ones would start threads of their own beside Spark's tasks
-        z = z.reshape(*targets.shape, CLASSES)
-        g = {"out": (mixed.transpose(0, 2, 1) @ z).sum(axis=0)}
-        d_mixed = z @ self.weights["out"].T
-        d_s = d_mixed @ v.transpose(0, 2, 1)
-        d_s -= np.einsum("bid,bid->bi", d_mixed, mixed)[:, :, None]
-        d_s *= a
-        away = np.maximum(LEAD + np.arange(STRIDE)[:, None] - np.arange(WINDOW)[None, :], 0)
-        g["near"] = np.bincount(away.ravel(), d_s.sum(axis=0).ravel(), WINDOW)[:WINDOW].astype(np.float32)
+        real, w = (windows[:, LEAD + 1 :] >= 0).sum(), self.weights
         # a place's three rows side by side, so its head is looked up once
-        rows = np.zeros((*keys.shape, 3 * DIM), np.float32)
-        np.matmul(d_s, k, out=rows[:, LEAD:, :DIM])
-        np.matmul(d_s.transpose(0, 2, 1), q, out=rows[:, :, DIM : 2 * DIM])
-        np.matmul(a.transpose(0, 2, 1), d_mixed, out=rows[:, :, 2 * DIM :])
-        found = scatter(keys, rows.reshape(-1, 3 * DIM))
-        return g | {"q": found[:, :DIM] * np.float32(DIM**-0.5), "k": found[:, DIM : 2 * DIM], "v": found[:, 2 * DIM :]}
+        rows, out, near = np.zeros((len(windows), WINDOW, 3 * DIM), np.float32), 0, 0
+        for i in range(0, len(windows), AT_ONCE):
+            keys, queries, targets = (windows[i : i + AT_ONCE, x] for x in (slice(WINDOW), slice(LEAD, WINDOW), slice(LEAD + 1, None)))
+            a, q, k = self.attend(keys, queries)
+            v, row = taken(w["v"], keys), rows[i : i + AT_ONCE]
+            mixed = a @ v
+            z = self.logits(queries, mixed)
+            np.exp(z, out=z)
+            share = (targets.ravel() >= 0) / np.float32(max(1, real))
+            z *= (share / (z @ np.ones(CLASSES, np.float32) + np.float32(1e-30)))[:, None]
+            z.ravel()[np.arange(0, z.size, CLASSES) + taken(self.class_of, targets.ravel())] -= share
+            z = together(z.reshape(len(keys), STRIDE, CLASSES))
+            out = out + (together(mixed).transpose(0, 2, 1) @ z).sum(axis=0)
+            d_mixed = (z @ w["out"].T).reshape(mixed.shape)
+            d_s = d_mixed @ v.transpose(0, 2, 1)
+            d_s -= np.einsum("bid,bid->bi", d_mixed, mixed)[:, :, None]
+            d_s *= a
+            near = near + d_s.sum(axis=0)
+            np.matmul(d_s, k, out=row[:, LEAD:, :DIM])
+            np.matmul(d_s.transpose(0, 2, 1), q, out=row[:, :, DIM : 2 * DIM])
+            np.matmul(a.transpose(0, 2, 1), d_mixed, out=row[:, :, 2 * DIM :])
+        away = np.maximum(LEAD + np.arange(STRIDE)[:, None] - np.arange(WINDOW)[None, :], 0)
+        near = np.bincount(away.ravel(), near.ravel(), WINDOW)[:WINDOW].astype(np.float32)
+        found = scatter(windows[:, :WINDOW], rows.reshape(-1, 3 * DIM))
+        return {"near": near, "out": out, "q": found[:, :DIM] * np.float32(DIM**-0.5), "k": found[:, DIM : 2 * DIM], "v": found[:, 2 * DIM :]}
+
+
+def apart(table: np.ndarray, rows: int) -> np.ndarray:
+    """A table by so many rows at a time: products of at most 2**18 terms stay on the thread of their task, larger ones start others."""
+    return table.reshape(-1, rows, table.shape[-1])
+
+
+def together(windows: np.ndarray) -> np.ndarray:
+    """As many windows at a time as a product with a table of DIM rows and CLASSES columns may have."""
+    return apart(windows, math.gcd(len(windows), 2**18 // (DIM * CLASSES * STRIDE)) * STRIDE)
 
 
 def taken(table: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -357,12 +398,27 @@ def taken(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def scatter(heads: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Gradient rows added up by head; -1 is the last, where masks have left zeros."""
+    """Gradient rows added up by head; -1 is the last, where masks have left zeros.
+
+    The first rows of all heads are added at once, then the second ones, and so on; heads by falling number of rows, so
+    each such layer is a slice.  What is beyond ``LAYERS`` belongs to few heads.
+    """
     h = np.where(heads.ravel() < 0, HEADS - 1, heads.ravel())
     n = np.bincount(h, minlength=HEADS)
-    found, some = np.zeros((HEADS, rows.shape[1]), np.float32), n > 0
-    found[some] = np.add.reduceat(taken(rows, np.argsort(h.astype(np.int16), kind="stable")), (np.cumsum(n) - n)[some], axis=0)
-    return found
+    by_size, place = np.argsort(-n, kind="stable"), np.empty(HEADS, np.int64)
+    place[by_size] = np.arange(HEADS)
+    n, h = n[by_size], place[h]
+    order = np.argsort(h.astype(np.int16), kind="stable")
+    layer = np.minimum(np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n), LAYERS)
+    order = order[np.argsort(layer.astype(np.int16), kind="stable")]
+    ordered, found, at = taken(rows, order), np.zeros((HEADS, rows.shape[1]), np.float32), 0
+    for size in (n[None, :] > np.arange(LAYERS)[:, None]).sum(axis=1).tolist():
+        found[:size] += ordered[at : at + size]
+        at += size
+    more = n[n > LAYERS] - LAYERS
+    if len(more):
+        found[: len(more)] += np.add.reduceat(ordered[at:], np.cumsum(more) - more, axis=0)
+    return found[place]
 
 
 def range_ends(words: np.ndarray, ranges: int) -> np.ndarray:
@@ -374,11 +430,11 @@ def read_blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row for each block, with all that later steps need of its texts."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, made = load_encoder(tokenizer), 0
+        encoder, made, block = load_encoder(tokenizer), 0, None
         for batch in batches(rows):
             for at, texts in slices(batch, chars=BLOCK_CHARS):
                 part = batch.slice(at, len(texts))
-                block = Block(texts, encoder)
+                block = Block(texts, encoder, block)
                 held = np.array(part.column("held_out").to_pylist(), bool)
                 stored = held.tobytes(), block.lengths.astype("<u4").tobytes(), block.ids.tobytes(), block.words.tobytes(), packed(block.where.astype("<u4")), block.ends.astype("<u4").tobytes()
                 number = (TaskContext.get().partitionId() << 24) + made
@@ -532,12 +588,13 @@ def score_blocks(content: DataFrame, model: Model) -> DataFrame:
     spread = content.sparkSession.sparkContext.broadcast(model)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pulls = spread.value.pulls()
         for row in rows_of(found):
-            b, costs = Stored.of(row), []
+            b, costs = Stored.of({c: row[c] for c in ("held", "lengths", "ids")}), []
             sequences = split_at(b.ids, b.lengths)
             for i in range(0, len(sequences), 128):
                 some = sequences[i : i + 128]
-                costs.append(costs_of(some, spread.value.foresee(some), spread.value.starts))
+                costs.append(costs_of(some, spread.value.foresee(some, pulls), spread.value.starts))
             yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["doc_ids"]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (row["held"], row["where"], row["ends"], by_plane(np.concatenate(costs))))], ["block", "doc_ids", "held", "where", "ends", "costs"])
 
     return content.select("block", "doc_ids", "held", "lengths", "ids", "where", "ends").mapInArrow(run, SCORED)
@@ -561,7 +618,8 @@ def mixed(counts: np.ndarray, total: int, before: np.ndarray, costs: np.ndarray,
     known, again = counts / max(1, total), before / np.maximum(place, 1)
     # parts over the product, as long as that can be written so; far beyond, the product adds nothing
     scale = np.maximum(products, -290.0)
-    known, again, own = known * 10.0**-scale, again * 10.0**-scale, 10.0 ** (products - scale)
+    over = (10.0 ** (np.arange(290 * STEPS + 1) / STEPS))[np.minimum(costs, 290 * STEPS)]
+    known, again, own = known * over, again * over, 10.0 ** (products - scale) if (products < scale).any() else 1.0
     whole = np.add.reduceat(scale, at)
     beyond = np.where(known + again == 0, products - scale, 0)
     own = np.where(beyond < 0, 1.0, own)

@@ -272,3 +272,23 @@ def test_readers_hold_few_blocks_at_once(spark, monkeypatch):
     groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in tables[0].inputFiles()]
     sizes = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
     assert sum(sizes) == 20 and max(sizes) <= 2
+
+
+def test_words_of_the_block_before_are_not_spelled_again(monkeypatch):
+    encoder, seen, plain = attention_lm.load_encoder(BYTES), [], attention_lm.spell_joined
+    monkeypatch.setattr(attention_lm, "spell_joined", lambda words, n, enc: (seen.append(words), plain(words, n, enc))[1])
+    last = None
+    for texts, new in ((["red green", "rain red"], {"red", "green", "rain"}), (["", "green blue \xa0b"], {"blue", "\xa0b"}), ([""], set()), (["red"], {"red"})):
+        block, alone = attention_lm.Block(texts, encoder, last), attention_lm.Block(texts, encoder)
+        assert set(seen[-2].decode().split(" ")) - {""} == new
+        assert all((getattr(block, c) == getattr(alone, c)).all() for c in ("words", "where", "ends", "ids", "lengths"))
+        last = block
+
+
+def test_gradient_rows_are_added_up_by_head_however_many_a_head_has():
+    rng = np.random.default_rng(12)
+    for n, heads in ((6000, attention_lm.HEADS), (500, 3), (1, 1)):
+        at, rows = rng.integers(-1, heads, n), rng.integers(-9, 9, (n, 48)).astype(np.float32)
+        want = np.zeros((attention_lm.HEADS, 48))
+        np.add.at(want, at, rows)
+        assert (attention_lm.scatter(at, rows) == want).all()
