@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,32 +34,71 @@ from pyspark.sql import functions as F
 
 from .common import batches, discard, id_remainder, slices, texts_of, written
 
-WORDS = re.compile(r"[^\W\d_]+").findall
-BLOCK, GAP, EXACT = 64, 0.1, 9
+WORDS = re.compile(r"[^\W\d_]+")
+BLOCK, FIRST, GAP, EXACT = 64, 128, 0.1, 9
+#: Factors of a word's first five letters in their hash, of which SIEVE bits are kept.
+FACTORS, SIEVE = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32), 20
 
 
-def terms_of(text: str) -> Counter:
-    """How often each term stands in the text: words, and their openings marked by ^."""
-    words = Counter(WORDS(text.lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        if len(w) > 4:
-            out["^" + w[:4]] += n
-            if len(w) > 5:
-                out["^" + w[:5]] += n
-    return out
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """Of each code point, whether it is a letter of words."""
+    found = np.zeros(0x110000, bool)
+    for m in WORDS.finditer("".join(map(chr, range(len(found))))):
+        found[m.start() : m.end()] = True
+    return found
 
 
-def known_terms(text: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(terms of the vocabulary in their order, how often each stands in the text)."""
-    counts: dict[int, int] = {}
-    get = vocabulary.get
-    for w, n in Counter(WORDS(text.lower())).items():
-        for t in (w, "^" + w[:4], "^" + w[:5]) if len(w) > 5 else (w, "^" + w[:4]) if len(w) > 4 else (w,):
-            if (i := get(t)) is not None:
-                counts[i] = counts.get(i, 0) + n
-    at = sorted(counts)
-    return np.array(at, "i8"), np.array([counts[i] for i in at], "f8")
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def terms_of(text: str, letters: np.ndarray) -> set[str]:
+    """The terms of a text: words, and their openings marked by ^."""
+    x = code_points(text.lower())
+    words = set(np.where(letters[x], x, np.uint32(32)).tobytes().decode("utf-32-le").split())
+    return words.union(["^" + w[:4] for w in words if len(w) > 4], ["^" + w[:5] for w in words if len(w) > 5])
+
+
+@dataclass
+class Finder:
+    """Finds the terms of a vocabulary: ``sieve`` tells by hashes of four and five first letters which words may have any."""
+
+    vocabulary: dict[str, int]
+    letters: np.ndarray
+    sieve: np.ndarray
+
+    @classmethod
+    def of(cls, vocabulary: dict[str, int]) -> Finder:
+        sieve = np.zeros(1 << SIEVE, bool)
+        for t in vocabulary:
+            first = code_points(t[1:] if t.startswith("^") else t[:5])
+            sieve[(first * FACTORS[: len(first)]).sum(dtype=np.uint32) >> (32 - SIEVE)] = True
+        return cls(vocabulary, letters(), sieve)
+
+    def known(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the terms of the vocabulary in their order, and how often each stands in it."""
+        low = [t.lower() for t in texts]
+        whole = "\n".join([*low, "\n" * len(FACTORS)])
+        x = code_points(whole)
+        letter = self.letters[x]
+        edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        edges = np.r_[0, edges] if letter[0] else edges
+        starts, ends = edges[::2], edges[1::2]
+        four = five = np.zeros(len(starts), np.uint32)
+        for i, factor in enumerate(FACTORS):
+            four, five = five, five + x[starts + i] * (ends - starts > i) * factor
+        some = np.flatnonzero(self.sieve[four >> np.uint32(32 - SIEVE)] | self.sieve[five >> np.uint32(32 - SIEVE)])
+        of = np.searchsorted(np.cumsum([len(t) + 1 for t in low]), starts[some], side="right")
+        found: list[dict[int, int]] = [{} for _ in texts]
+        get = self.vocabulary.get
+        for text, start, end in zip(of.tolist(), starts[some].tolist(), ends[some].tolist()):
+            w, counts = whole[start:end], found[text]
+            for t in (w, "^" + w[:4], "^" + w[:5]) if len(w) > 5 else (w, "^" + w[:4]) if len(w) > 4 else (w,):
+                if (i := get(t)) is not None:
+                    counts[i] = counts.get(i, 0) + 1
+        ordered = [sorted(counts) for counts in found]
+        return [(np.array(at, "i8"), np.array([counts[i] for i in at], "f8")) for at, counts in zip(ordered, found)]
 
 
 def runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -71,7 +111,7 @@ def runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Index:
     """Unit vectors of labelled examples, as postings by term and block of BLOCK examples."""
 
-    vocabulary: dict[str, int]
+    finder: Finder
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
@@ -99,7 +139,7 @@ class Index:
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, "i8")
         bounds = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
         lists = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))
-        return cls(vocabulary, idf, ids, labels.astype("f8"), lists, example[first] // BLOCK, bounds, np.r_[first, len(key)], example, weight)
+        return cls(Finder.of(vocabulary), idf, ids, labels.astype("f8"), lists, example[first] // BLOCK, bounds, np.r_[first, len(key)], example, weight)
 
     @staticmethod
     def vector(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -116,33 +156,32 @@ class Index:
         place = np.empty(len(order), "i8")
         place[order] = np.arange(len(order))
         rank = place[self.blocks[lists]]
-        by_rank = np.argsort(rank, kind="stable")
-        lists, q, rank = lists[by_rank], q[by_rank], rank[by_rank]
         best_i, best_s = np.zeros(0, "i8"), np.zeros(0)
-        start, step = 0, 8
+        start, step = 0, FIRST
         while start < len(order) and bound[order[start]] > 0 and (len(best_s) < k or bound[order[start]] >= best_s[-1] - 10.0**-EXACT):
-            a, b = np.searchsorted(rank, (start, start + step))
-            first = self.postings[lists[a:b]]
-            size = self.postings[lists[a:b] + 1] - first
+            here = np.flatnonzero((rank >= start) & (rank < start + step))
+            first = self.postings[lists[here]]
+            size = self.postings[lists[here] + 1] - first
             opened = runs(first, size)
-            here = np.repeat((rank[a:b] - start) * BLOCK, size) + self.examples[opened] % BLOCK
-            s = np.bincount(here, np.repeat(q[a:b], size) * self.weights[opened])
+            at = np.repeat((rank[here] - start) * BLOCK, size) + self.examples[opened] % BLOCK
+            s = np.bincount(at, np.repeat(q[here], size) * self.weights[opened])
             some = np.flatnonzero(s)
-            i, s = order[start + some // BLOCK] * BLOCK + some % BLOCK, np.round(s[some], EXACT)
+            if len(best_s) == k:
+                some = some[s[some] >= best_s[-1] - 10.0**-EXACT]
+            i, s = order[start + some // BLOCK] * BLOCK + some % BLOCK, s[some]
             if without >= 0:
                 i, s = i[i != without], s[i != without]
-            i, s = np.concatenate([best_i, i]), np.concatenate([best_s, s])
             if len(i) > k:
-                worst = np.partition(s, len(s) - k)[len(s) - k]
-                i, s = i[s >= worst], s[s >= worst]
+                near = s >= np.partition(s, len(s) - k)[len(s) - k] - 2 * 10.0**-EXACT
+                i, s = i[near], s[near]
+            i, s = np.concatenate([best_i, i]), np.concatenate([best_s, np.round(s, EXACT)])
             first = np.lexsort((i, -s))[:k]
             best_i, best_s = i[first], s[first]
             start, step = start + step, step * 2
         return best_i, best_s
 
-    def votes(self, text: str, k: int, without: int = -1) -> tuple[float | None, np.ndarray]:
-        """(share of toxic votes or None without neighbours, the examples that voted)."""
-        at, n = known_terms(text, self.vocabulary)
+    def votes(self, at: np.ndarray, n: np.ndarray, k: int, without: int = -1) -> tuple[float | None, np.ndarray]:
+        """(share of toxic votes or None without neighbours, the examples that voted) for a text with these terms."""
         if not len(at):
             return None, at
         i, s = self.nearest(at, n, k, without)
@@ -151,8 +190,8 @@ class Index:
         w = 1 / (np.sqrt(np.maximum(2 - 2 * s, 0)) + GAP)
         return float(w @ self.labels[i] / w.sum()), i
 
-    def score(self, text: str, k: int) -> tuple[float, list[int]]:
-        share, i = self.votes(text, k)
+    def score(self, at: np.ndarray, n: np.ndarray, k: int) -> tuple[float, list[int]]:
+        share, i = self.votes(at, n, k)
         if share is None:
             return self.bare, []
         return float(1 / (1 + math.exp(-(self.slope * share + self.offset)))), self.ids[i].tolist()
@@ -182,6 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 11, max_labe
     sample = texts_of(docs).join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     sample = written(sample, "labelled")
 
+    table = spark.sparkContext.broadcast(letters())
+
     def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = (Counter(), Counter())
         for batch in batches(found):
@@ -189,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 11, max_labe
             for at, texts in slices(batch):
                 for mark, text in zip(marks[at:], texts):
                     n[mark > 0].update({"": 1})
-                    n[mark > 0].update(terms_of(text).keys())
+                    n[mark > 0].update(terms_of(text, table.value))
         terms = list(n[0].keys() | n[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([n[1][t] for t in terms], pa.int64()), pa.array([n[0][t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
@@ -201,15 +242,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 11, max_labe
     chi2 = F.when(below > 0, (toxic + clean) * F.pow((a * d - b * c).cast("double"), 2) / below).otherwise(0.0)
     kept = counts.where("term <> ''").where(((a + b) >= min_rows) & (chi2 >= min_chi2)).select("term")
     vocabulary = {t: i for i, t in enumerate(sorted(r["term"] for r in kept.collect()))}
-    spread = spark.sparkContext.broadcast(vocabulary)
+    spread = spark.sparkContext.broadcast(Finder.of(vocabulary))
 
     def frequencies(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(spread.value) + 1, "i8")
+        df = np.zeros(len(spread.value.vocabulary) + 1, "i8")
         for batch in batches(found):
             for _, texts in slices(batch):
                 df[-1] += len(texts)
-                for text in texts:
-                    df[known_terms(text, spread.value)[0]] += 1
+                for at, _ in spread.value.known(texts):
+                    df[at] += 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["at", "n"])
 
@@ -219,10 +260,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 11, max_labe
 
     def vectors(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(found):
-            held = [known_terms(t, spread.value) for _, texts in slices(batch) for t in texts]
+            held = [x for _, texts in slices(batch) for x in spread.value.known(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([at for at, _ in held], pa.list_(pa.int64())), pa.array([n for _, n in held], pa.list_(pa.float64()))], ["doc_id", "label", "at", "n"])
 
-    made = sample.mapInArrow(vectors, "doc_id long, label int, at array<long>, n array<double>").orderBy("doc_id").collect()
+    made = sample.mapInArrow(vectors, "doc_id long, label int, at array<long>, n array<double>").collect()
+    made.sort(key=lambda r: r["doc_id"])
     held = [(np.array(r["at"], "i8"), np.array(r["n"], "f8")) for r in made]
     label = np.array([r["label"] > 0 for r in made], "f8")
     index = Index.build(vocabulary, np.log((df[-1] + 1) / (df[:-1] + 1)) + 1, np.array([r["doc_id"] for r in made], "i8"), label, held)
@@ -231,10 +273,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 11, max_labe
     def left_out(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(found):
             at = np.searchsorted(shared.value.ids, batch.column("doc_id").to_numpy())
-            shares = [shared.value.votes(t, k, int(at[start + i]))[0] for start, texts in slices(batch) for i, t in enumerate(texts)]
+            shares = [shared.value.votes(*x, k, int(at[start + i]))[0] for start, texts in slices(batch) for i, x in enumerate(shared.value.finder.known(texts))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(shares, pa.float64())], ["doc_id", "label", "share"])
 
-    voted = sample.mapInArrow(left_out, "doc_id long, label int, share double").orderBy("doc_id").collect()
+    voted = sample.mapInArrow(left_out, "doc_id long, label int, share double").collect()
+    voted.sort(key=lambda r: r["doc_id"])
     some = np.array([r["share"] is not None for r in voted], bool)
     if some.any():
         index.slope, index.offset = logistic(np.array([r["share"] for r in voted if r["share"] is not None]), label[some])
@@ -251,7 +294,7 @@ def score(docs: DataFrame, index: Index, k: int = 11, *keep: str) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             for at, texts in slices(batch):
-                done = [spread.value.score(t, k) for t in texts]
+                done = [spread.value.score(*x, k) for x in spread.value.finder.known(texts)]
                 part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *keep)), pa.array([s for s, _ in done], pa.float64()), pa.array([e for _, e in done], pa.list_(pa.int64()))], ["doc_id", *keep, "score", "evidence"])
 

@@ -292,3 +292,13 @@ def test_gradient_rows_are_added_up_by_head_however_many_a_head_has():
         want = np.zeros((attention_lm.HEADS, 48))
         np.add.at(want, at, rows)
         assert (attention_lm.scatter(at, rows) == want).all()
+
+
+def test_terms_of_many_texts_at_once_are_those_of_each(spark):
+    texts = ["Red redder REDDEST, red_red 12red", "", "\n\n", "x", "İstanbul ΣΑΣ straße", "x²y ǅa 漢字 é", "bluebird\nblueb blue", "blu" * 3000]
+    words = {t: re.findall(r"[^\W\d_]+", t.lower()) for t in texts}
+    each = {t: Counter(x for w in ws for x in [w, *(["^" + w[:4]] if len(w) > 4 else []), *(["^" + w[:5]] if len(w) > 5 else [])]) for t, ws in words.items()}
+    assert all(toxic_knn.terms_of(t, toxic_knn.letters()) == set(each[t]) for t in texts)
+    vocabulary = {t: i for i, t in enumerate(sorted({"red", "^redd", "^redde", "x", "漢字", "blue", "^blue", "^blueb", "straße", "σας", "unseen"}))}
+    for (at, n), t in zip(toxic_knn.Finder.of(vocabulary).known(texts), texts, strict=True):
+        assert dict(zip(at.tolist(), n.tolist())) == {vocabulary[x]: c for x, c in each[t].items() if x in vocabulary} and at.tolist() == sorted(at)
