@@ -37,7 +37,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -59,10 +58,16 @@ BLOCK_CHARS, BLOCKS_A_RANGE = 2_000_000, 16
 BLOCKS_A_GROUP = 2
 ROUNDS, ROUND_STEPS, LEAST_BATCH, FIT_BATCH, SEED = 2, 75, 32, 256, 7
 #: Windows worked on at once; rows of a head that are added up layer by layer.
-AT_ONCE, LAYERS = 512, 16
+AT_ONCE, LAYERS = 256, 16
+#: How far back each key of a window is from each query; below 0 it comes after.
+AWAY = LEAD + np.arange(STRIDE)[:, None] - np.arange(WINDOW)[None, :]
+#: Exponents beyond this are cut; looking for them is left out where weights are too small for any.
+MOST = np.float32(60)
 #: Shares of the word counts and of the text so far in a token's probability; steps of log10 in which products move.
 SHARES = [(w * (1 - q), q) for w in (0.2, 0.5, 0.8) for q in (0.02, 0.1, 0.4)]
 STEPS = 256
+#: Words that a task keeps with their spelling; numbers that are added up side by side.
+KEPT, SIDE = 2**19, 1024
 #: Weights are added up as whole numbers of this fraction.
 GRAIN = 2.0**-24
 VOCAB, END = 50_257, 50_256
@@ -77,12 +82,13 @@ INNER_GAPS = re.compile(f"[{GAPS}]")
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Small numbers; hashes and ids would not get much smaller."""
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+    """Small numbers, after the number of their bytes; hashes and ids would not get much smaller."""
+    data = np.ascontiguousarray(x).tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
 
 
 def unpacked(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
+    return np.frombuffer(pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little")), kind)
 
 
 def by_plane(x: np.ndarray) -> bytes:
@@ -99,11 +105,11 @@ class Block:
 
     words: sorted hashes of the distinct words; where: place in ``words`` of every word of every text, one after the
     other; ends: where each text's words end in it; ids: subword ids of all texts, each between two end marks; lengths:
-    how many of them are each text's; spelled: subword ids of the distinct words, and how many are each word's.  Words of
-    the block ``last`` are spelled as there.
+    how many of them are each text's; spelled: subword ids, and where each distinct word's begin in them and how many they
+    are; new: the same words, ids and numbers of those that ``last``, a block or what is known of several, has not spelled.
     """
 
-    def __init__(self, texts: list[str], encoder, last: Block | None = None):
+    def __init__(self, texts: list[str], encoder, last: Block | Known | None = None):
         data = [lowered(t) for t in texts]
         whole = b"\n".join(data)
         hashes, starts, ends = words_in(whole)
@@ -119,15 +125,15 @@ class Block:
         if last is not None and len(last.words):
             at = np.minimum(np.searchsorted(last.words, self.words), len(last.words) - 1)
             known = last.words[at] == self.words
-            found, n = last.spelled
-            lengths[known], offset[known] = n[at[known]], (np.cumsum(n) - n)[at[known]]
-        new_ids, lengths[~known] = spell_joined(joined(whole, starts[first[~known]], ends[first[~known]]), len(first) - int(known.sum()), encoder)
-        offset[~known] = len(found) + np.cumsum(lengths[~known]) - lengths[~known]
+            found, begins, n = last.spelled
+            lengths[known], offset[known] = n[at[known]], begins[at[known]]
+        new_ids, new_lengths = spell_joined(joined(whole, starts[first[~known]], ends[first[~known]]), len(first) - int(known.sum()), encoder)
+        lengths[~known], offset[~known] = new_lengths, len(found) + np.cumsum(new_lengths) - new_lengths
         ids = np.concatenate([found, new_ids])[np.repeat(offset - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
-        self.spelled = ids, lengths
         n = lengths[self.where]
         stop = np.cumsum(n)
         offset = np.cumsum(lengths) - lengths
+        self.spelled, self.new = (ids, offset, lengths), (self.words[~known], new_ids, new_lengths)
         flat = ids[np.repeat(offset[self.where] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
         at = np.r_[0, stop][np.r_[0, self.ends]]
         self.lengths = np.diff(at) + 2
@@ -138,6 +144,23 @@ class Block:
         self.ids[inner] = flat
 
 
+class Known:
+    """The words of several blocks, at most about ``KEPT`` of them, as a block has them."""
+
+    def __init__(self):
+        self.words, self.spelled = np.zeros(0, np.uint64), (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def add(self, block: Block) -> None:
+        """Also the new words of a block that was made with these; where they would be too many, only all words of the block."""
+        words, found, n = block.new
+        if len(self.words) + len(words) > KEPT:
+            self.words, self.spelled = block.words, block.spelled
+            return
+        at, (ids, begins, lengths) = np.searchsorted(self.words, words), self.spelled
+        self.words = np.insert(self.words, at, words)
+        self.spelled = np.r_[ids, found], np.insert(begins, at, len(ids) + np.cumsum(n) - n), np.insert(lengths, at, n)
+
+
 def spelled(text: str) -> str:
     return INNER_GAPS.sub(lambda m: "\u00b7" + chr(ord("a") + GAPS.index(m[0])), text)
 
@@ -161,7 +184,7 @@ def spell_joined(words: bytes, n: int, encoder) -> tuple[np.ndarray, np.ndarray]
     if not n:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
     text = spelled(words.decode())
-    ids = np.array(encoder.encode_ordinary(text), np.int32)
+    ids = encoder.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
     first = np.flatnonzero(opens(encoder)[ids])
     if len(first) == n:
         return ids, np.diff(np.r_[first, len(ids)])
@@ -266,27 +289,31 @@ class Model:
         q *= np.float32(DIM**-0.5)
         s = q @ k.transpose(0, 2, 1)
         s += self.bias()
-        some = np.flatnonzero(keys.min(axis=1) < 0)
+        # only before a sequence: what fills up its end comes after every query that counts
+        some = np.flatnonzero(keys[:, 0] < 0)
         s[some] += np.where(keys[some] < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-        np.minimum(s, 60, out=s)
+        if not largest(self.weights["q"]) * largest(self.weights["k"]) * DIM**0.5 + largest(self.weights["near"]) < MOST:
+            np.minimum(s, MOST, out=s)
         np.exp(s, out=s)
-        s /= (s @ np.ones(WINDOW, np.float32) + np.float32(1e-30))[:, :, None]
+        s /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32) + np.float32(1e-30)).reshape(-1, STRIDE, 1)
         return s, q, k
 
     def pulls(self) -> tuple[np.ndarray, np.ndarray]:
         """For weights that stay as they are: exp of each row's product with each key, and exp of ``bias``."""
         q = apart(self.weights["q"] * np.float32(DIM**-0.5), 16)
-        return np.exp(np.minimum(q @ self.weights["k"].T, 60)).ravel(), np.exp(np.minimum(self.bias(), 20))
+        return np.exp(np.minimum(q @ self.weights["k"].T, MOST)).ravel(), np.exp(np.minimum(self.bias(), 20))
 
     def bias(self) -> np.ndarray:
         """The bias of each (query, key) of a window by their distance; keys after the query are masked."""
-        away = LEAD + np.arange(STRIDE)[:, None] - np.arange(WINDOW)[None, :]
-        return np.where(away >= 0, self.weights["near"][np.maximum(away, 0)], np.float32(-1e9)).astype(np.float32)
+        return np.where(AWAY >= 0, self.weights["near"][np.maximum(AWAY, 0)], np.float32(-1e9))
 
     def logits(self, queries: np.ndarray, mixed: np.ndarray) -> np.ndarray:
         z = (together(mixed) @ self.weights["out"]).reshape(-1, CLASSES)
         z += taken(self.base, queries.ravel())
-        return np.minimum(z, 60, out=z)
+        # values are mixed by shares, and the base are logs of shares
+        if not largest(self.weights["v"]) * largest(self.weights["out"]) * DIM < MOST:
+            np.minimum(z, MOST, out=z)
+        return z
 
     def score(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         """log10 probability of each id after the first of each sequence."""
@@ -295,26 +322,29 @@ class Model:
     def foresee(self, sequences: list[np.ndarray], pulls: tuple[np.ndarray, ...] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """log10 probabilities of each id after the first, and of any that begins a word or ends the text in its place, many windows at a time."""
         windows, ids = self.windows(sequences), np.concatenate([s[1:] for s in sequences])
-        (pull, near), v = pulls or self.pulls(), self.weights["v"]
+        (pull, near), v, within = pulls or self.pulls(), self.weights["v"], self.within.ravel()
         logs, marks = np.empty((len(windows), STRIDE)), np.empty((len(windows), STRIDE), np.float32)
         for i in range(0, len(windows), AT_ONCE):
-            w = windows[i : i + AT_ONCE].astype(np.int64)
+            w = windows[i : i + AT_ONCE].astype(np.intp)
             keys, q, to = w[:, :WINDOW], w[:, LEAD:WINDOW], w[:, LEAD + 1 :].ravel()
-            s = taken(pull, q[:, :, None] * HEADS + keys[:, None, :])
+            rows = q * HEADS
+            s = taken(pull, rows[:, :, None] + keys[:, None, :])
             s *= near
-            some = np.flatnonzero(keys.min(axis=1) < 0)
+            some = np.flatnonzero(keys[:, 0] < 0)
             s[some] *= (keys[some] >= 0)[:, None, :]
             mixed = s @ taken(v, keys)
-            mixed /= (s @ np.ones(WINDOW, np.float32) + np.float32(1e-30))[:, :, None]
+            mixed /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32) + np.float32(1e-30)).reshape(-1, STRIDE, 1)
             z = self.logits(q, mixed)
             q = q.ravel()
             chosen = z.ravel()[np.arange(0, z.size, CLASSES) + taken(self.class_of, to)]
             np.exp(z, out=z)
             total = z @ np.ones(CLASSES, np.float32)
-            logs[i : i + AT_ONCE] = ((chosen - np.log(total)) / np.log(10) + taken(self.within.ravel(), q * HEADS + to)).reshape(-1, STRIDE)
-            marks[i : i + AT_ONCE] = (np.einsum("ij,ij->i", z, taken(self.opening, q)) / total).reshape(-1, STRIDE)
-        real, ends = windows[:, LEAD + 1 :] >= 0, np.cumsum([len(s) - 1 for s in sequences])[:-1]
-        return list(zip(np.split(logs[real] + self.tail[ids], ends), np.split(np.log10(np.clip(marks[real].astype(np.float64), 1e-30, 1)), ends)))
+            logs[i : i + AT_ONCE] = ((chosen - np.log(total)) / np.log(10) + taken(within, rows.ravel() + to)).reshape(-1, STRIDE)
+            z *= taken(self.opening, q)
+            marks[i : i + AT_ONCE] = (z @ np.ones(CLASSES, np.float32) / total).reshape(-1, STRIDE)
+        real, ends = np.flatnonzero(windows[:, LEAD + 1 :] >= 0), np.cumsum([len(s) - 1 for s in sequences])[:-1]
+        opened = np.log(np.clip(marks.ravel()[real], np.float32(1e-30), np.float32(1))) / np.log(10)
+        return list(zip(np.split(logs.ravel()[real] + self.tail[ids], ends), np.split(opened, ends)))
 
     def fit(self, sequences: list[np.ndarray]) -> Model:
         """All rounds over one block."""
@@ -335,13 +365,15 @@ class Model:
         ends = np.cumsum([self.weights[n].size for n in names])[:-1]
         self.weights = {n: x.reshape(self.weights[n].shape) for n, x in zip(names, np.split(flat, ends))}
         m, v, g, move = (np.zeros_like(flat) for _ in range(4))
+        parts = {n: x.reshape(self.weights[n].shape) for n, x in zip(names, np.split(g, ends))}
         size = min(max(len(own) // ROUND_STEPS, LEAST_BATCH), FIT_BATCH)
         order = np.concatenate([rng.permutation(own) for _ in range(-(-ROUND_STEPS * size // len(own)))])
         steps = -(-len(order) // size)
         for step in range(1, steps + 1):
             rate = 0.02 / (turn + 1) * (1 - step / (steps + 1))
             found = self.gradients(windows[order[(step - 1) * size : step * size]].astype(np.int64))
-            np.concatenate([found[n].ravel() for n in names], out=g)
+            for n, part in parts.items():
+                part[...] = found[n]
             m += np.multiply(np.subtract(g, m, out=move), np.float32(0.1), out=move)
             g *= g
             g -= v
@@ -354,8 +386,9 @@ class Model:
 
     def gradients(self, windows: np.ndarray) -> dict[str, np.ndarray]:
         real, w = (windows[:, LEAD + 1 :] >= 0).sum(), self.weights
-        # a place's three rows side by side, so its head is looked up once
-        rows, out, near = np.zeros((len(windows), WINDOW, 3 * DIM), np.float32), 0, 0
+        # a place's three rows side by side, so its head is looked up once; the first places are no queries
+        rows, out, near = np.empty((len(windows), WINDOW, 3 * DIM), np.float32), 0, 0
+        rows[:, :LEAD, :DIM] = 0
         for i in range(0, len(windows), AT_ONCE):
             keys, queries, targets = (windows[i : i + AT_ONCE, x] for x in (slice(WINDOW), slice(LEAD, WINDOW), slice(LEAD + 1, None)))
             a, q, k = self.attend(keys, queries)
@@ -376,10 +409,10 @@ class Model:
             np.matmul(d_s, k, out=row[:, LEAD:, :DIM])
             np.matmul(d_s.transpose(0, 2, 1), q, out=row[:, :, DIM : 2 * DIM])
             np.matmul(a.transpose(0, 2, 1), d_mixed, out=row[:, :, 2 * DIM :])
-        away = np.maximum(LEAD + np.arange(STRIDE)[:, None] - np.arange(WINDOW)[None, :], 0)
-        near = np.bincount(away.ravel(), near.ravel(), WINDOW)[:WINDOW].astype(np.float32)
+        near = np.bincount(np.maximum(AWAY, 0).ravel(), near.ravel(), WINDOW)[:WINDOW].astype(np.float32)
         found = scatter(windows[:, :WINDOW], rows.reshape(-1, 3 * DIM))
-        return {"near": near, "out": out, "q": found[:, :DIM] * np.float32(DIM**-0.5), "k": found[:, DIM : 2 * DIM], "v": found[:, 2 * DIM :]}
+        found[:, :DIM] *= np.float32(DIM**-0.5)
+        return {"near": near, "out": out, "q": found[:, :DIM], "k": found[:, DIM : 2 * DIM], "v": found[:, 2 * DIM :]}
 
 
 def apart(table: np.ndarray, rows: int) -> np.ndarray:
@@ -392,6 +425,10 @@ def together(windows: np.ndarray) -> np.ndarray:
     return apart(windows, math.gcd(len(windows), 2**18 // (DIM * CLASSES * STRIDE)) * STRIDE)
 
 
+def largest(numbers: np.ndarray) -> float:
+    return max(float(numbers.max()), -float(numbers.min()))
+
+
 def taken(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows of a table; -1 is the last."""
     return np.take(table, at, axis=0, mode="wrap")
@@ -400,19 +437,20 @@ def taken(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 def scatter(heads: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Gradient rows added up by head; -1 is the last, where masks have left zeros.
 
-    The first rows of all heads are added at once, then the second ones, and so on; heads by falling number of rows, so
-    each such layer is a slice.  What is beyond ``LAYERS`` belongs to few heads.
+    The first rows of all heads are added at once, then the second ones, and so on; heads with more than ``LAYERS``
+    rows come first and the others by falling number of rows, so each such layer is a slice.  What is beyond ``LAYERS`` belongs to few heads.
     """
-    h = np.where(heads.ravel() < 0, HEADS - 1, heads.ravel())
+    h = heads.ravel().astype(np.int16)
+    h[h < 0] = HEADS - 1
     n = np.bincount(h, minlength=HEADS)
-    by_size, place = np.argsort(-n, kind="stable"), np.empty(HEADS, np.int64)
+    by_size, place = np.argsort((-np.minimum(n, LAYERS + 1)).astype(np.int8), kind="stable"), np.empty(HEADS, np.int16)
     place[by_size] = np.arange(HEADS)
-    n, h = n[by_size], place[h]
-    order = np.argsort(h.astype(np.int16), kind="stable")
+    n, h = n[by_size], taken(place, h)
+    order = np.argsort(h, kind="stable")
     layer = np.minimum(np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n), LAYERS)
-    order = order[np.argsort(layer.astype(np.int16), kind="stable")]
+    order = order[np.argsort(layer.astype(np.int8), kind="stable")]
     ordered, found, at = taken(rows, order), np.zeros((HEADS, rows.shape[1]), np.float32), 0
-    for size in (n[None, :] > np.arange(LAYERS)[:, None]).sum(axis=1).tolist():
+    for size in (HEADS - np.cumsum(np.bincount(np.minimum(n, LAYERS)))[:LAYERS]).tolist():
         found[:size] += ordered[at : at + size]
         at += size
     more = n[n > LAYERS] - LAYERS
@@ -430,13 +468,14 @@ def read_blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row for each block, with all that later steps need of its texts."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, made, block = load_encoder(tokenizer), 0, None
+        encoder, made, known = load_encoder(tokenizer), 0, Known()
         for batch in batches(rows):
             for at, texts in slices(batch, chars=BLOCK_CHARS):
                 part = batch.slice(at, len(texts))
-                block = Block(texts, encoder, block)
+                block = Block(texts, encoder, known)
+                known.add(block)
                 held = np.array(part.column("held_out").to_pylist(), bool)
-                stored = held.tobytes(), block.lengths.astype("<u4").tobytes(), block.ids.tobytes(), block.words.tobytes(), packed(block.where.astype("<u4")), block.ends.astype("<u4").tobytes()
+                stored = held.tobytes(), block.lengths.astype("<u4").tobytes(), block.ids.tobytes(), block.words.tobytes(), by_plane(block.where), block.ends.astype("<u4").tobytes()
                 number = (TaskContext.get().partitionId() << 24) + made
                 made += 1
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in stored)], ["block", "doc_ids", *PACKS])
@@ -458,7 +497,7 @@ class Stored:
     @classmethod
     def of(cls, row: dict) -> Stored:
         kinds = dict(zip(PACKS, ("?", "<u4", "<u2", "<u8", "<u4", "<u4")))
-        found = {c: (unpacked if c == "where" else np.frombuffer)(row[c], k) if c in row else None for c, k in kinds.items()}
+        found = {c: (from_planes(row[c]) if c == "where" else np.frombuffer(row[c], k)) if c in row else None for c, k in kinds.items()}
         return cls(**{c: x.astype(np.int64) if c in ("lengths", "where", "ends") and x is not None else x for c, x in found.items()})
 
     def taught(self) -> list[np.ndarray]:
@@ -508,10 +547,11 @@ def answer_counts(asked: DataFrame) -> DataFrame:
 
 
 def added(content: DataFrame, each: Callable[[Stored], tuple], size: int, wide: bool = False) -> np.ndarray:
-    """Sum of what ``each`` gives for a block (places, whole numbers): tasks add up what they read, Spark adds the tasks' sums.
+    """Sum of what ``each`` gives for a block (places, whole numbers): tasks add up what they read, and then ``SIDE`` neighbours'
+    sums of all tasks, one after the other.
 
-    What comes to the driver has at most ``size`` rows, whatever the corpus.  ``wide`` numbers are added in two halves, which
-    hold what a long doesn't, and come back as the nearest doubles.
+    What comes to the driver has at most ``size`` numbers, whatever the corpus.  They are added in two halves, which
+    hold what a long doesn't; ``wide`` ones come back as the nearest doubles.
     """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,13 +559,21 @@ def added(content: DataFrame, each: Callable[[Stored], tuple], size: int, wide:
         for row in rows_of(found):
             at, n = each(Stored.of(row))
             total[at] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
+        parts = np.unique(np.flatnonzero(total) // SIDE).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([packed(total[p * SIDE : (p + 1) * SIDE]) for p in parts], pa.binary())], ["part", "n"])
+
+    def add(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for row in rows_of(found):
+            n = unpacked(row["n"], "<i8")
+            sums[row["part"]] = sums.get(row["part"], 0) + np.stack([n >> 32, n & 2**32 - 1])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "n"])
 
-    sums = {"high": F.sum(F.shiftright("n", 32)), "low": F.sum(F.col("n").bitwiseAND(2**32 - 1))} if wide else {"n": F.sum("n")}
-    found = content.select("held", "lengths", "ids").mapInArrow(run, "at long, n long").groupBy("at").agg(*(x.alias(c) for c, x in sums.items())).toArrow()
+    found = content.select("held", "lengths", "ids").mapInArrow(run, "part long, n binary").repartition("part").mapInArrow(add, "part long, n binary").toArrow()
     total = np.zeros(size, np.float64 if wide else np.int64)
-    total[found.column("at").to_numpy()] = [float((h << 32) + x) for h, x in zip(*(found.column(c).to_pylist() for c in sums))] if wide else found.column("n").to_numpy()
+    for part, data in zip(*(found.column(c).to_pylist() for c in ("part", "n"))):
+        high, low = np.frombuffer(data, "<i8").reshape(2, -1)
+        total[part * SIDE : part * SIDE + len(low)] = [float((h << 32) + x) for h, x in zip(high.tolist(), low.tolist())] if wide else (high << 32) + low
     return total
 
 
@@ -603,8 +651,14 @@ def score_blocks(content: DataFrame, model: Model) -> DataFrame:
 def seen_before(texts: np.ndarray, where: np.ndarray, words: int) -> np.ndarray:
     """How often each word stands earlier in its own text."""
     key = texts * max(1, words) + where
-    order = np.argsort(key, kind="stable")
-    ordered, place = key[order], np.arange(len(key))
+    # numbers of key and place sort faster than places do by key
+    place, bits = np.arange(len(key)), len(key).bit_length()
+    if len(key) and int(key.max()).bit_length() + bits < 64:
+        both = np.sort(key << bits | place)
+        ordered, order = both >> bits, both & (1 << bits) - 1
+    else:
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
     first = np.maximum.accumulate(np.where(np.r_[True, ordered[1:] != ordered[:-1]][: len(key)], place, 0))
     found = np.empty(len(key), np.int64)
     found[order] = place - first
@@ -642,7 +696,7 @@ def report(scored: DataFrame, totals: DataFrame, end_count: int, total: int) ->
         for row in rows.to_pylist():
             ends = np.frombuffer(row["ends"], "<u4").astype(np.int64)
             # the end is a token after each text's words
-            where = unpacked(row["where"], "<u4").astype(np.int64)
+            where = from_planes(row["where"]).astype(np.int64)
             before = seen_before(np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends])), where, len(counts))
             c, before = np.insert(counts[where].astype(np.int64), ends, end_count), np.insert(before, ends, 0)
             ends = ends + np.arange(1, len(ends) + 1)

@@ -285,6 +285,35 @@ def test_words_of_the_block_before_are_not_spelled_again(monkeypatch):
         last = block
 
 
+def test_words_of_any_block_of_a_task_are_not_spelled_again(monkeypatch):
+    encoder, seen, plain = attention_lm.load_encoder(BYTES), [], attention_lm.spell_joined
+    monkeypatch.setattr(attention_lm, "spell_joined", lambda words, n, enc: (seen.append(words), plain(words, n, enc))[1])
+    for kept, third in ((100, {"rain"}), (4, {"red", "rain"})):
+        monkeypatch.setattr(attention_lm, "KEPT", kept)
+        known = attention_lm.Known()
+        for texts, new in ((["red green", "unbelievably red"], {"red", "green", "unbelievably"}), (["blue \xa0b"], {"blue", "\xa0b"}), (["rain red blue", ""], third), ([""], set())):
+            block, alone = attention_lm.Block(texts, encoder, known), attention_lm.Block(texts, encoder)
+            known.add(block)
+            assert set(seen[-2].decode().split(" ")) - {""} == new
+            assert all((getattr(block, c) == getattr(alone, c)).all() for c in ("words", "where", "ends", "ids", "lengths"))
+
+
+def test_sums_may_be_of_either_sign_and_span_several_rows(spark):
+    pack = lambda kind, *x: F.lit(np.array(x, kind).tobytes())
+    content = spark.range(0, 6, 1, 3).select(pack("?", False).alias("held"), pack("<u4", 2).alias("lengths"), pack("<u2", attention_lm.END, attention_lm.END).alias("ids"))
+    got = attention_lm.added(content, lambda b: (slice(1, 4000), np.arange(1, 4000) - 2000), 4000)
+    assert got.tolist() == [0, *(6 * (np.arange(1, 4000) - 2000)).tolist()]
+
+
+def test_weights_beyond_the_bounds_of_exponents_give_numbers():
+    model, _ = small_model([np.r_[attention_lm.END, np.arange(300), attention_lm.END].astype(np.int32)])
+    for c in ("q", "k", "v", "out"):
+        model.weights[c] = model.weights[c] * np.float32(100)
+    [(logs, marks)] = model.foresee([np.arange(60, dtype=np.int32)])
+    found = model.gradients(model.windows([np.arange(60, dtype=np.int32)]).astype(np.int64))
+    assert np.isfinite(logs).all() and np.isfinite(marks).all() and all(np.isfinite(x).all() for x in found.values())
+
+
 def test_gradient_rows_are_added_up_by_head_however_many_a_head_has():
     rng = np.random.default_rng(12)
     for n, heads in ((6000, attention_lm.HEADS), (500, 3), (1, 1)):
