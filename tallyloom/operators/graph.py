@@ -38,10 +38,11 @@ def modularity(links: DataFrame, membership: DataFrame) -> DataFrame:
         raise ValueError("communities overlap")
     if ends(links).join(membership, "item", "left_anti").limit(1).count():
         raise ValueError("an edge leaves the communities")
-    return partition_quality(links, membership)
+    return partition_quality(links, membership).select(F.when(F.col("m") > 0, F.col("q")).otherwise(0.0).alias("q"))
 
 
 def partition_quality(links: DataFrame, membership: DataFrame) -> DataFrame:
+    """q of a partition and m, the weight of all edges: as in SQL, null without edges and NaN if they weigh nothing."""
     a = membership.toDF("item_a", "ca")
     b = membership.toDF("item_b", "cb")
     exact = lambda c: F.sum(F.col(c).cast("decimal(28,15)")).cast("double")
@@ -50,7 +51,7 @@ def partition_quality(links: DataFrame, membership: DataFrame) -> DataFrame:
     total = links.agg(F.coalesce(exact("weight"), F.lit(0.0)).alias("m"))
     parts = degree.join(inside, "community_id", "left").join(total)
     gain = share(F.coalesce("w", F.lit(0.0)), F.col("m")) - F.pow(share(F.col("d"), 2 * F.col("m")), 2)
-    return parts.where("m > 0").agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("q"))
+    return parts.agg(F.sum(F.when(F.col("m") == 0, float("nan")).otherwise(gain)).alias("q"), F.max("m").alias("m"))
 
 
 def greedy_communities(nodes: Iterable[str], links: Iterable[tuple[str, str, float]], tol: float = 1e-12, total: float | None = None, start: dict[str, tuple[list[str], float]] | None = None) -> list[tuple[str, ...]]:
