@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from decimal import Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import share
 from ..sources.lines import uniform
@@ -46,43 +53,102 @@ def assign(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     return points.withColumn("best", best).select(*points.columns, F.col("best.cluster").alias("cluster"), F.col("best.d2").alias("d2"))
 
 
-def assign_all(points: DataFrame, starts: dict[int, list[list[float]]]) -> DataFrame:
-    """customer_id, x, start, cluster, d2: a row for each point and start."""
-    best = lambda centres: F.array_min(F.array(*(F.struct(away(F.col("x"), c).alias("d2"), F.lit(i).alias("cluster")) for i, c in enumerate(centres))))
-    each = F.explode(F.array(*(F.struct(F.lit(r).alias("start"), best(centres).alias("best")) for r, centres in starts.items())))
-    return points.select("customer_id", "x", each.alias("e")).select("customer_id", "x", "e.start", "e.best.cluster", "e.best.d2")
+#: Coordinates and distances are added up in whole multiples of this part of 1.
+UNITS = 10**12
+SUMS = "start int, cluster int, at int, total decimal(38,0)"
+
+
+def coordinates(x: pa.Array) -> np.ndarray:
+    """Equally long lists as a column each, one row for each place in them."""
+    return np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).T)
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each start of ``centres``: every column's nearest centre, the first among equals, and the squared distance."""
+    d2 = np.zeros((*centres.shape[:2], x.shape[1]))
+    for j, column in enumerate(x):
+        apart = column - centres[:, :, j, None]
+        d2 += apart * apart
+    return d2.argmin(axis=1), d2.min(axis=1)
 
 
-def means(assigned: DataFrame, width: int) -> dict[tuple[int, int], list[float]]:
-    """The mean of each start's clusters that have points: as many rows come to the driver as there are centres."""
-    sums = [F.sum(F.element_at("x", j + 1).cast("decimal(28,12)")).cast("double").alias(f"s{j}") for j in range(width)]
-    rows = assigned.groupBy("start", "cluster").agg(F.count("*").alias("n"), *sums).collect()
-    return {(r["start"], r["cluster"]): [r[f"s{j}"] / r["n"] for j in range(width)] for r in rows}
+def whole(x: np.ndarray) -> np.ndarray:
+    """In units; Python's numbers where sums might not fit 64 bits."""
+    scaled = np.rint(x * UNITS)
+    fits = np.abs(scaled).max(initial=0) * x.shape[-1] < 2**62
+    return scaled.astype(np.int64) if fits else np.array([[int(v) for v in row] for row in scaled], dtype=object)
+
+
+def step(points: DataFrame, starts: dict[int, list[list[float]]]) -> dict[int, list[tuple[int, list[int], int]]]:
+    """Of each start's clusters: their points, and in units the sums of their coordinates and of their squared distances.
+
+    One pass over the points; tasks add up their own, and as many rows come to the driver as centres have numbers.
+    """
+    names, centres = list(starts), np.array(list(starts.values()), dtype=float)
+    n, k, width = centres.shape
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((n, k, width + 2), dtype=object)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = coordinates(b.column(0))
+            cluster, d2 = nearest(x, centres)
+            units, apart = whole(x), whole(d2)
+            for c in range(k):
+                for s in range(n):
+                    mine = np.flatnonzero(cluster[s] == c)
+                    sums[s, c] += [len(mine), *(int(u) for u in units[:, mine].sum(axis=1)), int(apart[s, mine].sum())]
+        s, c, at = (i.ravel() for i in np.indices(sums.shape))
+        kept = (sums[:, :, :1] > 0).repeat(width + 2, axis=2).ravel()
+        columns = [pa.array(np.array(names)[s[kept]], pa.int32()), pa.array(c[kept], pa.int32()), pa.array(at[kept], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([Decimal(v) for v in sums.ravel()[kept]], pa.decimal128(38, 0))], ["start", "cluster", "at", "total"])
+
+    found = {r: [[0] * (width + 2) for _ in range(k)] for r in names}
+    for r in points.select("x").mapInArrow(run, SUMS).groupBy("start", "cluster", "at").agg(F.sum("total").alias("total")).collect():
+        found[r["start"]][r["cluster"]][r["at"]] = int(r["total"])
+    return {r: [(c[0], c[1:-1], c[-1]) for c in of] for r, of in found.items()}
+
+
+def farthest(points: DataFrame, starts: dict[int, list[list[float]]]) -> dict[int, list[float]]:
+    """Of each start the point that is farthest from its nearest centre, the first customer's among equals."""
+    names, centres = list(starts), np.array(list(starts.values()), dtype=float)
+    schema = StructType([StructField("start", IntegerType()), StructField("d2", DoubleType()), points.schema["customer_id"], points.schema["x"]])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, d2 = nearest(coordinates(b.column(1)), centres)
+            for r, apart in zip(names, d2):
+                tied = b.take(pa.array(np.flatnonzero(apart == apart.max())))
+                first = tied.take(pc.sort_indices(tied.column(0))[:1])
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([apart.max()]), *first.columns], ["start", "d2", "customer_id", "x"])
+
+    far = points.select("customer_id", "x").mapInArrow(run, schema).groupBy("start").agg(F.min_by("x", F.struct(-F.col("d2"), "customer_id")).alias("x"))
+    return {r["start"]: list(r["x"]) for r in far.collect()}
 
 
 def lloyd_all(points: DataFrame, starts: list[list[list[float]]], max_iter: int = 200, tol: float = 1e-10) -> list[tuple[list[list[float]], float]]:
     """Centres and inertia of every start after alternating assignment and means; an empty cluster restarts at the farthest point.
 
-    Starts that still move share one job a step.
+    Starts that still move share one job a step.  Centres go along with the tasks, so every step has the same plan.
     """
     done, going = {}, dict(enumerate(starts))
     for _ in range(max_iter):
-        assigned = assign_all(points, going)
-        found = means(assigned, len(starts[0][0]))
+        found = step(points, going)
+        new = {r: [[u / UNITS / n for u in sums] if n else None for n, sums, _ in of] for r, of in found.items()}
+        short = {r: going[r] for r, centres in new.items() if None in centres}
+        far = farthest(points, short) if short else {}
         for r, centres in list(going.items()):
-            new = [found.get((r, i)) for i in range(len(centres))]
-            if any(c is None for c in new):
-                far = assigned.where(F.col("start") == r).orderBy(F.desc("d2"), "customer_id").first()["x"]
-                new = [list(far) if c is None else c for c in new]
-            going[r] = new
-            if sum((a - b) ** 2 for c, d in zip(new, centres) for a, b in zip(c, d)) <= tol:
+            going[r] = [far[r] if c is None else c for c in new[r]]
+            if sum((a - b) ** 2 for c, d in zip(going[r], centres) for a, b in zip(c, d)) <= tol:
                 done[r] = going.pop(r)
         if not going:
             break
     done |= going
-    exact = F.sum(F.col("d2").cast("decimal(28,12)")).cast("double")
-    inertia = {r["start"]: r["d"] for r in assign_all(points, done).groupBy("start").agg(exact.alias("d")).collect()}
-    return [(done[r], inertia.get(r, 0.0)) for r in range(len(starts))]
+    inertia = {r: sum(d2 for *_, d2 in of) / UNITS for r, of in step(points, done).items()}
+    return [(done[r], inertia[r]) for r in range(len(starts))]
 
 
 def lloyd(points: DataFrame, centres: list[list[float]], max_iter: int = 200, tol: float = 1e-10) -> tuple[list[list[float]], float]:
