@@ -36,10 +36,15 @@ def shares(lines: DataFrame) -> DataFrame:
     return spend(lines).join(totals(lines), "customer_id").select("customer_id", "item", F.round(share(F.col("amount"), F.col("total")), 9).alias("share"))
 
 
+def mixes(lines: DataFrame, items: list[str]) -> DataFrame:
+    """customer_id, total, x: what a customer spent and its shares in the order of ``items``; lines are read once."""
+    held = spend(lines).groupBy("customer_id").agg(F.sum(F.col("amount").cast("decimal(28,4)")).cast("double").alias("total"), F.map_from_entries(F.collect_list(F.struct("item", "amount"))).alias("m"))
+    return held.select("customer_id", "total", F.array(*(F.round(share(F.col("m")[i], F.col("total")), 9) for i in items)).alias("x"))
+
+
 def features(lines: DataFrame, items: list[str]) -> DataFrame:
     """customer_id, x: shares in the order of ``items``."""
-    held = shares(lines).groupBy("customer_id").agg(F.map_from_entries(F.collect_list(F.struct("item", "share"))).alias("m"))
-    return held.select("customer_id", F.array(*(F.coalesce(F.col("m")[i], F.lit(0.0)) for i in items)).alias("x"))
+    return mixes(lines, items).select("customer_id", "x")
 
 
 def away(x: Column, centre: list[float]) -> Column:
@@ -183,19 +188,20 @@ def kmeans(points: DataFrame, k: int, seed: int = 0, n_init: int = 8, max_iter:
 
 def segment_customers(lines: DataFrame, items: list[str], k: int = 3, seed: int = 0, top_n: int = 3, n_init: int = 8, max_iter: int = 200, centres: list[list[float]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(assignments, profiles, centroids); segments are numbered by size.  ``centres``, if given, are taken as they are."""
-    points = materialized(features(lines, items), "points")
+    points = materialized(mixes(lines, items), "points")
     if centres is None:
         centres, _ = kmeans(points, k, seed, n_init, max_iter)
-    rows = materialized(assign(points, centres).select("customer_id", "cluster"), "assigned")
+    rows = materialized(assign(points, centres).select("customer_id", "total", "cluster"), "assigned")
     order = Window.orderBy(F.desc("n"), "cluster")
     names = rows.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("segment", (F.row_number().over(order) - 1).cast("int"))
-    assignments = rows.join(names, "cluster").select("customer_id", "segment")
+    numbered = rows.join(names.drop("n"), "cluster")
+    assignments = numbered.select("customer_id", "segment")
     spark = lines.sparkSession
     flat = spark.createDataFrame([(i, item, float(v)) for i, c in enumerate(centres) for item, v in zip(items, c)], "cluster int, item string, share double")
     centroids = flat.join(names, "cluster").select("segment", "item", "share")
     top = centroids.withColumn("r", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("share"), "item"))).where(F.col("r") <= top_n)
     top = top.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("r", "item", "share"))).alias("t")).select("segment", F.transform("t", lambda s: F.struct(s["item"].alias("item"), s["share"].alias("share"))).alias("top_items"))
-    sized = assignments.join(totals(lines), "customer_id").groupBy("segment").agg(F.count("*").alias("n"), F.round(F.avg("total"), 6).alias("mean_total"))
+    sized = numbered.groupBy("segment").agg(F.count("*").alias("n"), F.round(F.avg("total"), 6).alias("mean_total"))
     everyone = sized.agg(F.sum("n").alias("all"))
     profiles = sized.join(everyone).select("segment", "n", (F.col("n") / F.col("all")).alias("share"), "mean_total").join(top, "segment")
     return assignments, profiles, centroids

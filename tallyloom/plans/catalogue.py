@@ -150,9 +150,9 @@ def lloyd_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str, part: int, fixed: bool = False) -> DataFrame:
-    lines, names = held_lines(spark, sf_dir, T3, "customer_id", "item", "amount"), item_names(spark, sf_dir, T3)
-    centres = None
+    lines, names, centres = lines_of(spark, sf_dir, T3), item_names(spark, sf_dir, T3), None
     if fixed:
+        lines = materialized(lines.select("customer_id", "item", "amount"), "lines")
         points = segment.features(lines, names)
         centres, _ = segment.lloyd(points, first_customers(points), max_iter=3, tol=-1.0)
     return segment.segment_customers(lines, names, CLUSTERS, centres=centres)[part]

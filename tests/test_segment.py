@@ -56,3 +56,24 @@ def test_plans_of_steps_do_not_grow_with_starts_and_empty_clusters_share_a_job(s
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("empty"))
     spark.sparkContext._jsc.clearJobGroup()
     assert jobs < 12
+
+
+def test_segments_read_their_lines_once(spark):
+    """The lines were read for the spend, again for its totals, and again for the profiles."""
+    rows = [(c, i, float(1 + (c * 7 + i) % 11)) for c in range(40) for i in range(4) if (c + i) % 3]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = "customer_id long, item string, amount double"
+    lines = spark.createDataFrame([(c, f"i{i}", a) for c, i, a in rows], schema).mapInArrow(counted, schema)
+    assigned, profiles, _ = segment.segment_customers(lines, [f"i{i}" for i in range(4)], 2, n_init=2, max_iter=3)
+    held = {r["customer_id"]: r["segment"] for r in assigned.collect()}
+    spent = {c: sum(a for d, _, a in rows if d == c) for c in held}
+    for r in profiles.collect():
+        mine = [spent[c] for c, at in held.items() if at == r["segment"]]
+        assert (r["n"], r["share"], r["mean_total"]) == (len(mine), len(mine) / len(held), round(sum(mine) / len(mine), 6))
+    assert read.value == len(rows)
