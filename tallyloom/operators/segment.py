@@ -74,7 +74,11 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     for j, column in enumerate(x):
         apart = column - centres[:, :, j, None]
         d2 += apart * apart
-    return d2.argmin(axis=1), d2.min(axis=1)
+    cluster, least = np.zeros(d2[:, 0].shape, dtype=int), d2[:, 0].copy()
+    for c in range(1, centres.shape[1]):
+        cluster[d2[:, c] < least] = c
+        np.minimum(least, d2[:, c], out=least)
+    return cluster, least
 
 
 def whole(x: np.ndarray) -> np.ndarray:
